@@ -86,16 +86,23 @@ def learn(words: DataFrame, model: bytes, prior: float = PRIOR) -> tuple[Pieces,
         return replace(pieces, score=np.log(weight / total)), math.log(end / total)
 
 
-def scored_words(words: DataFrame, pieces, end: float) -> DataFrame:
-    """word, n, logp: the log10 probability of each distinct word, over all its segmentations."""
+def scored_words(words: DataFrame, pieces, end: float, total: int, distinct: int) -> DataFrame:
+    """word, n, logp: the log10 probability of each distinct word, over all paths of its lattice.
+
+    Beside the paths of pieces, a word that the training texts have has one arc for the whole of it. The arcs of whole words
+    weigh what they count, `total` in all, and the paths of pieces `distinct` tokens in all, as in Witten and Bell's estimate.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 20_000) for i in range(0, batch.num_rows, 20_000)):
                 word = part.column(0).to_pylist()
-                p = marginal(pieces.value, [b"" if w == END else MARK + w for w in word]) / math.log(10)
-                p[[w == END for w in word]] = end / math.log(10)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p)], names=["word", "n", "logp"])
+                p = marginal(pieces.value, [b"" if w == END else MARK + w for w in word])
+                p[[w == END for w in word]] = end
+                if total:
+                    with np.errstate(divide="ignore"):
+                        p = np.logaddexp(np.log(part.column(1).to_numpy()), math.log(distinct) + p) - math.log(total + distinct)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p / math.log(10))], names=["word", "n", "logp"])
 
     return words.mapInArrow(each, "word binary, n long, logp double")
 
@@ -104,8 +111,8 @@ def lattice_scores(docs: DataFrame, model: bytes, train: Column, id_col: str = "
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. train: a boolean Column.
 
     Tokens are the text's words, A-Z in lower case, then one end; runs of white space count as one, as in SentencePiece.
-    score is the log10 probability that the pieces' unigram model gives the words and the end, summed over all
-    segmentations: a piece with a whitespace marker can only begin a word, so it is the product over the words.
+    score is the log10 probability that the model gives the words and the end, summed over all segmentations: a piece with a
+    whitespace marker can only begin a word, so it is the product over the words. See scored_words for a word's lattice.
     base_score adds up log10((c + 0.5)/(N + 0.5(V + 1))) over the tokens.
 
     A null text is empty and scores as an end alone; a null `train` is false; repeated rows each count. An empty table gives
@@ -124,7 +131,7 @@ def lattice_scores(docs: DataFrame, model: bytes, train: Column, id_col: str = "
     words = stored(held.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     n, v = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     pieces, end = learn(words.where("n > 0"), model)
-    known = scored_words(words, spark.sparkContext.broadcast(pieces), end)
+    known = scored_words(words, spark.sparkContext.broadcast(pieces), end, n, v)
     looked_up = held.select("block", "word").join(known, "word").select("block", "word", "n", "logp")
     floor = math.log10(n + 0.5 * (v + 1))
 
