@@ -9,6 +9,8 @@ from gazette.llm.common import fresh, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: How many state stores a stream has; without it, one for each shuffle partition, each with files of some MB at any size.
+STORES = "spark.sql.streaming.internal.stateStore.partitions"
 
 
 def normalised(text: Column) -> Column:
@@ -21,7 +23,7 @@ def best_first(doc_id: str = "doc_id") -> Column:
     return F.struct((-F.col("n_points")).alias("less"), F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col("row").alias("row"), F.col("locator").alias("locator"))
 
 
-def digest_state(spark: SparkSession, digests_path: str, schema, bytes_per_trigger: int = 1 << 30) -> DataFrame:
+def digest_state(spark: SparkSession, digests_path: str, schema, bytes_per_trigger: int = 1 << 30, rows_per_store: int = 4_000_000) -> DataFrame:
     """Stream the digests through keyed state: per digest the number of rows, and id, row and locator of the row that stays.
 
     The state is held by RocksDB on the executors' disks and its checkpoints in the shared folder; no watermark, so no
@@ -30,8 +32,10 @@ def digest_state(spark: SparkSession, digests_path: str, schema, bytes_per_trigg
     home = fresh(spark, "dedup-state")
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(digests_path)
     state = stream.groupBy("digest").agg(F.min(best_first()).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    before = spark.conf.get(PROVIDER, None)
+    stores = max(spark.sparkContext.defaultParallelism, -(-spark.read.schema(schema).parquet(digests_path).count() // rows_per_store))
+    before = {k: spark.conf.get(k, None) for k in (PROVIDER, STORES)}
     spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set(STORES, str(stores))
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -42,7 +46,8 @@ def digest_state(spark: SparkSession, digests_path: str, schema, bytes_per_trigg
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     changed = spark.read.schema(state.schema.add("batch", "long")).parquet(f"{home}/changed")
     return changed.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("last")).select("digest", "last.best", "last.group_size")
 
@@ -71,8 +76,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     hits = stored(digest_state(spark, path, keyed.schema, bytes_per_trigger).where("group_size > 1"), "dedup-hits")
     # Full bytes on hits: rows of a held digest, grouped on the whole normalised text (partly before the shuffle).
+    # Eight bytes a digest find the rows, so that Spark can broadcast them while they are few; the bytes decide.
+    few = stored(hits.select(F.xxhash64("digest").alias("key")).distinct(), "dedup-hit-keys")
     again = docs.select(normalised(F.col(text_col)).alias("norm"))
-    again = again.withColumn("digest", F.substring(F.sha2("norm", 256), 1, digest_hex)).join(hits, "digest", "left_semi")
+    again = again.withColumn("digest", F.substring(F.sha2("norm", 256), 1, digest_hex)).join(few, F.xxhash64("digest") == F.col("key"), "left_semi")
     texts = again.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
     clashes = stored(texts.where("texts > 1").select("digest"), "dedup-clashes")
 
@@ -106,14 +113,19 @@ def _by_bytes(docs: DataFrame, clashes: DataFrame, id_col: str, text_col: str, d
 
 
 def kept_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay. Rows equal in id, length and bytes are one and the same document: one of them stays."""
-    key = ["_id", "_sha", "_n"]
-    wanted = decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_sha"), F.col("n_points").alias("_n"))
-    same = decided.groupBy("doc_id", "digest", "n_points").agg(F.count(F.lit(1)).alias("_same")).where("_same > 1")
-    same = same.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_sha"), F.col("n_points").alias("_n"), "_same")
-    on = lambda x, y: F.expr(" and ".join(f"{x}.{k} <=> {y}.{k}" for k in key))
-    wanted = wanted.alias("w").join(same.alias("s"), on("w", "s"), "left").select("w.*", F.col("s._same").isNotNull().alias("_repeated"))
-    rows = docs.select("*", F.col(id_col).alias("_id"), F.sha2(normalised(F.col(text_col)), 256).alias("_sha"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("_n"))
-    found = rows.alias("r").join(wanted.alias("w"), on("r", "w")).select("r.*", "w._repeated")
-    once = found.where("not _repeated").unionByName(found.where("_repeated").dropDuplicates(key))
-    return once.select(*docs.columns)
+    """The rows of docs that stay. Rows equal in id, length and bytes are one and the same document: one of them stays.
+
+    The few ids that go are looked up, not the many that stay. Only rows whose id is null or repeated need more than the id.
+    """
+    decided = stored(decided.select("doc_id", "digest", "n_points", "kept"), "dedup-decided")
+    gone = stored(decided.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")), "dedup-gone")
+    unclear = stored(decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_unclear")), "dedup-unclear")
+    if unclear.isEmpty():
+        return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    same = F.col(id_col).eqNullSafe(F.col("_unclear"))
+    clear = docs.join(unclear, same, "left_anti").join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    key = [F.col(id_col), F.sha2(normalised(F.col(text_col)), 256), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")]
+    rows = docs.join(unclear, same, "left_semi").withColumns({f"_k{i}": k for i, k in enumerate(key)}).dropDuplicates(["_k0", "_k1", "_k2"])
+    stay = decided.where("kept")
+    on = F.col("_k0").eqNullSafe(stay.doc_id) & (F.col("_k1") == stay.digest) & (F.col("_k2") == stay.n_points)
+    return clear.unionByName(rows.join(stay, on, "left_semi").select(*docs.columns))
