@@ -1,0 +1,62 @@
+"""URL Columns: normalisation, hosts and blocked domains."""
+
+from __future__ import annotations
+
+from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gazette.functions.text import strip
+
+# Query keys that only track.
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "mc_cid", "mc_eid")
+
+_PIECE = "[A-Za-z0-9_.~-]*=?[A-Za-z0-9_.~-]*"
+#: URLs that need no decoding: cutting and joining gives what parsing and encoding anew would.
+PLAIN = rf"^https?://[A-Za-z0-9.-]+(:\d+)?(/[A-Za-z0-9_.~/-]*)?(\?({_PIECE}(&{_PIECE})*)?)?(#.*)?$"
+
+
+def _plain(url: Column) -> Column:
+    whole = F.regexp_replace(url, "#.*$", "")
+    base, query = F.substring_index(whole, "?", 1), F.regexp_extract(whole, r"\?(.*)$", 1)
+    key = lambda p: F.substring_index(p, "=", 1)
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~key(p).isin(*TRACKING))
+    kept = F.array_join(F.transform(kept, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("=")))), "&")
+    return F.when(kept == "", base).otherwise(F.concat(base, F.lit("?"), kept))
+
+
+def _parsed(url: str | None) -> str | None:
+    try:
+        at = urlsplit((url or "").strip())
+        pairs = [(k, v) for k, v in parse_qsl(at.query, keep_blank_values=True) if k not in TRACKING]
+        return None if url is None else urlunsplit(at._replace(fragment="", query=urlencode(pairs)))
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def _parse(urls: pd.Series) -> pd.Series:
+    return urls.map(_parsed)
+
+
+def normalize_url(url: Column, any_url: bool = True) -> Column:
+    """The URL without fragment and tracking keys, its query encoded anew; null where it can't be parsed.
+
+    Plain URLs stay in the JVM; the others, if any_url, go through an Arrow UDF, which gets nulls for the plain ones.
+    """
+    bare = strip(url)
+    plain = bare.rlike(PLAIN)
+    return F.when(plain, _plain(bare)).otherwise(_parse(F.when(plain, F.lit(None).cast("string")).otherwise(bare)) if any_url else F.lit(None))
+
+
+def host(url: Column) -> Column:
+    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
+
+
+def is_blocked(url: Column, blocked: Column) -> Column:
+    """Whether the host is one of the domains, or below one."""
+    name = host(url)
+    return F.exists(F.coalesce(blocked, F.array().cast("array<string>")), lambda d: (name == F.lower(F.trim(d))) | F.endswith(name, F.concat(F.lit("."), F.lower(F.trim(d)))))
