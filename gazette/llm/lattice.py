@@ -126,7 +126,7 @@ def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
     return tuple(np.array(x[: last + 257], np.int32) for x in (base, check, value))
 
 
-def _rows(words: list[bytes], cells: int = 1 << 20):
+def _rows(words: list[bytes], cells: int = 1 << 19):
     """Numbers of words of like lengths, and their bytes in a padded matrix with at most about `cells` cells."""
     length = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(length, kind="stable")

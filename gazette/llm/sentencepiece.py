@@ -22,7 +22,7 @@ class Codec:
     """Encodes and decodes texts. Segmentations never cross a segment's bounds, so those of segments, kept, make up that of
     the text. At most `keep` segments are kept; then the memory starts anew."""
 
-    def __init__(self, pieces: Pieces, keep: int = 300_000):
+    def __init__(self, pieces: Pieces, keep: int = 150_000):
         self.pieces, self.keep, self.known = pieces, keep, {}
         byte_ids = set(pieces.byte_id.tolist())
         self.surface = [x if i in byte_ids else x.replace(MARK, b" ") for i, x in enumerate(pieces.surface)]

@@ -119,7 +119,7 @@ def learn(labelled: DataFrame, at_most_rows: int = 16_000, at_most_terms: int =
     key = F.xxhash64(F.col(id_col).cast("string"), F.lit("lexicon"))
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(key.alias("key"), F.col(text_col).alias("text"), (F.col(label_col) == 1).alias("toxic"))
     limit = rows.select("key").orderBy("key").limit(at_most_rows).agg(F.max("key")).first()[0]
-    rows = rows.where(F.col("key") <= F.lit(limit if limit is not None else 0)).select("text", "toxic").repartition(max(4, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2))
+    rows = rows.where(F.col("key") <= F.lit(limit if limit is not None else 0)).select("text", "toxic").repartition(max(8, 2 * int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: Counter = Counter()
