@@ -44,5 +44,10 @@ def remainder(key: Column, by: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % by
 
 
+def within(key: Column, share: float) -> Column:
+    """Whether a 64-bit hash is among the least `share` of all hashes: a sample that no sort and no task sees whole."""
+    return key <= F.lit(int(-(2**63) + min(1.0, share) * (2**64 - 1025)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.common import stored
+from gazette.llm.common import stored, within
 
 #: Substrings of a code, each with an index of its own.
 PARTS = 4
@@ -144,7 +144,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     schema = "query_id long, vec_id long, score double"
     if not n or not n_asks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = rows.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(sample_rows).toPandas()
+    key = F.xxhash64("id", F.lit("sample"))
+    drawn = rows.where(within(key, 1.5 * sample_rows / n)).orderBy(key, "id").limit(sample_rows).toPandas()
     codes = spark.sparkContext.broadcast(learn(np.stack(drawn.v.to_numpy()).astype(float), longest, k))
     shards, blocks = -(-n // shard_rows), -(-n_asks // query_rows)
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))

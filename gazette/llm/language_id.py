@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazette.llm.common import within
+
 #: Positions in a window; every byte of a text is in exactly one, and a state starts anew with it.
 WINDOW = 128
 #: Stands for a position behind the text's end: its gate keeps the state as it is.
@@ -171,6 +173,8 @@ def training_windows(docs: DataFrame, may_learn: Column, at_most: int = 4000, id
     key = F.xxhash64(F.col(id_col).cast("string"), F.lit("window"))
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     place = F.pmod(F.xxhash64(F.lit("place"), key), F.greatest(F.char_length(text_col) - WINDOW // 2, F.lit(1))).cast("int") + 1
+    n = docs.where(may_learn & F.col(lang_col).isNotNull()).count()
+    rows = rows.where(within(key, 1.5 * at_most / max(1, n)))  # so that the driver sorts no more than it takes, or half as much again
     drawn = rows.select(key.alias("key"), F.substring(F.col(text_col), place, F.lit(WINDOW)).alias("part"), F.col(lang_col).cast("string").alias("lang"))
     return [(r.part.encode(), r.lang) for r in drawn.orderBy("key", "part").limit(at_most).collect()]
 

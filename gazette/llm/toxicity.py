@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazette.llm.common import within
+
 # Letters that look like Latin ones, and digits and signs written for letters.
 HOMOGLYPHS = dict(zip("аеорсухкмтвнієѕјԁɡαβεηικνορτυχ", "aeopcyxkmtbhiesjdgabenikvoptux", strict=True))
 SUBSTITUTES = dict(zip("0134578@$!|€", "oieastbasile", strict=True))
@@ -113,13 +115,12 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def learn(labelled: DataFrame, at_most_rows: int = 16_000, at_most_terms: int = 4000, exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """A lexicon from labelled rows (label 0 or 1; other labels and null are left out).
 
-    A bounded sample teaches: the at_most_rows rows with the least hashes of their ids. Its terms are counted by Spark; the
+    A bounded sample teaches: those whose ids' hashes are the least, at_most_rows of them on average. Its terms are counted by Spark; the
     driver gets counts of terms that enough toxic texts have, and two numbers of each sampled row to calibrate on.
     """
     key = F.xxhash64(F.col(id_col).cast("string"), F.lit("lexicon"))
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(key.alias("key"), F.col(text_col).alias("text"), (F.col(label_col) == 1).alias("toxic"))
-    limit = rows.select("key").orderBy("key").limit(at_most_rows).agg(F.max("key")).first()[0]
-    rows = rows.where(F.col("key") <= F.lit(limit if limit is not None else 0)).select("text", "toxic").repartition(max(8, 2 * int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = rows.where(within(F.col("key"), at_most_rows / max(1, rows.count()))).select("text", "toxic").repartition(max(8, 2 * int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: Counter = Counter()
