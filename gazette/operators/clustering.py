@@ -7,7 +7,7 @@ import uuid
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,40 +92,84 @@ def title_similarity(sides: DataFrame) -> DataFrame:
     return sides.withColumn("sim", F.lit(0.65) * F.col("jaccard") + F.lit(0.35) * sequence_ratio("l_norm", "r_norm"))
 
 
-def same_story_pairs(df: DataFrame) -> DataFrame:
-    """l, r, sim of the pairs that tell one story. Pairs that no ratio of at most 1 could lift are dropped before the UDF."""
-    sides = with_sides(candidate_pairs(df), df).where("jaccard >= 0.415 and overlap_ratio >= 0.5")
-    told = title_similarity(sides)
-    close = (F.col("sim") >= 0.78) & (F.col("overlap_ratio") >= 0.5)
-    near = (F.col("sim") >= 0.62) & (F.col("overlap_ratio") >= 0.7) & time_aligned("l_at", "r_at")
-    return told.where(close | near).select("l", "r", "sim")
+def titles(df: DataFrame) -> DataFrame:
+    """One row a distinct title (norm) of df: rk, published_at (of its first row in scan order), last (rk of its last), tokens, copies."""
+    first = F.min(F.struct("rk", "published_at")).alias("first")
+    kinds = df.groupBy("norm").agg(first, F.max("rk").alias("last"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"))
+    return kinds.select("first.rk", "first.published_at", "last", "norm", "tokens", "copies")
 
 
-def leaders(edges: DataFrame) -> DataFrame:
-    """member, leader for the rows that join an earlier row's cluster, given the edges l -> r with l after r.
+def similar_sets(df: DataFrame, least: float) -> DataFrame:
+    """l, r, overlap of the pairs of df (rk, tokens) with l > r whose token sets have a Jaccard index of `least` or more.
 
-    Scanning in order, a row joins the first leader it has an edge to, else it leads. So a row leads if none of its
-    earlier neighbours does, which is decided in rounds: a row with a leader among its neighbours is a member; a row whose
-    neighbours are all members leads. Each round is one join and one aggregation, written out.
+    Rarest tokens first, two such sets share one of the tokens that are left when each gives up its last
+    ceil(least * size) - 1; so a frequent token brings rows together only where a title has little else. Nothing is lost.
     """
-    e = stored(edges.select("l", "r"), "story-edges")
-    state = stored(e.select(F.col("r").alias("id")).distinct().join(e.select(F.col("l").alias("id")).distinct(), "id", "left_anti").withColumn("leads", F.lit(True)), "story-state")
-    todo = e.select(F.col("l").alias("id")).distinct().count()
-    while todo:
-        known = e.join(state.select(F.col("id").alias("r"), "leads"), "r", "left").join(state.select(F.col("id").alias("l")), "l", "left_anti")
-        seen = known.groupBy("l").agg(F.bool_or("leads").alias("joins"), F.bool_or(F.col("leads").isNull()).alias("open"))
-        new = seen.where("coalesce(joins, false) or not open").select(F.col("l").alias("id"), (~F.coalesce("joins", F.lit(False))).alias("leads"))
-        new = stored(new, "story-round")
-        todo -= new.count()
-        state = state.unionByName(new)
-    return e.join(state.where("leads").select(F.col("id").alias("r")), "r").join(state.where("not leads").select(F.col("id").alias("l")), "l").groupBy(F.col("l").alias("member")).agg(F.min("r").alias("leader"))
+    terms = df.select("rk", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    held = terms.groupBy("t").agg(F.count(F.lit(1)).alias("held"))
+    order = F.row_number().over(Window.partitionBy("rk").orderBy("held", "t"))
+    # A little is taken off so that rounding can only let one token more in.
+    kept = F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1
+    heads = stored(terms.join(held, "t").withColumn("at", order).where(F.col("at") <= kept).select("rk", "n", "t"), "title-heads")
+    a, b = heads.alias("a"), heads.alias("b")
+    fits = (F.col("a.n") >= F.lit(least - 1e-9) * F.col("b.n")) & (F.col("b.n") >= F.lit(least - 1e-9) * F.col("a.n"))
+    met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.rk") > F.col("b.rk")) & fits).select(F.col("a.rk").alias("l"), F.col("b.rk").alias("r")).distinct()
+    side = lambda p: df.select(F.col("rk").alias(p), F.col("tokens").alias(f"{p}_set"))
+    shared = met.join(side("l"), "l").join(side("r"), "r").withColumn("overlap", F.size(F.array_intersect("l_set", "r_set")).cast("long"))
+    return shared.where(F.col("overlap") >= F.lit(least - 1e-9) * (F.size("l_set") + F.size("r_set") - F.col("overlap"))).select("l", "r", "overlap")
+
+
+def same_story_pairs(kinds: DataFrame) -> DataFrame:
+    """l, r, sim, any_date, l_norm, r_norm: titles such that a row of title l joins a leader of title r before it, at any date or
+    (any_date false) within MAX_HOURS. kinds: as titles() gives. Both directions, and a title with itself where it has copies,
+    as far as rows stand in that order. Pairs that no ratio of at most 1 could lift are dropped before the UDF."""
+    pairs = similar_sets(kinds.where(F.size("tokens") >= 2), 0.415).where("overlap >= 2")
+    own = kinds.where((F.size("tokens") >= 2) & (F.col("copies") > 1)).select(F.col("rk").alias("l"), F.col("rk").alias("r"), F.size("tokens").cast("long").alias("overlap"))
+    both = pairs.unionByName(pairs.select(F.col("r").alias("l"), F.col("l").alias("r"), "overlap")).unionByName(own)
+    ends = kinds.select(F.col("rk").alias("l"), "last")
+    told = title_similarity(with_sides(both.join(ends, "l").where("r < last"), kinds).where("jaccard >= 0.415 and overlap_ratio >= 0.5"))
+    told = told.withColumn("any_date", (F.col("sim") >= 0.78) & (F.col("overlap_ratio") >= 0.5))
+    near = (F.col("sim") >= 0.62) & (F.col("overlap_ratio") >= 0.7)
+    return told.where(F.col("any_date") | near).select("l", "r", "sim", "any_date", "l_norm", "r_norm")
+
+
+def _led(rows: DataFrame, edges: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """rows (rk, norm, published_at) joined to the leaders found before them that they may join, as lead."""
+    ahead = edges.join(found.select(F.col("norm").alias("r_norm"), F.col("rk").alias("lead"), F.col("published_at").alias("lead_at")), "r_norm")
+    return rows.join(ahead, (F.col("norm") == F.col("l_norm")) & (F.col("lead") < F.col("rk")) & (F.col("any_date") | time_aligned("published_at", "lead_at")), how)
+
+
+def leaders(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """norm, published_at, leader: whom the rows (rk, norm, published_at) of titles with edges join; a leader joins itself.
+
+    Scanning in order, a row joins the first leader it has an edge to, else it leads. That is decided in rounds: rows behind a
+    leader that they may join are members; of the rest, a row leads if no undecided row of its title or a linked one stands
+    before it. Rows meet leaders and numbers of titles, never each other, so copies of a title make no pairs; those of one
+    title and date join the same leader and are one. Each round is written out.
+    """
+    e = stored(edges.select("l_norm", "r_norm", "any_date"), "story-edges")
+    named = stored(e.select(F.col("l_norm").alias("norm")).unionByName(e.select(F.col("r_norm").alias("norm"))).distinct(), "story-titles")
+    every = stored(rows.join(named, "norm").groupBy("norm", "published_at").agg(F.min("rk").alias("rk")), "story-kinds")
+    rest, found = every, every.limit(0)
+    while not rest.isEmpty():
+        first = rest.groupBy("norm").agg(F.min("rk").alias("open"))
+        linked = e.join(first.withColumnRenamed("norm", "r_norm"), "r_norm").select(F.col("l_norm").alias("norm"), "open")
+        before = linked.unionByName(first).groupBy("norm").agg(F.min("open").alias("open"))
+        new = stored(rest.join(before, "norm").where(F.col("rk") <= F.col("open")).drop("open"), "story-leaders")
+        found = found.unionByName(new.select(*found.columns))
+        undecided = rest.join(new.select("rk"), "rk", "left_anti").select(*every.columns)
+        rest = stored(_led(undecided, e, new, "left_anti"), "story-rest")
+    joined = _led(every, e, stored(found, "story-all-leaders"), "left")
+    return joined.groupBy("norm", "published_at", "rk").agg(F.min("lead").alias("lead")).select("norm", "published_at", F.coalesce("lead", "rk").alias("leader"))
 
 
 def story_clusters(df: DataFrame) -> DataFrame:
     """df (id, title, published_at, pos) with rk, leader_rk, cluster_id (the leader's id) and cluster_size."""
     ranked = stored(with_tokens(scan_order(df)), "story-rows")
-    joined = leaders(same_story_pairs(ranked))
-    out = ranked.join(joined, F.col("rk") == F.col("member"), "left").withColumn("leader_rk", F.coalesce("leader", "rk")).drop("member", "leader")
+    edges = same_story_pairs(stored(titles(ranked), "story-distinct"))
+    joined = stored(leaders(ranked.select("rk", "norm", "published_at"), edges).withColumnsRenamed({"norm": "_norm", "published_at": "_at"}), "story-joined")
+    same = (F.col("norm") == F.col("_norm")) & F.col("published_at").eqNullSafe(F.col("_at"))
+    out = ranked.join(joined, same, "left").withColumn("leader_rk", F.coalesce("leader", "rk")).drop("_norm", "_at", "leader")
     sizes = out.groupBy("leader_rk").agg(F.count(F.lit(1)).alias("cluster_size"))
     names = ranked.select(F.col("rk").alias("leader_rk"), F.col("id").alias("cluster_id"))
     return out.join(sizes.join(names, "leader_rk"), "leader_rk").drop("norm", "tokens")

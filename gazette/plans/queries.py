@@ -413,7 +413,17 @@ def title_similarity(spark, sf_dir):
 
 @query()
 def same_story_pairs(spark, sf_dir):
-    return clustering.same_story_pairs(_ranked_pages(spark, sf_dir))
+    """Pairs of distinct titles, by the rk of each one's first row; title_members has the rows."""
+    return clustering.same_story_pairs(clustering.titles(_ranked_pages(spark, sf_dir))).select("l", "r", "sim", "any_date")
+
+
+@query(f"""WITH {A.PAGES_SQL}, rows_ AS (SELECT row_number() OVER (ORDER BY published_at DESC NULLS LAST, page_id) AS rk, array_to_string({_TOKENS.format('title')}, ' ') AS norm FROM t1)
+SELECT rk, min(rk) OVER (PARTITION BY norm) AS title, count(*) OVER (PARTITION BY norm) AS copies FROM rows_""")
+def title_members(spark, sf_dir):
+    """The title each row has, named by the rk of that title's first row."""
+    rows = _ranked_pages(spark, sf_dir).select("rk", "norm", "published_at", "tokens")
+    kinds = clustering.titles(rows).select("norm", F.col("rk").alias("title"), "copies")
+    return rows.join(kinds, "norm").select("rk", "title", "copies")
 
 
 @query()

@@ -121,6 +121,9 @@ def test_clusters_equal_the_scan(spark):
     for i in range(150):
         title = " ".join(rng.sample(pool, rng.randint(0, 6)))
         rows.append((f"a{i}", "s", title, rng.choice([None, *range(0, 400, 20)]), 1, None))
+    # Copies on many dates. Every character of the long titles is frequent, so that their ratio with themselves is 0.
+    copied = ["chips launches agents", "chips launches agents funding", "Chips: launches agents!", "chips launches " * 20, "chips launches agents " * 15, "chips"]
+    rows += [(f"c{i}", "s", rng.choice(copied), rng.choice([None, *range(0, 1000, 10)]), 1, None) for i in range(120)]
     got = {r.id: r.cluster_id for r in clustering.story_clusters(articles(spark, rows)).collect()}
     order = sorted(rows, key=lambda r: (r[3] is None, r[3] or 0))
     assert got == scanned([(r[0], r[2], None if r[3] is None else NOW - timedelta(hours=r[3])) for r in order])
