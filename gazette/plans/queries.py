@@ -380,7 +380,8 @@ def _ranked_pages(spark, sf_dir) -> DataFrame:
     return clustering.stored(clustering.with_tokens(clustering.scan_order(A.page_articles(spark, sf_dir).drop("html"))), "page-rows")
 
 
-_PAIRS_SQL = f"""{A.PAGES_SQL}, rows_ AS (SELECT row_number() OVER (ORDER BY published_at DESC NULLS LAST, page_id) AS rk, published_at, {_tokens_sql('title')} AS tokens FROM t1),
+_PAIRS_SQL = f"""{A.PAGES_SQL}, ordered AS (SELECT row_number() OVER (ORDER BY published_at DESC NULLS LAST, page_id) AS rk, published_at, title, array_to_string({_TOKENS.format('title')}, ' ') AS norm FROM t1),
+rows_ AS (SELECT rk, published_at, {_tokens_sql('title')} AS tokens FROM ordered QUALIFY rk = min(rk) OVER (PARTITION BY norm)),
 terms AS (SELECT rk, unnest(tokens) AS t FROM rows_),
 pairs AS (SELECT a.rk AS l, b.rk AS r, count(*) AS overlap FROM terms a JOIN terms b ON a.t = b.t AND a.rk > b.rk GROUP BY ALL HAVING count(*) >= 2),
 sides AS (SELECT p.*, len(a.tokens) AS ln, len(b.tokens) AS rn, a.published_at AS la, b.published_at AS ra FROM pairs p JOIN rows_ a ON a.rk = p.l JOIN rows_ b ON b.rk = p.r)"""
@@ -388,11 +389,16 @@ sides AS (SELECT p.*, len(a.tokens) AS ln, len(b.tokens) AS rn, a.published_at A
 
 @query(f"WITH {_PAIRS_SQL} SELECT l, r, overlap FROM pairs")
 def candidate_pairs(spark, sf_dir):
-    return clustering.candidate_pairs(_ranked_pages(spark, sf_dir))
+    """Pairs of distinct titles, by the rk of each one's first row, as in all queries of pairs; title_members has the rows."""
+    return clustering.candidate_pairs(_titles(spark, sf_dir))
+
+
+def _titles(spark, sf_dir) -> DataFrame:
+    return clustering.stored(clustering.titles(_ranked_pages(spark, sf_dir)), "page-titles")
 
 
 def _sides(spark, sf_dir) -> DataFrame:
-    rows = _ranked_pages(spark, sf_dir)
+    rows = _titles(spark, sf_dir)
     return clustering.with_sides(clustering.candidate_pairs(rows), rows)
 
 
@@ -413,8 +419,7 @@ def title_similarity(spark, sf_dir):
 
 @query()
 def same_story_pairs(spark, sf_dir):
-    """Pairs of distinct titles, by the rk of each one's first row; title_members has the rows."""
-    return clustering.same_story_pairs(clustering.titles(_ranked_pages(spark, sf_dir))).select("l", "r", "sim", "any_date")
+    return clustering.same_story_pairs(_titles(spark, sf_dir)).select("l", "r", "sim", "any_date")
 
 
 @query(f"""WITH {A.PAGES_SQL}, rows_ AS (SELECT row_number() OVER (ORDER BY published_at DESC NULLS LAST, page_id) AS rk, array_to_string({_TOKENS.format('title')}, ' ') AS norm FROM t1)
