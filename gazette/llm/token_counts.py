@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,16 @@ def encoding(ranks: bytes, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]
     return _encodings[key]
 
 
+def tokens(enc: tiktoken.Encoding, pattern: str, text: str) -> np.ndarray:
+    """The ids of a text. The encoder's own matcher gives up on white space of a million characters in a row; then the same
+    pattern cuts the text here, and only the words go to the encoder."""
+    try:
+        return enc.encode_to_numpy(text, disallowed_special=())
+    except ValueError:
+        ids = [i for word in regex.finditer(pattern, text) for i in enc._encode_single_piece(word.group())]
+        return np.array(ids, np.uint32)
+
+
 def lines(data: bytes) -> np.ndarray:
     """Byte offsets at which the lines begin; a line end belongs to the line before it. There is one line at least."""
     ends = np.nonzero(np.frombuffer(data, np.uint8) == 10)[0] + 1
@@ -81,7 +92,7 @@ def section_tokens(docs: DataFrame, ranks: bytes, pattern: str, rule: str = "maj
                 for i, text in enumerate(part.column(1).to_pylist()):
                     text = text or ""
                     data = text.encode("utf-8", "replace")
-                    ends = np.cumsum(size[enc.encode_to_numpy(text, disallowed_special=())]) if data else np.empty(0, np.int64)
+                    ends = np.cumsum(size[tokens(enc, pattern, text)]) if data else np.empty(0, np.int64)
                     starts = lines(data)
                     own, crossing = attribute(ends, starts, len(data), rule)
                     bounds = np.append(starts, len(data))
