@@ -76,18 +76,23 @@ def _back(recurrent: np.ndarray, x: np.ndarray, kept: list, d_out: np.ndarray, d
     assert d_next.shape[0] == h
 
 
-def _windows(texts: list[bytes], wide: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes (L x B, padded) of all the texts' windows, and of each its text and how many bytes it has."""
+def _windows(texts: list[bytes], wide: int = WINDOW, at_once: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes (L x B, padded) of the texts' windows, and of each its text and how many bytes it has: at_once windows at a time,
+    so that however long a text is, no more of them is laid out."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     count = -(-size // wide)
-    of = np.repeat(np.arange(len(texts)), count)
-    first = np.concatenate(([0], np.cumsum(size)[:-1])) if len(texts) else size
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    start, held = first[of] + nth * wide, np.minimum(wide, size[of] - nth * wide)
+    begins = np.cumsum(count) - count
+    first = np.cumsum(size) - size
     data = np.frombuffer(b"".join(texts) + bytes(wide), np.uint8)
-    x = data[start[None, :] + np.arange(wide)[:, None]].astype(np.int64)
-    x[np.arange(wide)[:, None] >= held[None, :]] = PAD
-    return x, of, held
+    total = int(count.sum())
+    for at in range(0, total, at_once):
+        window = np.arange(at, min(at + at_once, total))
+        of = np.searchsorted(begins + count, window, "right")
+        done = (window - begins[of]) * wide
+        start, held = first[of] + done, np.minimum(wide, size[of] - done)
+        x = data[start[None, :] + np.arange(wide)[:, None]].astype(np.int64)
+        x[np.arange(wide)[:, None] >= held[None, :]] = PAD
+        yield x, of, held
 
 
 def _position_probabilities(model: Model, x: np.ndarray, keep: tuple[list, list] | None = None):
@@ -117,7 +122,8 @@ def train(samples: list[tuple[bytes, str]], hidden: int = 4, epochs: int = 8, ba
     p = {f"{k}{i}": normal(*s) for i in range(2) for k, s in (("table", (2 * hidden, 257)), ("rec", (2 * hidden, hidden)))}
     p |= {"out": normal(len(langs), 2 * hidden), "bias": np.zeros(len(langs))}
     if langs:
-        x, _, held = _windows([s[:WINDOW] or b" " for s, _ in samples])
+        parts = [*_windows([s[:WINDOW] or b" " for s, _ in samples])]
+        x, held = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[2] for p in parts])
         y = np.array([langs.index(lang) for _, lang in samples])
     m1, m2, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     model = lambda kind: Model(langs, [p["table0"].astype(kind), p["table1"].astype(kind)], [p["rec0"].astype(kind), p["rec1"].astype(kind)], p["out"].astype(kind), p["bias"].astype(kind))
@@ -145,24 +151,23 @@ def train(samples: list[tuple[bytes, str]], hidden: int = 4, epochs: int = 8, ba
     return model(np.float32)
 
 
-def document_probabilities(model: Model, texts: list[bytes], wide: int = 8192) -> np.ndarray:
+def document_probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
     """Mean over a text's positions of each language's probability there (texts x languages); zeros for an empty text."""
-    x, of, held = _windows(texts)
     pooled = np.zeros((len(texts), len(model.langs)))
-    for at in range(0, len(of), wide):
-        part = slice(at, at + wide)
-        prob, _, _ = _position_probabilities(model, x[:, part])
-        prob *= np.arange(WINDOW)[:, None] < held[None, part]
-        np.add.at(pooled, of[part], prob.sum(axis=1).T)
+    for x, of, held in _windows(texts):
+        prob, _, _ = _position_probabilities(model, x)
+        prob *= np.arange(WINDOW)[:, None] < held[None, :]
+        np.add.at(pooled, of, prob.sum(axis=1).T)
     return pooled / np.maximum(1, np.fromiter(map(len, texts), np.int64, len(texts)))[:, None]
 
 
 def position_spans(model: Model, text: str) -> list[tuple[int, int, str]]:
     """Runs (start, end, language) of byte positions that have the same likeliest language."""
-    data = text.encode()
-    x, _, held = _windows([data])
-    best = _position_probabilities(model, x)[0].argmax(axis=0) if len(held) else np.empty((WINDOW, 0), int)
-    label = np.concatenate([best[:n, i] for i, n in enumerate(held)] or [np.empty(0, int)])
+    found: list[np.ndarray] = [np.empty(0, int)]
+    for x, _, held in _windows([text.encode("utf-8", "replace")]):
+        best = _position_probabilities(model, x)[0].argmax(axis=0)
+        found += [best[:n, i] for i, n in enumerate(held)]
+    label = np.concatenate(found)
     cuts = [0, *(np.nonzero(np.diff(label))[0] + 1).tolist(), len(label)] if len(label) else []
     return [(a, b, model.langs[label[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
