@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -77,7 +79,9 @@ def features(found: ahocorasick.Automaton, words: list[str]) -> tuple[float, flo
             spared.append((start, end))
         elif weight > best.get(start, 0.0):
             best[start] = weight
-    total = sum(w for s, w in best.items() if not any(a <= s < b for a, b in spared))
+    spared.sort()
+    starts, reach = [a for a, _ in spared], [0, *accumulate((b for _, b in spared), max)]
+    total = sum(w for s, w in best.items() if s >= reach[bisect_right(starts, s)])
     return total / math.sqrt(len(words) + 10), 10 * total / (len(words) + 10)
 
 

@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -215,6 +216,17 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(table, language_id.train([])).collect()} == {"und"}
 
 
+def test_windows_cover_the_texts():
+    texts = [b"", b"ab", bytes(range(255)) * 3, b"", b"x" * language_id.WINDOW, b"y"]
+    for at_once in (1, 3, 8192):
+        back = [b""] * len(texts)
+        for x, of, held in language_id._windows(texts, at_once=at_once):
+            assert x.shape[1] <= at_once and (x[-1, held < language_id.WINDOW] == language_id.PAD).all()
+            for i, (k, n) in enumerate(zip(of, held, strict=True)):
+                back[k] += bytes(x[:n, i].tolist())
+        assert back == texts
+
+
 def test_backpropagation_is_the_gradient():
     rng = np.random.default_rng(0)
     x, table, rec = rng.integers(0, 256, (6, 3)), rng.normal(size=(4, 257)), rng.normal(size=(4, 2))
@@ -244,6 +256,11 @@ def test_token_counts(spark):
     ends, starts = np.array([2, 5, 9, 10]), np.array([0, 3, 4, 8])
     assert [token_counts.attribute(ends, starts, 10, r)[0].tolist() for r in token_counts.RULES] == [[2, 0, 1, 1], [1, 0, 1, 2], [2, 0, 1, 1]]
     assert token_counts.section_tokens(docs(spark, ODD).limit(0), RANKS, PATTERN).count() == 0
+    for t in ODD[1:]:
+        words = [i for w in regex.finditer(PATTERN, t) for i in enc._encode_single_piece(w.group())]
+        assert token_counts.tokens(enc, PATTERN, t).tolist() == words
+    blank = " " * 1_500_000 + "a"
+    assert size[token_counts.tokens(enc, PATTERN, blank)].sum() == len(blank)
 
 
 def test_hash_index(spark):
@@ -315,5 +332,8 @@ def test_toxicity(spark):
     assert all((got[i] >= 0.3) == bool(bad) for i, _, bad in rows[300:]) and got[900] == got[901] < 0.3
     found = lexicon.automaton()
     assert toxicity.features(found, toxicity.fold("a clown fish")) == (0.0, 0.0) < toxicity.features(found, toxicity.fold("a clown"))
+    own = toxicity.Lexicon({" b": 1.0, " d ": 2.0}, ("a b c d e", "b c", "d a"), (0, 0, 0)).automaton()
+    for text, total in (("a b c d e", 0), ("b c d", 2), ("a b c d", 2), ("d d a b", 3), ("b c " * 3 + "b", 1)):
+        assert toxicity.features(own, text.split())[1] == 10 * total / (len(text.split()) + 10)
     assert toxicity.fold("1D1​OT іdіot") == ["idiot", "idiot"]
     assert toxicity.toxicity(table, toxicity.learn(table.limit(0))).count() == 402
