@@ -62,3 +62,12 @@ def test_near_copy_stage_keeps_one_of_each_group(spark):
     left = pipeline.without_near_copies(spark, table, "")
     assert left.columns == table.columns
     assert sorted(r.doc_id for r in left.collect()) == sorted({r: i for i, r in reversed([*enumerate(root)])}.values())
+
+
+def test_near_copy_stage_tells_rows_apart(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, f"{a} tail"), (2, b), (3, c), (3, f"{c} tail"), (None, d), (None, f"{d} tail"), (None, f"{a} end"), (4, "x"), (4, "x"), (None, "alone")]
+    left = pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert (1, a) in got and (2, b) in got and (None, "alone") in got and got.count((4, "x")) == 1
+    assert len([r for r in got if r[0] == 3]) == 1 and len([r for r in got if r[0] is None and r[1].startswith("d")]) == 1 and len(got) == 6
