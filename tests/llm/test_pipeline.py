@@ -1,12 +1,17 @@
 """The stages of corpus_pipeline against brute force, on small tables."""
 
+import hashlib
 import itertools
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from gazette.llm import near_copies
+from gazette.llm import lattice, near_copies, sentencepiece
+from gazette.llm.queries import vocabulary
 
 
 def plain_shingles(text):
@@ -71,3 +76,87 @@ def test_near_copy_stage_tells_rows_apart(spark):
     got = [(r.doc_id, r.text) for r in left.collect()]
     assert (1, a) in got and (2, b) in got and (None, "alone") in got and got.count((4, "x")) == 1
     assert len([r for r in got if r[0] == 3]) == 1 and len([r for r in got if r[0] is None and r[1].startswith("d")]) == 1 and len(got) == 6
+
+
+def corpus():
+    """Rows (doc_id, text, source): clean and toxic texts, exact copies, near copies, null and empty texts, null and repeated ids."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("bcdfgklmnpaeiou", k=5)) for _ in range(300)]
+    rows = []
+    for i in range(360):
+        said = rng.choices(words, k=60)
+        if i % 6 == 0:
+            said[rng.randrange(50)] = rng.choice(["idiot", "idi0t", "IDIOT"])
+        rows.append((i, " ".join(said), "abc"[i % 3]))
+    for k, i in enumerate(range(1, 120, 7)):
+        rows += [(400 + k, rows[i][1].replace(" ", "  ", k % 3), "a"), (500 + k, f"{rows[i][1]} {words[k]}", "b"), (None, f"{words[k]} {rows[i][1]}", "c")]
+    rows += [(600, None, "a"), (601, "", "b"), (None, " ", "c"), rows[5], (7, rows[8][1] + " tail", "a"), (2, "only this of id two", "b")]
+    return rows
+
+
+def plain_toxic(rows):
+    return [r for r in rows if not any(w in (r[1] or "").lower() for w in ("idiot", "idi0t"))]
+
+
+def plain_exact(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault("".join((r[1] or "").split()), []).append(r)
+    return [min(g, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)) for g in groups.values()]
+
+
+def plain_near(rows):
+    groups = {}
+    for r, g in zip(rows, plain_groups([r[1] for r in rows]), strict=True):
+        groups.setdefault(g, []).append(r)
+    mark = lambda t: hashlib.sha256(b"" if t is None else f"={t}".encode()).hexdigest()[:32]
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0, mark(r[1]))) for g in groups.values()]
+
+
+def plain_mixed(rows):
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len((t or "").split())
+    weight, left, free, target = dict(zip(sorted(size), (3, 1, 2), strict=True)), 1.5 * sum(size.values()), set(size), {}
+    while over := {s for s in free if left * weight[s] / sum(weight[x] for x in free) >= 2 * size[s]}:
+        target |= {s: 2.0 * size[s] for s in over}
+        left, free = left - sum(2 * size[s] for s in over), free - over
+    target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    out = []
+    for r in rows:
+        rate = target[r[2]] / size[r[2]]
+        drawn = int(hashlib.md5(f"mix:{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:12], 16) / 2**48
+        out += [r] * (math.floor(rate) + (drawn < rate - math.floor(rate)))
+    return out
+
+
+PLAIN = {"toxicity": plain_toxic, "exact dedup": plain_exact, "simhash near-dedup": plain_near, "mixing": plain_mixed}
+
+
+def test_stages_and_run(spark, tmp_path):
+    rows, schema = corpus(), "doc_id long, text string, source string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(360)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    codec = sentencepiece.Codec(lattice.load_pieces(vocabulary("piece_bpe_32k.model")))
+    same = lambda r: (r[0], r[1] or "", r[2])
+    docs, last = spark.read.parquet(f"{tmp_path}/documents.parquet"), Counter()
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name == "sentencepiece":
+            got = out.collect()
+            assert all(r.n_pieces == len(r.ids) for r in got)
+            last = Counter((r.doc_id, codec.decode(np.array(r.ids, "int32")), r.source) for r in got)
+            assert last == Counter(map(same, rows))
+        else:
+            before, rows = len(rows), PLAIN[name](rows)
+            assert len(rows) != before and out.columns == docs.columns
+            assert Counter(map(same, out.collect())) == Counter(map(same, rows)), name
+            docs = spark.createDataFrame(rows, schema).repartition(3)
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, codec.decode(np.array(r.ids, "int32")), r.source) for r in got) == last
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
