@@ -120,7 +120,8 @@ def learn(labelled: DataFrame, at_most_rows: int = 16_000, at_most_terms: int =
     """A lexicon from labelled rows (label 0 or 1; other labels and null are left out).
 
     A bounded sample teaches: those whose ids' hashes are the least, at_most_rows of them on average. Its terms are counted by Spark; the
-    driver gets counts of terms that enough toxic texts have, and two numbers of each sampled row to calibrate on.
+    driver gets counts of the terms that the rule of choose() takes, and two numbers of each sampled row to calibrate on. Of more than
+    at_most_terms such terms, those with the largest product of toxic texts and log odds stay.
     """
     key = F.xxhash64(F.col(id_col).cast("string"), F.lit("lexicon"))
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(key.alias("key"), F.col(text_col).alias("text"), (F.col(label_col) == 1).alias("toxic"))
@@ -131,15 +132,19 @@ def learn(labelled: DataFrame, at_most_rows: int = 16_000, at_most_terms: int =
         clean: Counter = Counter()
         for batch in batches:
             for text, yes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (toxic if yes else clean).update(["", *terms(set(fold(text)))])
+                (toxic if yes else clean).update(terms(set(fold(text))))
         # A term that no toxic text of this task has can matter by its clean count only.
         both = [*toxic, *(t for t in clean if t not in toxic)]
         yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([toxic[t] for t in both], pa.int64()), pa.array([clean[t] for t in both], pa.int64())], names=["term", "a", "b"])
 
     summed = rows.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counts = [(r.term, r.a, r.b) for r in summed.where("a >= 4 and a > b or term = ''").collect()]
-    toxic, clean = next(((a, b) for t, a, b in counts if not t), (0, 0))
-    weight = choose([c for c in counts if c[0]], toxic, clean, at_most_terms)
+    totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    toxic, clean = totals.get(True, 0), totals.get(False, 0)
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    # The rule of choose(), which decides: the driver gets no term that is clearly below it.
+    says = F.log(a / (toxic + 1)) - F.log(b / (clean + 1)) - F.sqrt(1 / a + 1 / b)
+    counts = [(r.term, r.a, r.b) for r in summed.where((F.col("a") >= 4) & (says > 2 - 1e-6)).collect()]
+    weight = choose(counts, toxic, clean, at_most_terms)
     # Calibrated on texts without what each adds to the counts itself: a term that few toxic texts have loses one.
     shared = labelled.sparkSession.sparkContext.broadcast(Lexicon(weight, exceptions, (0, 0, 0)))
 
