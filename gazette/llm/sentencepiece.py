@@ -65,24 +65,29 @@ def _share(spark: SparkSession, model: bytes):
     return zlib.crc32(model), spark.sparkContext.broadcast(load_pieces(model))
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", batch: int = 512) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", batch: int = 512, decodes_col: str | None = None) -> DataFrame:
     """docs with the ids of each text (array of int) in ids_col; a null text has an empty array. Rows and columns stay as they are.
 
-    docs must not have a column ids_col. The vocabulary is broadcast: its size is the model file's. An empty table gives none.
+    With decodes_col, the ids are decoded in the same pass, and that column says whether they give the text back (null counts as empty).
+    docs must not have a column ids_col or decodes_col. The vocabulary is broadcast: its size is the model file's. An empty table gives none.
     """
-    if ids_col in docs.columns:
-        raise ValueError(f"the table already has a column {ids_col}")
+    for name in (ids_col, decodes_col):
+        if name in docs.columns:
+            raise ValueError(f"the table already has a column {name}")
     (key, shared), at = _share(docs.sparkSession, model), docs.columns.index(text_col)
-    schema = docs.withColumn(ids_col, F.array().cast("array<int>")).schema
+    schema = docs.withColumn(ids_col, F.array().cast("array<int>"))
+    schema = (schema.withColumn(decodes_col, F.lit(True)) if decodes_col else schema).schema
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, shared)
         for whole in batches:
             for part in (whole.slice(i, batch) for i in range(0, whole.num_rows, batch)):
-                ids = codec.encode(part.column(at).to_pylist())
+                texts = part.column(at).to_pylist()
+                ids = codec.encode(texts)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 col = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
-                yield pa.RecordBatch.from_arrays([*part.columns, col], names=schema.names)
+                back = [pa.array([codec.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())] if decodes_col else []
+                yield pa.RecordBatch.from_arrays([*part.columns, col, *back], names=schema.names)
 
     return docs.mapInArrow(each, schema)
 

@@ -160,3 +160,14 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_last_stage_decodes_what_it_encodes(spark):
+    table = spark.createDataFrame([(1, "a \t b\u2581\n", "s"), (2, None, "s"), (3, "", "s"), (None, "Zw\u00f6lf \U0001f600", "s")], "doc_id long, text string, source string")
+    got = pipeline.encoded(spark, table, "").collect()
+    assert len(got) == 4 and all(r.decodes for r in got)
+    model = vocabulary("piece_bpe_32k.model")
+    coded = sentencepiece.encode(table, model, decodes_col="decodes")
+    assert coded.columns == [*table.columns, "ids", "decodes"]
+    with pytest.raises(ValueError):
+        sentencepiece.encode(table, model, decodes_col="text")
