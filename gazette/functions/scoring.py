@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions.lexicon import DEFAULT, Lexicon
-from gazette.functions.text import literal_array, normalize_text, present, split_words, strip, tokenize
+from gazette.functions.staging import free_names
+from gazette.functions.text import literal_array, normalize_text, present, split_words, strip, words
 
 
 def effective_title(og_title: Column, title: Column) -> Column:
@@ -33,21 +34,34 @@ def boost(n: Column, base: float, extra: float = 0.03, most_extra: int = 2) -> C
 
 
 def content(title: Column, context: Column) -> Column:
-    return normalize_text(strip(F.concat(title, F.lit(" "), context)))
-
-
-def relevance(title: Column, context: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """Between 0 and 1: boosts for lexicon hits and phrases, less a penalty for low-priority ones; 0.2 for no words."""
-    norm = content(title, context)
-    tokens = tokenize(norm, lexicon.stopwords)
-    counts = [(hits(tokens, w), base) for _, w, base in lexicon.groups]
-    score = reduce(lambda s, x: s + boost(*x), counts, F.lit(0.15))
-    score = score + F.least(phrase_hits(norm, lexicon.high_phrases), F.lit(2)) * F.lit(0.07)
-    low = phrase_hits(norm, lexicon.low_phrases) + hits(tokens, lexicon.low)
-    some = reduce(lambda a, b: a + b, [n for n, _ in counts]) > 0
+    return normalize_text(F.concat(title, F.lit(" "), context))
+
+
+def with_hits(df: DataFrame, title: Column, context: Column, lexicon: Lexicon = DEFAULT) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns of the words, the normalised text and the tokens, and of their hits; and what these columns are called:
+    norm, tokens, low, high_phrases, low_phrases, and a name for each group of the lexicon."""
+    known = ["words", "norm", "tokens", "high_phrases", "low_phrases", "low", *(name for name, _, _ in lexicon.groups)]
+    at = dict(zip(known, free_names(df.columns, *(f"_{k}" for k in known)), strict=True))
+    col = lambda k: F.col(at[k])
+    df = df.withColumn(at["words"], words(F.concat(title, F.lit(" "), context)))
+    df = df.withColumns({at["norm"]: F.array_join(col("words"), " "), at["tokens"]: F.array_except(col("words"), literal_array(lexicon.stopwords))})
+    counts = {at[name]: hits(col("tokens"), w) for name, w, _ in lexicon.groups}
+    counts |= {at["low"]: hits(col("tokens"), lexicon.low), at["high_phrases"]: phrase_hits(col("norm"), lexicon.high_phrases), at["low_phrases"]: phrase_hits(col("norm"), lexicon.low_phrases)}
+    return df.withColumns(counts), at
+
+
+def with_relevance(df: DataFrame, title: Column, context: Column, out: str = "relevance", lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """df with a number between 0 and 1: boosts for lexicon hits and phrases, less a penalty for low-priority ones; 0.2 for
+    no words. Words and hits are columns of their own on the way, so that each is computed once."""
+    df, at = with_hits(df, title, context, lexicon)
+    col = lambda k: F.col(at[k])
+    score = reduce(lambda s, g: s + boost(col(g[0]), g[2]), lexicon.groups, F.lit(0.15))
+    score = score + F.least(col("high_phrases"), F.lit(2)) * F.lit(0.07)
+    low = col("low_phrases") + col("low")
+    some = reduce(lambda a, b: a + b, [col(name) for name, _, _ in lexicon.groups]) > 0
     penalty = F.when(some, F.lit(0.08)).otherwise(F.lit(0.22)) + F.least(low, F.lit(3)) * F.lit(0.03)
     score = score - F.when(low > 0, penalty).otherwise(F.lit(0.0))
-    return F.when(norm == "", F.lit(0.2)).otherwise(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))))
+    return df.withColumn(out, F.when(col("norm") == "", F.lit(0.2)).otherwise(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))))).drop(*at.values())
 
 
 def recency(published: Column, as_of: Column) -> Column:

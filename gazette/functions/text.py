@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What Python's str.strip() and str.split() take for white space.
+#: What Python's str.strip() and str.split() take for white space: a pattern, and its characters.
 SPACE = r"(?U)[\s\x1c-\x1f]"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # What pads a summary that is short of sentences.
 SENTENCE_PADS = (
@@ -16,21 +19,17 @@ SENTENCE_PADS = (
 )
 
 
-def _spaced(pattern: str) -> str:
-    return pattern.replace("_", r"[\s\x1c-\x1f]")
-
-
 def present(x: Column) -> Column:
     """Null where the text is empty."""
-    return F.when(x != "", x)
+    return F.nullif(x, F.lit(""))
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, _spaced(r"(?U)^_+|_+$"), "")
+    return F.rtrim(F.ltrim(x, F.lit(BLANKS)), F.lit(BLANKS))
 
 
 def rstrip(x: Column) -> Column:
-    return F.regexp_replace(x, _spaced(r"(?U)_+$"), "")
+    return F.rtrim(x, F.lit(BLANKS))
 
 
 def split_words(x: Column) -> Column:
@@ -68,8 +67,13 @@ def split_sentences(x: Column) -> Column:
 def enforce_sentences(x: Column, count: int = 3) -> Column:
     """The first `count` sentences; missing ones are padded by place, in turn."""
     pads = literal_array([SENTENCE_PADS[i % len(SENTENCE_PADS)] for i in range(count)])
-    have = split_sentences(F.coalesce(x, F.lit("")))
-    return F.array_join(F.slice(F.concat(have, F.slice(pads, F.size(have) + 1, F.greatest(F.lit(0), F.lit(count) - F.size(have)))), 1, count), " ")
+    have = F.slice(split_sentences(F.coalesce(x, F.lit(""))), 1, count)
+    return F.array_join(F.zip_with(have, pads, lambda h, p: F.coalesce(h, p)), " ")
+
+
+def count_sentences(text: str) -> int:
+    """How many sentences split_sentences finds, for a text that is not in a table."""
+    return len([s for s in re.split(r"(?<=[.!?])\s+", " ".join(text.split())) if s])
 
 
 def truncate(x: Column, limit: Column | int) -> Column:

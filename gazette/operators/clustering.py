@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.functions.lexicon import DEFAULT, Lexicon
 from gazette.functions.text import normalize_text, tokenize
+from gazette.storage import stored
 
 MAX_HOURS = 120
 
@@ -34,48 +33,44 @@ def scan_order(df: DataFrame, published: str = "published_at", pos: str = "pos")
     return ordered.join(F.broadcast(shift), "_part").withColumn("rk", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir names (one of our own where it is unset) and read again."""
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='gazette-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_tokens(df: DataFrame, title: str = "title", lexicon: Lexicon = DEFAULT) -> DataFrame:
     norm = normalize_text(F.col(title))
     return df.withColumn("norm", norm).withColumn("tokens", tokenize(F.col("norm"), lexicon.stopwords))
 
 
-def candidate_pairs(df: DataFrame, least: int = 2) -> DataFrame:
-    """l, r, overlap: pairs of rows (rk, tokens) with l after r that share `least` tokens or more.
+def candidate_pairs(asked: DataFrame, kinds: DataFrame, least: int = 2) -> DataFrame:
+    """l, r, overlap: rows of `asked` (rk, norm, tokens) and titles of `kinds` (as titles() gives) that stand before them, with
+    another text, and share `least` tokens or more.
 
-    Rows of equal token sets meet once, as sets: sets pair by the tokens they share, and rows by their sets. What this
-    loses is nothing; what it saves is a title's copies meeting over every one of its tokens. No token is left out.
+    Frequent tokens count too, so the pairs of all rows would grow with the square of their number; a stated part of the rows
+    asks all titles. Equal token sets ask once, and a title answers once, whatever its copies.
     """
-    rows = df.select("rk", F.array_sort("tokens").alias("set"))
+    rows = asked.select("rk", "norm", F.array_sort("tokens").alias("set"))
     sets = rows.groupBy("set").agg(F.min("rk").alias("id"))
-    terms = sets.select("id", F.explode("set").alias("t"))
-    a, b = terms.select(F.col("id").alias("x"), "t"), terms.select(F.col("id").alias("y"), "t")
-    shared = a.join(b, "t").where("x <= y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= least)
-    both = shared.unionByName(shared.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "overlap"))
-    of = rows.join(sets, "set").select("rk", "id")
-    left, right = of.select(F.col("rk").alias("l"), F.col("id").alias("x")), of.select(F.col("rk").alias("r"), F.col("id").alias("y"))
-    return both.join(left, "x").join(right, "y").where("l > r").select("l", "r", "overlap")
+    left, right = sets.select("id", F.explode("set").alias("t")), kinds.select(F.col("rk").alias("r"), F.explode("tokens").alias("t"))
+    shared = left.join(right, "t").groupBy("id", "r").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= least)
+    of = rows.join(sets, "set").select("id", F.col("rk").alias("l"), "norm")
+    named = kinds.select(F.col("rk").alias("r"), F.col("norm").alias("r_norm"))
+    return shared.join(of, "id").join(named, "r").where("r < l and norm <> r_norm").select("l", "r", "overlap")
 
 
-def with_sides(pairs: DataFrame, df: DataFrame) -> DataFrame:
+def with_sides(pairs: DataFrame, asked: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """Pairs with norm, number of tokens and published_at of both sides, jaccard and overlap ratio."""
-    side = lambda p: df.select(F.col("rk").alias(p), F.col("norm").alias(f"{p}_norm"), F.size("tokens").alias(f"{p}_n"), F.col("published_at").alias(f"{p}_at"))
-    out = pairs.join(side("l"), "l").join(side("r"), "r")
+    side = lambda df, p: df.select(F.col("rk").alias(p), F.col("norm").alias(f"{p}_norm"), F.size("tokens").alias(f"{p}_n"), F.col("published_at").alias(f"{p}_at"))
+    out = pairs.join(side(asked, "l"), "l").join(side(asked if kinds is None else kinds, "r"), "r")
     out = out.withColumn("jaccard", F.col("overlap") / (F.col("l_n") + F.col("r_n") - F.col("overlap")))
     return out.withColumn("overlap_ratio", F.col("overlap") / F.greatest(F.least("l_n", "r_n"), F.lit(1)))
 
 
+def aligned_rows(pairs: DataFrame, asked: DataFrame, rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """l, r, aligned, apart: of the rows that have title r and stand before l, how many are within MAX_HOURS of l and how many
+    aren't."""
+    dated = rows.join(kinds.select("norm", F.col("rk").alias("r")), "norm").select("r", "rk", F.col("published_at").alias("r_at"))
+    met = pairs.select("l", "r").join(asked.select(F.col("rk").alias("l"), F.col("published_at").alias("l_at")), "l").join(dated, "r").where("rk < l")
+    near = time_aligned("l_at", "r_at")
+    return met.groupBy("l", "r").agg(F.count_if(near).alias("aligned"), F.count_if(~near).alias("apart"))
+
+
 def time_aligned(left: str, right: str, hours: int = MAX_HOURS):
     apart = F.abs(F.unix_micros(F.col(left).cast("timestamp")) - F.unix_micros(F.col(right).cast("timestamp")))
     return F.coalesce(apart <= hours * 3_600_000_000, F.lit(True))

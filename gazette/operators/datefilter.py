@@ -16,5 +16,5 @@ def published_today(df: DataFrame, now: datetime, published: str = "published_at
     now = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
     start = (now.replace(hour=0, minute=0, second=0, microsecond=0) - now.utcoffset()).replace(tzinfo=None)
     kind = df.schema[published].dataType.simpleString()
-    bound = lambda t: F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz" if kind == "timestamp_ntz" else "timestamp")
+    bound = lambda t: F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz") if kind == "timestamp_ntz" else F.lit(f"{t.isoformat(sep=' ')}Z").cast("timestamp")
     return df.where((F.col(published) >= bound(start)) & (F.col(published) < bound(start + timedelta(days=1))))

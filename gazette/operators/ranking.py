@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import scoring
 from gazette.functions.lexicon import DEFAULT, Lexicon
+from gazette.functions.staging import free_names
 from gazette.operators.clustering import story_clusters
 
 
@@ -31,8 +32,9 @@ def score_rows(df: DataFrame, as_of: Column, lexicon: Lexicon = DEFAULT) -> Data
     """df with score. Columns: title, og_title, description, og_description, source_name, published_at, duplicate_count, cluster_size."""
     title = scoring.effective_title(F.col("og_title"), F.col("title"))
     context = scoring.effective_context(F.col("og_description"), F.col("description"))
-    score = scoring.final_score(scoring.relevance(title, context, lexicon), scoring.recency(F.col("published_at"), as_of), scoring.source_weight(F.col("source_name"), lexicon), F.col("duplicate_count"), F.col("cluster_size"), scoring.novelty(title))
-    return df.withColumn("score", score)
+    (rel,) = free_names(df.columns, "_relevance")
+    score = scoring.final_score(F.col(rel), scoring.recency(F.col("published_at"), as_of), scoring.source_weight(F.col("source_name"), lexicon), F.col("duplicate_count"), F.col("cluster_size"), scoring.novelty(title))
+    return scoring.with_relevance(df, title, context, rel, lexicon).withColumn("score", score).drop(rel)
 
 
 def rank_articles(df: DataFrame, as_of: Column, limit: int, lexicon: Lexicon = DEFAULT) -> DataFrame:

@@ -60,14 +60,16 @@ _PARTS = (("subject", SUBJECTS, 1), ("verb", VERBS, 2), ("object", OBJECTS, 3),
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, title, description, source_name, published_at, duplicate_count: headlines that the word lists know, dealt to
-    the documents by their ids."""
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7 + 1).alias("duplicate_count"), *[_turn(v, "doc_id", by).alias(n) for n, v, by in _PARTS])
-    d = d.withColumn("title", F.concat_ws(" ", "subject", "verb", "object")).drop("subject", "verb", "object")
+    """doc_id, title, description, source_name, published_at, duplicate_count of every document: its first twelve words behind a
+    headline that the word lists know, and its whole text behind such a context; these are dealt by the ids."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 7 + 1).alias("duplicate_count"), *[_turn(v, "doc_id", by).alias(n) for n, v, by in _PARTS])
+    title = F.concat_ws(" ", "subject", "verb", "object", F.array_join(F.slice(split_words(F.col("text")), 1, 12), " "))
+    d = d.withColumns({"title": title, "description": F.concat_ws(" ", "description", "text")}).drop("subject", "verb", "object", "text")
     return d.join(times(spark, sf_dir), F.col("doc_id") == F.col("_event"), "left").drop("_event")
 
 
-HEADLINES_SQL = f"""dealt AS (
-    SELECT doc_id, doc_id % 7 + 1 AS duplicate_count, {", ".join(f"{_turn_sql(v, 'doc_id', by)} AS {n}" for n, v, by in _PARTS)} FROM documents),
-t3 AS (SELECT doc_id, duplicate_count, subject || ' ' || verb || ' ' || object AS title, description, source_name, e.ts AS published_at
+HEADLINES_SQL = rf"""dealt AS (
+    SELECT doc_id, text, doc_id % 7 + 1 AS duplicate_count, {", ".join(f"{_turn_sql(v, 'doc_id', by)} AS {n}" for n, v, by in _PARTS)} FROM documents),
+t3 AS (SELECT doc_id, duplicate_count, concat_ws(' ', subject, verb, object, coalesce(array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:12], ' '), '')) AS title,
+    concat_ws(' ', description, text) AS description, source_name, e.ts AS published_at
     FROM dealt LEFT JOIN events e ON e.event_id = doc_id)"""

@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 
 from gazette.functions import render
 from gazette.functions.scoring import effective_context, effective_title
-from gazette.functions.text import enforce_sentences, split_sentences
+from gazette.functions.staging import free_names
+from gazette.functions.text import count_sentences, enforce_sentences
 
-RESULT = "article_id string, status string, mode string, preview string, message_id long, error string"
+RESULT = "article_id string, status string, mode string, preview string, message_id long, error string, rank long"
+
+# What a failed delivery says.
+NO_CREDENTIALS = "Telegram credentials are missing."
+SEND_FAILED = "Telegram send failed."
+GAVE_UP = "Unknown send failure."
 
 
 def summarize(df: DataFrame, ask: Callable[[str, bool], str] | None = None, concurrency: int = 4) -> DataFrame:
     """df with summary. ask(prompt, again) answers; an answer short of three sentences is asked for once more, and padded if it
     stays so. Without ask, or where it raises, the template's summary stands."""
     title, context = effective_title(F.col("og_title"), F.col("title")), effective_context(F.col("og_description"), F.col("description"))
-    template = render.template_summary(title, F.col("source_name"), context)
     if ask is None:
-        return df.withColumn("summary", template)
+        return render.with_template_summary(df, title, F.col("source_name"), context)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -30,28 +35,23 @@ def summarize(df: DataFrame, ask: Callable[[str, bool], str] | None = None, conc
             for text in batch["_prompt"]:
                 try:
                     answer = ask(text, False)
-                    said.append(answer if len([s for s in answer.replace("!", ".").replace("?", ".").split(".") if s.strip()]) >= 3 else ask(text, True))
+                    said.append(answer if count_sentences(answer) >= 3 else ask(text, True))
                 except Exception:  # noqa: BLE001 - whatever fails, the template answers
                     said.append(None)
             yield batch[["id"]].assign(_answer=pd.Series(said, dtype=object, index=batch.index))
 
     asked = df.select("id", render.prompt(title, F.col("source_name"), F.col("published_at"), F.col("url"), context).alias("_prompt"))
     answers = asked.repartition(concurrency).mapInPandas(each, "id string, _answer string")
-    return df.join(answers, "id", "left").withColumn("summary", F.coalesce(enforce_sentences_or_null(F.col("_answer")), template)).drop("_answer")
-
-
-def enforce_sentences_or_null(answer):
-    return F.when(answer.isNotNull(), enforce_sentences(answer))
-
-
-def n_sentences(text):
-    return F.size(split_sentences(text))
+    (template,) = free_names(df.columns, "_template")
+    told = render.with_template_summary(df.join(answers, "id", "left"), title, F.col("source_name"), context, template)
+    answer = F.col("_answer")
+    return told.withColumn("summary", F.when(answer.isNotNull(), enforce_sentences(answer)).otherwise(F.col(template))).drop("_answer", template)
 
 
 def previews(df: DataFrame) -> DataFrame:
-    """What a dry run would send: article_id, status, mode, preview."""
-    shown = render.preview(F.col("url"), effective_title(F.col("og_title"), F.col("title")), F.col("summary"), F.col("image_url"))
-    return df.withColumn("_shown", shown).select(F.col("id").alias("article_id"), F.lit("dry_run").alias("status"), "_shown.mode", "_shown.preview")
+    """What a dry run would send, in the columns of RESULT."""
+    shown = render.with_preview(df, F.col("url"), effective_title(F.col("og_title"), F.col("title")), F.col("summary"), F.col("image_url"))
+    return shown.select(F.col("id").alias("article_id"), F.lit("dry_run").alias("status"), "mode", "preview", F.lit(None).cast("long").alias("message_id"), F.lit(None).cast("string").alias("error"), F.col("rank").cast("long").alias("rank"))
 
 
 def send_with_retry(post: Callable[[str, dict], tuple[int, dict]], method: str, payload: dict, sleep: Callable[[float], None] = time.sleep, attempts: int = 3) -> dict:
@@ -71,20 +71,19 @@ def send_with_retry(post: Callable[[str, dict], tuple[int, dict]], method: str,
             return data
         else:
             sleep(attempt)
-    return {"ok": False, "description": "Unknown send failure."}
+    return {"ok": False, "description": GAVE_UP}
 
 
 def deliver(df: DataFrame, post: Callable[[str, dict], tuple[int, dict]] | None, chat_id: str | None, parse_mode: str = "HTML", sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Send df's rows in the order of `rank`, one after the other from the driver: a top-k report, and a task that is run
     again must not send twice. A photo that fails is sent as a text."""
     spark = df.sparkSession
-    title = effective_title(F.col("og_title"), F.col("title"))
-    said = F.coalesce(F.when(F.col("summary") != "", F.col("summary")), F.lit("Summary unavailable."))
-    rows = df.orderBy("rank").select("id", "image_url", render.caption(F.col("url"), title, said).alias("caption"), render.text_message(F.col("url"), title, said).alias("text"))
+    shown = render.with_messages(df, F.col("url"), effective_title(F.col("og_title"), F.col("title")), F.col("summary"))
+    rows = shown.orderBy("rank").select("id", "image_url", "caption", "message", "rank")
     out = []
     for r in rows.toLocalIterator():
         if post is None or not chat_id:
-            out.append((r.id, "error", None, None, None, "Telegram credentials are missing."))
+            out.append((r.id, "error", None, None, None, NO_CREDENTIALS, r["rank"]))
             continue
         sent: dict = {}
         if r.image_url:
@@ -92,14 +91,20 @@ def deliver(df: DataFrame, post: Callable[[str, dict], tuple[int, dict]] | None,
         mode = "photo"
         if not sent.get("ok"):
             mode = "text"
-            sent = send_with_retry(post, "sendMessage", {"chat_id": chat_id, "text": r.text, "parse_mode": parse_mode, "disable_web_page_preview": False}, sleep)
+            sent = send_with_retry(post, "sendMessage", {"chat_id": chat_id, "text": r.message, "parse_mode": parse_mode, "disable_web_page_preview": False}, sleep)
         if sent.get("ok"):
-            out.append((r.id, "sent", mode, None, sent["result"].get("message_id"), None))
+            out.append((r.id, "sent", mode, None, sent["result"].get("message_id"), None, r["rank"]))
         else:
-            out.append((r.id, "error", None, None, None, sent.get("description", "Telegram send failed.")))
+            out.append((r.id, "error", None, None, None, sent.get("description", SEND_FAILED), r["rank"]))
     return spark.createDataFrame(out, RESULT)
 
 
 def rollup(results: DataFrame) -> DataFrame:
     """attempted, failed and sent (dry runs too) of delivery results."""
     return results.agg(F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("status") == "error").alias("failed"), F.count_if(F.col("status").isin("sent", "dry_run")).alias("sent"))
+
+
+def first_failures(results: DataFrame, most: int = 3) -> DataFrame:
+    """rank, failure of the first deliveries that failed: which article, and why."""
+    said = F.concat("article_id", F.lit(": "), F.coalesce("error", F.lit("unknown")))
+    return results.where("status = 'error'").orderBy("rank").limit(most).select("rank", said.alias("failure"))

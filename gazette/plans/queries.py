@@ -60,11 +60,15 @@ def rules_merge(spark, sf_dir):
     return _sources(spark, sf_dir).withColumn("blocked", F.array_join("blocked", ","))
 
 
-@query(f"""WITH {_RULES_SQL} SELECT d.doc_id, coalesce(m.image_fallback, true) AS image_fallback, coalesce(m.requires_ua, true) AS requires_ua, coalesce(array_to_string(m.blocked, ','), '') AS blocked
-FROM documents d LEFT JOIN (SELECT * FROM merged WHERE src_pos % 6 <> 5) m ON m.name = d.source""")
+@query(f"""WITH {_RULES_SQL}, listed AS (SELECT name, CASE WHEN src_pos % 6 = 4 THEN false ELSE image_fallback END AS image_fallback, requires_ua, CASE WHEN src_pos % 6 = 4 THEN ['again.example'] ELSE blocked END AS blocked FROM merged WHERE src_pos % 6 <> 5)
+SELECT d.doc_id, coalesce(m.image_fallback, true) AS image_fallback, coalesce(m.requires_ua, true) AS requires_ua, coalesce(array_to_string(m.blocked, ','), '') AS blocked
+FROM documents d LEFT JOIN listed m ON m.name = d.source""")
 def rules_lookup(spark, sf_dir):
+    """Some sources are not listed, and some are listed twice: then the later rules count."""
     d = A.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_name"))
-    return enrich.lookup_rules(d, _sources(spark, sf_dir).where("src_pos % 6 <> 5")).select("doc_id", "image_fallback", "requires_ua", F.array_join("blocked", ",").alias("blocked"))
+    listed = _sources(spark, sf_dir).where("src_pos % 6 <> 5")
+    again = listed.where("src_pos % 6 = 4").withColumns({"src_pos": F.col("src_pos") + 1000, "image_fallback": F.lit(False), "blocked": F.array(F.lit("again.example"))})
+    return enrich.lookup_rules(d, listed.unionByName(again)).select("doc_id", "image_fallback", "requires_ua", F.array_join("blocked", ",").alias("blocked"))
 
 
 @query(f"WITH {A.PAGES_SQL} SELECT page_id, 0::BIGINT AS entry_pos, title, url AS link FROM t1 UNION ALL SELECT page_id, 1, 'second of ' || page_id, NULL FROM t1")
@@ -94,13 +98,13 @@ def feed_head_then_filter(spark, sf_dir):
     return feeds.head_then_filter(e, F.col("link")).select("doc_id", "entry_pos")
 
 
-@query(r"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Untitled Article' WHEN doc_id % 5 = 1 THEN '' ELSE trim(left(text, 40), E' \n\t') END AS title,
-    CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN nullif(trim(substr(text, 1, 90), E' \n\t'), '') ELSE nullif(trim(substr(text, 5, 60), E' \n\t'), '') END AS description FROM documents""")
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Untitled Article' WHEN doc_id % 5 = 1 THEN '' ELSE trim(text, E' \n\t\r') END AS title,
+    CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN nullif(trim(text, E' \n\t\r'), '') ELSE nullif(trim('also ' || text, E' \n\t\r'), '') END AS description FROM documents""")
 def entry_projection(spark, sf_dir):
     d = A.table(spark, sf_dir, "documents")
     by = lambda n, *x: F.when(F.col("doc_id") % n == 0, x[0]).when(F.col("doc_id") % n == 1, x[1]).otherwise(x[2])
-    title = by(5, F.lit(""), F.lit("  \n "), F.substring("text", 1, 40))
-    return d.select("doc_id", feeds.entry_title(title).alias("title"), feeds.entry_description(by(3, F.lit(" \t"), F.substring("text", 1, 90), F.lit("")), F.substring("text", 5, 60)).alias("description"))
+    title = by(5, F.lit(""), F.lit("  \n "), F.col("text"))
+    return d.select("doc_id", feeds.entry_title(title).alias("title"), feeds.entry_description(by(3, F.lit(" \t"), F.col("text"), F.lit("")), F.concat(F.lit("also "), "text")).alias("description"))
 
 
 @query("SELECT event_id, date_trunc('second', ts) AS ts FROM events")
@@ -127,17 +131,29 @@ def article_id(spark, sf_dir):
 _KEPT = f"list_filter(string_split(regexp_extract(whole, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT list_contains({_quoted(urls.TRACKING)}, split_part(p, '=', 1)))"
 
 
-@query(f"""WITH cut AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS whole FROM pages),
-kept AS (SELECT page_id, split_part(whole, '?', 1) AS base, array_to_string(list_transform({_KEPT}, lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END), '&') AS q FROM cut)
-SELECT page_id, CASE WHEN q = '' THEN base ELSE base || '?' || q END AS url FROM kept""")
+_URLS_SQL = f"""cut AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS whole FROM pages),
+kept AS (SELECT page_id, split_part(whole, '?', 1) AS base, array_to_string(list_transform({_KEPT}, lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END), '&') AS q FROM cut),
+urls AS (SELECT page_id, CASE WHEN q = '' THEN base ELSE base || '?' || q END AS url FROM kept)"""
+
+
+@query(f"WITH {_URLS_SQL} SELECT page_id, url FROM urls")
 def normalize_url(spark, sf_dir):
     return A.table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("url"))
 
 
+@query(f"""WITH {_URLS_SQL}, {A.PAGES_SQL}, keyed AS (SELECT u.url, t1.page_id, t1.published_at FROM t1 JOIN urls u USING (page_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY published_at DESC NULLS LAST, page_id) AS nth, count(*) OVER (PARTITION BY url) AS duplicate_count, min(page_id) OVER (PARTITION BY url) AS first_pos FROM keyed)
+SELECT url, page_id, duplicate_count, first_pos FROM r WHERE nth = 1""")
+def dedupe_urls(spark, sf_dir):
+    """The latest page of each normalised URL."""
+    p = A.page_articles(spark, sf_dir).select("page_id", "published_at", urls.normalize_url(F.col("url")).alias("url"))
+    return dedupe.keep_latest(p, ["url"], "published_at", "page_id").select("url", "page_id", "duplicate_count", "first_pos")
+
+
 _HOST = "lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))"
 
 
-@query(f"WITH h AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT page_id, host, host IN ('site1.example') OR ends_with(host, '.site1.example') OR host = 'example.com' OR ends_with(host, '.example.com') OR host LIKE '%1.%.test' AND false AS blocked FROM h")
+@query(f"WITH h AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT page_id, host, host IN ('site1.example') OR ends_with(host, '.site1.example') OR host = 'example.com' OR ends_with(host, '.example.com') AS blocked FROM h")
 def domain_block(spark, sf_dir):
     return A.table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.is_blocked(F.col("url"), text.literal_array([" Site1.example", "example.com "])).alias("blocked"))
 
@@ -161,13 +177,18 @@ def image_fallback(spark, sf_dir):
     return A.table(spark, sf_dir, "pages").select("page_id", enrich.choose_image(og, rss, k % 3 != 0).alias("image_url"))
 
 
-@query(f"WITH {A.PAGES_SQL} SELECT page_id, coalesce(CASE WHEN page_id % 4 <> 0 THEN nullif(trim('og ' || page_id), '') END, title) AS effective_title, CASE WHEN page_id % 4 <> 0 AND page_id % 6 <> 0 THEN url ELSE url || '/rss.png' END AS image_url FROM t1")
+@query(f"""WITH {A.PAGES_SQL}, {_URLS_SQL}, fetched AS (SELECT u.url AS key, min(page_id) AS f, arg_min(p.url, page_id) AS own FROM urls u JOIN pages p USING (page_id) GROUP BY u.url)
+SELECT page_id, CASE WHEN f % 4 <> 0 THEN 'og ' || f ELSE title END AS effective_title, CASE WHEN f % 4 <> 0 AND f % 6 <> 0 THEN own ELSE t1.url || '/rss.png' END AS image_url
+FROM t1 JOIN urls u USING (page_id) JOIN fetched ON key = u.url""")
 def enrich_join(spark, sf_dir):
     p = A.page_articles(spark, sf_dir)
     art = p.select("page_id", "title", F.concat("url", F.lit("#frag")).alias("url"), F.concat("url", F.lit("/rss.png")).alias("rss_image_url"), F.lit(True).alias("image_fallback"), F.array().cast("array<string>").alias("blocked"))
     image = F.when(F.col("page_id") % 6 != 0, F.concat(F.lit('<meta property="og:image" content="'), text.escape_html(F.col("url"), quotes=True), F.lit('">'))).otherwise("")
     html = F.concat(F.lit('<meta property="og:title" content="og '), "page_id", F.lit('">'), image)
-    pages = p.select("url", html.alias("html"), F.when(F.col("page_id") % 4 != 0, "text/html; charset=utf-8").otherwise("application/pdf").alias("content_type"), F.col("url").alias("final_url"))
+    pages = p.select("page_id", "url", html.alias("html"), F.when(F.col("page_id") % 4 != 0, "text/html; charset=utf-8").otherwise("application/pdf").alias("content_type"), F.col("url").alias("final_url"))
+    # A normalised url is fetched once: for the first of its pages.
+    first = F.min_by(F.struct("url", "html", "content_type", "final_url"), "page_id").alias("page")
+    pages = pages.groupBy(urls.normalize_url(F.col("url"))).agg(first).select("page.*")
     out = enrich.enrich(art, pages)
     return out.select("page_id", scoring.effective_title(F.col("og_title"), F.col("title")).alias("effective_title"), "image_url")
 
@@ -222,7 +243,7 @@ def template_summary(spark, sf_dir):
 
 
 def _summaries(spark, sf_dir) -> DataFrame:
-    return A.document_articles(spark, sf_dir).withColumn("summary", render.template_summary(F.col("title"), F.col("source"), F.col("description")))
+    return render.with_template_summary(A.document_articles(spark, sf_dir), F.col("title"), F.col("source"), F.col("description"))
 
 
 def _cut(x: str, limit: str) -> str:
@@ -239,7 +260,7 @@ def truncate_text(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), (F.col("doc_id") % 300).cast("int")).alias("text"))
 
 
-_LINKED = f"""{_SUMMARY_SQL}, parts AS (SELECT t2.doc_id, 'https://x.example/?a=1&b="' || t2.doc_id AS url, left(description, 260) AS title, description || ' <' || summary || '>' AS summary, t2.doc_id % 2 = 0 AS image FROM t2 JOIN summaries USING (doc_id)),
+_LINKED = f"""{_SUMMARY_SQL}, parts AS (SELECT t2.doc_id, 'https://x.example/?a=1&b="' || t2.doc_id AS url, description AS title, description || ' <' || summary || '>' AS summary, t2.doc_id % 2 = 0 AS image FROM t2 JOIN summaries USING (doc_id)),
 esc AS (SELECT doc_id, image, {_escaped('url', True)} AS url, {_escaped('title')} AS title, {_escaped('summary')} AS body FROM parts),
 pre AS (SELECT *, '<a href="' || url || '">' || {_cut('title', '200')} || '</a>' || chr(10) || chr(10) AS prefix, '<a href="' || url || '">' || title || '</a>' || chr(10) || chr(10) || body AS whole FROM esc),
 shown AS (SELECT doc_id, image, left(prefix || {_cut('body', 'greatest(1024 - length(prefix), 0)')}, 1024) AS caption, {_cut('whole', '4096')} AS message FROM pre)"""
@@ -247,23 +268,23 @@ shown AS (SELECT doc_id, image, left(prefix || {_cut('body', 'greatest(1024 - le
 
 def _parts(spark, sf_dir) -> DataFrame:
     d = _summaries(spark, sf_dir)
-    return d.select("doc_id", F.concat(F.lit('https://x.example/?a=1&b="'), "doc_id").alias("url"), F.substring("description", 1, 260).alias("title"), F.concat("description", F.lit(" <"), "summary", F.lit(">")).alias("summary"), F.when(F.col("doc_id") % 2 == 0, F.lit("i")).alias("image"))
+    return d.select("doc_id", F.concat(F.lit('https://x.example/?a=1&b="'), "doc_id").alias("url"), F.col("description").alias("title"), F.concat("description", F.lit(" <"), "summary", F.lit(">")).alias("summary"), F.when(F.col("doc_id") % 2 == 0, F.lit("i")).alias("image"))
 
 
 @query(f"WITH {_LINKED} SELECT doc_id, caption AS text FROM shown")
 def render_caption(spark, sf_dir):
-    return _parts(spark, sf_dir).select("doc_id", render.caption(F.col("url"), F.col("title"), F.col("summary")).alias("text"))
+    return render.with_caption(_parts(spark, sf_dir), F.col("url"), F.col("title"), F.col("summary"), "text").select("doc_id", "text")
 
 
 @query(f"WITH {_LINKED} SELECT doc_id, message AS text FROM shown")
 def render_text(spark, sf_dir):
-    return _parts(spark, sf_dir).select("doc_id", render.text_message(F.col("url"), F.col("title"), F.col("summary")).alias("text"))
+    return render.with_text_message(_parts(spark, sf_dir), F.col("url"), F.col("title"), F.col("summary"), "text").select("doc_id", "text")
 
 
 @query(f"WITH {_LINKED} SELECT doc_id, CASE WHEN image THEN 'photo' ELSE 'text' END AS mode, CASE WHEN image THEN caption ELSE message END AS preview FROM shown")
 def delivery_preview(spark, sf_dir):
-    p = _parts(spark, sf_dir)
-    return p.select("doc_id", render.preview(F.col("url"), F.col("title"), F.col("summary"), F.col("image")).alias("p")).select("doc_id", "p.*")
+    shown = render.with_preview(_parts(spark, sf_dir), F.col("url"), F.col("title"), F.col("summary"), F.col("image"))
+    return shown.select("doc_id", "mode", "preview")
 
 
 @query("SELECT count(*) AS attempted, count(*) FILTER (WHERE doc_id % 3 = 0) AS failed, count(*) FILTER (WHERE doc_id % 3 <> 0) AS sent FROM documents")
@@ -272,6 +293,14 @@ def delivery_rollup(spark, sf_dir):
     return deliver.rollup(A.table(spark, sf_dir, "documents").select(F.when(k == 0, "error").when(k == 1, "sent").otherwise("dry_run").alias("status")))
 
 
+@query("SELECT doc_id AS rank, doc_id || ': ' || CASE WHEN doc_id % 2 = 0 THEN 'unknown' ELSE source END AS failure FROM documents WHERE doc_id % 3 = 0 ORDER BY doc_id LIMIT 3")
+def delivery_failures(spark, sf_dir):
+    """The first three of all deliveries that failed."""
+    error = F.when(F.col("doc_id") % 2 == 1, F.col("source"))
+    d = A.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), F.col("doc_id").alias("rank"), error.alias("error"), F.when(F.col("doc_id") % 3 == 0, "error").otherwise("sent").alias("status"))
+    return deliver.first_failures(d)
+
+
 # Scores.
 
 _CONTENT = "array_to_string(regexp_extract_all(lower(title || ' ' || description), '[a-z0-9]+'), ' ')"
@@ -305,20 +334,20 @@ def _headlines(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_HITS_SQL} SELECT doc_id, product, tech, startup, enterprise, deal, low FROM hit")
 def lexicon_hits(spark, sf_dir):
-    h = A.headlines(spark, sf_dir)
-    tokens = text.tokenize(scoring.content(F.col("title"), F.col("description")), DEFAULT.stopwords)
-    return h.select("doc_id", tokens.alias("t")).select("doc_id", *[scoring.hits(F.col("t"), w).alias(n) for n, w in _GROUPS])
+    hit, at = scoring.with_hits(A.headlines(spark, sf_dir), F.col("title"), F.col("description"))
+    return hit.select("doc_id", *[F.col(at[n]).alias(n) for n, _ in _GROUPS])
 
 
 @query(f"WITH {_HITS_SQL} SELECT doc_id, high_phrases, low_phrases FROM hit")
 def phrase_hits(spark, sf_dir):
-    n = A.headlines(spark, sf_dir).select("doc_id", scoring.content(F.col("title"), F.col("description")).alias("n"))
-    return n.select("doc_id", scoring.phrase_hits(F.col("n"), DEFAULT.high_phrases).alias("high_phrases"), scoring.phrase_hits(F.col("n"), DEFAULT.low_phrases).alias("low_phrases"))
+    hit, at = scoring.with_hits(A.headlines(spark, sf_dir), F.col("title"), F.col("description"))
+    return hit.select("doc_id", F.col(at["high_phrases"]).alias("high_phrases"), F.col(at["low_phrases"]).alias("low_phrases"))
 
 
 @query(f"WITH {_SCORES_SQL} SELECT doc_id, round(relevance, 9) AS relevance FROM scored")
 def relevance_score(spark, sf_dir):
-    return A.headlines(spark, sf_dir).select("doc_id", F.round(scoring.relevance(F.col("title"), F.col("description")), 9).alias("relevance"))
+    scored = scoring.with_relevance(A.headlines(spark, sf_dir), F.col("title"), F.col("description"))
+    return scored.select("doc_id", F.round("relevance", 9).alias("relevance"))
 
 
 @query(f"SELECT event_id, {_recency_sql('ts')} AS recency FROM events")
@@ -362,6 +391,15 @@ def today_filter_tz(spark, sf_dir):
     return datefilter.published_today(A.table(spark, sf_dir, "events"), _NOON.astimezone(timezone(timedelta(hours=-5))), "ts").select("event_id", "ts")
 
 
+@query("""WITH d AS (SELECT *, (ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-16') AS today FROM events)
+SELECT count(*) AS n, count(*) FILTER (WHERE today) AS kept, count(*) - count(*) FILTER (WHERE today) AS filtered FROM d""")
+def filtered_count(spark, sf_dir):
+    """How many rows the filter by day keeps and drops."""
+    events = A.table(spark, sf_dir, "events")
+    kept = datefilter.published_today(events, _NOON, "ts").select(F.lit(1).alias("kept"), F.lit(0).alias("n"))
+    return events.select(F.lit(0).alias("kept"), F.lit(1).alias("n")).unionByName(kept).agg(F.sum("n").alias("n"), F.sum("kept").alias("kept")).withColumn("filtered", F.col("n") - F.col("kept"))
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id) AS nth, count(*) OVER (PARTITION BY user_id, event_type) AS duplicate_count,
     min(event_id) OVER (PARTITION BY user_id, event_type) AS first_pos FROM events)
 SELECT user_id, event_type, event_id, duplicate_count, first_pos FROM r WHERE nth = 1""")
@@ -380,26 +418,34 @@ def _ranked_pages(spark, sf_dir) -> DataFrame:
     return clustering.stored(clustering.with_tokens(clustering.scan_order(A.page_articles(spark, sf_dir).drop("html"))), "page-rows")
 
 
-_PAIRS_SQL = f"""{A.PAGES_SQL}, ordered AS (SELECT row_number() OVER (ORDER BY published_at DESC NULLS LAST, page_id) AS rk, published_at, title, array_to_string({_TOKENS.format('title')}, ' ') AS norm FROM t1),
-rows_ AS (SELECT rk, published_at, {_tokens_sql('title')} AS tokens FROM ordered QUALIFY rk = min(rk) OVER (PARTITION BY norm)),
-terms AS (SELECT rk, unnest(tokens) AS t FROM rows_),
-pairs AS (SELECT a.rk AS l, b.rk AS r, count(*) AS overlap FROM terms a JOIN terms b ON a.t = b.t AND a.rk > b.rk GROUP BY ALL HAVING count(*) >= 2),
-sides AS (SELECT p.*, len(a.tokens) AS ln, len(b.tokens) AS rn, a.published_at AS la, b.published_at AS ra FROM pairs p JOIN rows_ a ON a.rk = p.l JOIN rows_ b ON b.rk = p.r)"""
+#: Rows whose page_id is divisible by 50 ask all titles: each distinct title, by the rk of its first row.
+_PAIRS_SQL = f"""{A.PAGES_SQL}, ordered AS (SELECT row_number() OVER (ORDER BY published_at DESC NULLS LAST, page_id) AS rk, page_id, published_at, title, array_to_string({_TOKENS.format('title')}, ' ') AS norm FROM t1),
+tokened AS (SELECT *, {_tokens_sql('title')} AS tokens FROM ordered),
+kinds AS (SELECT * FROM tokened QUALIFY rk = min(rk) OVER (PARTITION BY norm)),
+asked AS (SELECT * FROM tokened WHERE page_id % 50 = 0),
+pairs AS (SELECT a.l, b.r, count(*) AS overlap FROM (SELECT rk AS l, norm, unnest(tokens) AS t FROM asked) a JOIN (SELECT rk AS r, norm, unnest(tokens) AS t FROM kinds) b ON a.t = b.t AND a.l > b.r AND a.norm <> b.norm GROUP BY ALL HAVING count(*) >= 2),
+sides AS (SELECT p.*, len(a.tokens) AS ln, len(b.tokens) AS rn, a.published_at AS la, b.norm AS rnorm FROM pairs p JOIN asked a ON a.rk = p.l JOIN kinds b ON b.rk = p.r)"""
 
 
 @query(f"WITH {_PAIRS_SQL} SELECT l, r, overlap FROM pairs")
 def candidate_pairs(spark, sf_dir):
-    """Pairs of distinct titles, by the rk of each one's first row, as in all queries of pairs; title_members has the rows."""
-    return clustering.candidate_pairs(_titles(spark, sf_dir))
+    """Rows of every fiftieth page with the titles before them that share two tokens or more; title_members has a title's rows."""
+    _, asked, kinds = _asked(spark, sf_dir)
+    return clustering.candidate_pairs(asked, kinds)
 
 
 def _titles(spark, sf_dir) -> DataFrame:
     return clustering.stored(clustering.titles(_ranked_pages(spark, sf_dir)), "page-titles")
 
 
+def _asked(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = _ranked_pages(spark, sf_dir)
+    return rows, rows.where("page_id % 50 = 0"), clustering.stored(clustering.titles(rows), "page-titles")
+
+
 def _sides(spark, sf_dir) -> DataFrame:
-    rows = _titles(spark, sf_dir)
-    return clustering.with_sides(clustering.candidate_pairs(rows), rows)
+    _, asked, kinds = _asked(spark, sf_dir)
+    return clustering.with_sides(clustering.candidate_pairs(asked, kinds), asked, kinds)
 
 
 @query(f"WITH {_PAIRS_SQL} SELECT l, r, overlap / (ln + rn - overlap)::DOUBLE AS jaccard FROM sides")
@@ -407,9 +453,12 @@ def title_jaccard(spark, sf_dir):
     return _sides(spark, sf_dir).select("l", "r", "jaccard")
 
 
-@query(f"WITH {_PAIRS_SQL} SELECT l, r, la IS NULL OR ra IS NULL OR abs(epoch_us(la) - epoch_us(ra)) <= 432000000000 AS aligned FROM sides")
+@query(f"""WITH {_PAIRS_SQL}, met AS (SELECT s.l, s.r, s.la IS NULL OR o.published_at IS NULL OR abs(epoch_us(s.la) - epoch_us(o.published_at)) <= 432000000000 AS near FROM sides s JOIN ordered o ON o.norm = s.rnorm AND o.rk < s.l)
+SELECT l, r, count(*) FILTER (WHERE near) AS aligned, count(*) FILTER (WHERE NOT near) AS apart FROM met GROUP BY l, r""")
 def time_aligned_pairs(spark, sf_dir):
-    return _sides(spark, sf_dir).select("l", "r", clustering.time_aligned("l_at", "r_at").alias("aligned"))
+    """Of the rows that have title r and stand before row l, how many are near it in time and how many aren't."""
+    rows, asked, kinds = _asked(spark, sf_dir)
+    return clustering.aligned_rows(clustering.candidate_pairs(asked, kinds), asked, rows, kinds)
 
 
 @query()

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import argparse
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.operators.clustering import stored
+from gazette.functions.urls import is_blocked
 from gazette.operators.datefilter import published_today
 from gazette.operators.dedupe import keep_latest
 from gazette.operators.enrich import enrich, fetch_pages, lookup_rules
 from gazette.operators.ranking import clamp_limit, rank_articles
 from gazette.plans import deliver
-from gazette.sources import feeds
+from gazette.plans.settings import Settings
+from gazette.sources import feeds, http
+from gazette.storage import stored
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -24,43 +30,78 @@ class Run:
     ranked: DataFrame
     results: DataFrame
     errors: DataFrame  # stage, message
+    filtered: int  # articles that are not of today
 
 
-def run(spark: SparkSession, fetch: Callable[[str], str], get: Callable[[str, bool], tuple[str, str, str]], now: datetime, limit: int = 50, dry_run: bool = True, ask=None, post=None, chat_id: str | None = None, catalog=feeds.CATALOG) -> Run:
+def run(spark: SparkSession, fetch: Callable[[str], str], get: Callable[[str, bool], tuple[str, str, str]], now: datetime, limit: int = 50, dry_run: bool = True, ask=None, post=None, chat_id: str | None = None, catalog=feeds.CATALOG, settings: Settings | None = None) -> Run:
+    """A `now` without a zone is UTC. Pages of blocked domains are not requested."""
+    known = settings or Settings()
+    now = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
     sources = feeds.load_catalog(spark, catalog)
-    entries = stored(feeds.read_feeds(sources, fetch), "entries")
-    unique = keep_latest(feeds.articles(entries, sources), ["url"], "published_at", "pos", "duplicate_count").drop("pos").withColumnRenamed("first_pos", "pos")
+    entries = stored(feeds.read_feeds(sources, fetch, known.http_concurrency), "entries")
+    unique = keep_latest(feeds.articles(entries, sources, known.max_feed_items_per_source), ["url"], "published_at", "pos", "duplicate_count").drop("pos").withColumnRenamed("first_pos", "pos")
     ruled = stored(lookup_rules(unique, sources), "articles")
-    pages = stored(fetch_pages(ruled.select("url", "requires_ua").distinct(), get), "pages")
+    asked = ruled.where(~is_blocked(F.col("url"), F.col("blocked"))).groupBy("url").agg(F.bool_or("requires_ua").alias("requires_ua"))
+    pages = stored(fetch_pages(asked, get, known.http_concurrency), "pages")
     enriched = stored(enrich(ruled, pages.where("error is null").drop("error")), "enriched")
-    today = published_today(enriched, now)
-    ranked = stored(rank_articles(today, F.lit(now.isoformat()).cast("timestamp"), clamp_limit(limit)), "ranked")
-    told = deliver.summarize(ranked, None if dry_run else ask)
-    results = deliver.previews(told) if dry_run else deliver.deliver(told, post, chat_id)
+    today = stored(published_today(enriched, now), "today")
+    n, kept = enriched.count(), today.count()
+    log.info("%s unique articles, %s of them of %s", n, kept, now.date().isoformat())
+    ranked = stored(rank_articles(today, F.lit(now.isoformat()).cast("timestamp"), clamp_limit(limit, known.max_articles_per_run)), "ranked")
+    told = stored(deliver.summarize(ranked, None if dry_run else ask), "told")
+    results = deliver.previews(told) if dry_run else deliver.deliver(told, post, chat_id, known.telegram_parse_mode)
     failed = ruled.join(pages.where("error is not null").select("url", "error"), "url")
     errors = entries.where("error is not null").select(F.lit("ingest").alias("stage"), F.col("error").alias("message"))
     errors = errors.unionByName(failed.select(F.lit("enrich").alias("stage"), F.concat(F.lit("Enrichment failed ("), "source_name", F.lit("): "), "error").alias("message")))
     if not dry_run:
         errors = errors.unionByName(results.where("status = 'error'").select(F.lit("deliver").alias("stage"), F.concat(F.lit("Delivery failure ("), "article_id", F.lit("): "), "error").alias("message")))
-    return Run(ranked, results, errors)
+    return Run(ranked, results, errors, n - kept)
+
+
+def transports(settings: Settings, dry_run: bool) -> dict:
+    """The HTTP clients of a run; without a key for the model the template's summaries stand."""
+    how = {"user_agent": settings.user_agent, "timeout": settings.request_timeout_seconds}
+    made: dict = {"fetch": partial(http.fetch_feed, **how), "get": partial(http.fetch_page, **how), "ask": None, "post": None}
+    if settings.openrouter_api_key:
+        made["ask"] = partial(
+            http.ask_model, base_url=settings.openrouter_base_url, key=settings.openrouter_api_key, model=settings.openrouter_model,
+            site=settings.openrouter_site_url, app=settings.openrouter_app_name, timeout=settings.request_timeout_seconds,
+        )
+    if not dry_run:
+        made["post"] = partial(http.post_message, base_url=settings.telegram_base_url, token=settings.telegram_bot_token, timeout=settings.request_timeout_seconds)
+    return made
 
 
-def main(argv: list[str] | None = None, transports: dict | None = None) -> int:
-    """Exit code 0, 1 if a delivery failed, 2 if a real run lacks credentials. Without a command it prints help."""
+def main(argv: list[str] | None = None, given: dict | None = None, settings: Settings | None = None) -> int:
+    """Exit code 0, 1 if a delivery failed, 2 if a real run lacks settings. Without a command it prints help. `given` replaces
+    transports (fetch, get, ask, post) or the moment (now)."""
     parser = argparse.ArgumentParser(prog="gazette")
-    command = parser.add_subparsers(dest="command").add_parser("run")
-    command.add_argument("--limit", type=int, default=50)
-    command.add_argument("--dry-run", action="store_true")
+    command = parser.add_subparsers(dest="command").add_parser("run", help="run everything")
+    command.add_argument("--dry-run", action="store_true", help="send nothing")
+    command.add_argument("--limit", type=int, default=None, help="articles to send at most")
+    command.add_argument("--verbose", action="store_true", help="log more")
     args = parser.parse_args(argv)
     if args.command is None:
         parser.print_help()
         return 0
-    t = transports or {}
-    if not args.dry_run and not (t.get("post") and t.get("chat_id")):
-        print("A real run needs a transport and a chat to send to.")
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s | %(levelname)s | %(name)s | %(message)s")
+    log.setLevel(logging.DEBUG if args.verbose else logging.INFO)
+    settings = settings or Settings.load()
+    if lacking := settings.missing(args.dry_run):
+        print(f"Configuration error: missing required .env values: {', '.join(lacking)}")
         return 2
+    t = transports(settings, args.dry_run) | (given or {})
     spark = SparkSession.builder.appName("gazette").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    done = run(spark, t["fetch"], t["get"], t.get("now") or datetime.now().astimezone(), args.limit, args.dry_run, t.get("ask"), t.get("post"), t.get("chat_id"), t.get("catalog", feeds.CATALOG))
-    counts = deliver.rollup(done.results).first()
-    print(f"attempted {counts.attempted}, sent {counts.sent}, failed {counts.failed}")
+    done = run(spark, t["fetch"], t["get"], t.get("now") or datetime.now().astimezone(), settings.limit(args.limit), args.dry_run, t["ask"], t["post"], settings.telegram_chat_id, settings.sources_file, settings)
+    selected, counts = done.ranked.count(), deliver.rollup(done.results).first()
+    failures = [r.failure for r in deliver.first_failures(done.results).collect()]
+    if failures:
+        log.error("First failed deliveries: %s", " | ".join(failures))
+    if others := done.errors.count():
+        log.warning("%s errors that stopped nothing", others)
+    print(f"Run complete. selected={selected} attempted={counts.attempted} sent={counts.sent} failed={counts.failed} dry_run={args.dry_run}")
     return int(counts.failed > 0)
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 from email.utils import parsedate_to_datetime
+from html.entities import html5
 from pathlib import Path
+from xml.etree import ElementTree
 
 import pandas as pd
 import yaml
@@ -37,19 +41,44 @@ def load_catalog(spark: SparkSession, path: str | Path = CATALOG) -> DataFrame:
     return merge_rules(spark.createDataFrame(rows, SOURCE_SCHEMA), defaults)
 
 
+_CDATA = re.compile(r"(<!\[CDATA\[.*?\]\]>)", re.DOTALL)
+_AMPERSAND = re.compile(r"&(?:(#\d+;|#[xX][0-9a-fA-F]+;|(?:amp|lt|gt|quot|apos);)|([A-Za-z][A-Za-z0-9]*;))?")
+
+
+def _known(found: re.Match) -> str:
+    if found[1]:
+        return found[0]
+    return html5.get(found[2], f"&amp;{found[2]}") if found[2] else "&amp;"
+
+
+def _tree(xml: str) -> ElementTree.Element:
+    """The document's root. Entities that HTML has and XML hasn't, and bare ampersands, are mended outside of CDATA."""
+    parts = _CDATA.split(xml.lstrip("\ufeff \t\r\n"))
+    return ElementTree.fromstring("".join(p if i % 2 else _AMPERSAND.sub(_known, p) for i, p in enumerate(parts)))
+
+
+def _fields(item: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """An item's own elements, and those of its media groups: not what lies deeper, such as the title of an entry's source."""
+    for e in item:
+        if e.tag.endswith("}group") and "search.yahoo.com/mrss" in e.tag:
+            yield from e
+        else:
+            yield e
+
+
 def entries_of(xml: str) -> list[dict]:
     """The items of an RSS, RDF or Atom document, in its order."""
-    from xml.etree import ElementTree
-
     local = lambda e: e.tag.rpartition("}")[2]
     media = lambda e: "search.yahoo.com/mrss" in e.tag
     out = []
-    for item in (e for e in ElementTree.fromstring(xml).iter() if local(e) in ("item", "entry")):
+    for item in (e for e in _tree(xml).iter() if isinstance(e.tag, str) and local(e) in ("item", "entry")):
         row: dict = {"media_content": [], "media_thumbnail": [], "links": []}
-        for e in item.iter():
+        for e in (x for x in _fields(item) if isinstance(x.tag, str)):
             kind, text = local(e), "".join(e.itertext())
-            if media(e) and kind in ("content", "thumbnail"):
-                row[f"media_{kind}"].append({"url": e.get("url")})
+            if media(e):
+                if kind in ("content", "thumbnail"):
+                    row[f"media_{kind}"].append({"url": e.get("url")})
+                    row["media_thumbnail"] += [{"url": x.get("url")} for x in e if isinstance(x.tag, str) and media(x) and local(x) == "thumbnail"]
             elif kind == "link" and e.get("href"):
                 row["links"].append({"href": e.get("href"), "type": e.get("type")})
                 if e.get("rel", "alternate") == "alternate":
@@ -69,8 +98,8 @@ def entries_of(xml: str) -> list[dict]:
 
 
 class FeedSource(DataSource):
-    """spark.read.format("feeds"): a partition for each source. Options: `catalog` rows as JSON, and a fetcher given to
-    feed_reader(). A source that fails gives one row with an error and no entry."""
+    """spark.read.format("feeds"). Options: `catalog` rows as JSON and `concurrency`, the number of partitions that the sources
+    are dealt over; the fetcher is given to read_feeds(). A source that fails gives one row with an error and no entry."""
 
     fetch: Callable[[str], str]
 
@@ -82,25 +111,22 @@ class FeedSource(DataSource):
         return f"src_pos long, entry_pos long, entry {ENTRY}, error string"
 
     def reader(self, schema):
-        return _FeedReader(type(self).fetch, self.options["catalog"])
-
-
-class _Feed(InputPartition):
-    def __init__(self, src_pos: int, name: str, rss: str):
-        super().__init__((src_pos, name, rss))
+        return _FeedReader(type(self).fetch, json.loads(self.options["catalog"]), int(self.options["concurrency"]))
 
 
 class _FeedReader(DataSourceReader):
-    def __init__(self, fetch: Callable[[str], str], catalog: str):
-        import json
-
-        self.fetch, self.rows = fetch, json.loads(catalog)
+    def __init__(self, fetch: Callable[[str], str], rows: list, concurrency: int):
+        self.fetch, self.rows, self.concurrency = fetch, rows, concurrency
 
     def partitions(self):
-        return [_Feed(*r) for r in self.rows]
+        n = min(self.concurrency, len(self.rows))
+        return [InputPartition(self.rows[i::n]) for i in range(n)]
 
     def read(self, partition):
-        src_pos, name, rss = partition.value
+        for row in partition.value:
+            yield from self._entries(*row)
+
+    def _entries(self, src_pos, name, rss):
         names = ("title", "link", "summary", "description", "published", "updated")
         try:
             entries = entries_of(self.fetch(rss))
@@ -112,14 +138,12 @@ class _FeedReader(DataSourceReader):
             yield (src_pos, i, (*(e.get(n) for n in names), [(x["url"],) for x in e["media_content"]], [(x["url"],) for x in e["media_thumbnail"]], links, (e["image"]["href"],) if "image" in e else None), None)
 
 
-def read_feeds(sources: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
-    """src_pos, entry_pos, entry, error of every source's feed, fetched in a partition of its own."""
-    import json
-
+def read_feeds(sources: DataFrame, fetch: Callable[[str], str], concurrency: int = 8) -> DataFrame:
+    """src_pos, entry_pos, entry, error of every source's feed, at most `concurrency` of them fetched at a time."""
     spark = sources.sparkSession
     spark.dataSource.register(type("Feeds", (FeedSource,), {"fetch": staticmethod(fetch)}))
     rows = [tuple(r) for r in sources.select("src_pos", "name", "rss").collect()]  # a catalog, not data
-    return spark.read.format("feeds").option("catalog", json.dumps(rows)).load()
+    return spark.read.format("feeds").option("catalog", json.dumps(rows)).option("concurrency", concurrency).load()
 
 
 @F.pandas_udf(T.TimestampType())
@@ -134,13 +158,21 @@ def _any_date(texts: pd.Series) -> pd.Series:
 
 
 def parse_date(text: Column, any_date: bool = False) -> Column:
-    """The instant of a mail or ISO date, read as UTC where it names no zone; null where it can't be read. With any_date,
-    an Arrow UDF reads what the JVM's patterns don't."""
+    """The instant of a mail or ISO date, read as UTC where it names no zone, whatever the session's; null where it can't be
+    read. With any_date, an Arrow UDF reads what the JVM's patterns don't."""
     bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", "")
-    parsed = F.coalesce(*[F.try_to_timestamp(bare, F.lit(p)) for p in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z")], F.try_to_timestamp(bare))
+    iso = F.when(bare.rlike(r"^\d{4}-\d"), bare)
+    # Only a text that names no zone is a time with a Z behind it.
+    utc = [F.try_to_timestamp(F.concat(iso, F.lit(end))) for end in ("Z", "T00:00:00Z")]
+    parsed = F.coalesce(*[F.try_to_timestamp(bare, F.lit(p)) for p in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z")], *utc, F.try_to_timestamp(iso))
     return F.coalesce(parsed, _any_date(F.when(parsed.isNull(), text))) if any_date else parsed
 
 
+def entry_time(published: Column, updated: Column) -> Column:
+    """The first of the two that can be read."""
+    return F.coalesce(parse_date(published, any_date=True), parse_date(updated, any_date=True))
+
+
 def entry_image(entry: Column) -> Column:
     """The first image of media contents, thumbnails, links of an image type, and the entry's own image."""
     first = lambda a, key: F.try_element_at(F.filter(a, lambda x: x[key] != ""), F.lit(1))[key]
@@ -175,7 +207,7 @@ def articles(entries: DataFrame, sources: DataFrame, most: int = 50) -> DataFram
         (F.col("src_pos") * 1_000_000 + F.col("entry_pos")).alias("pos"),
         entry_title(e["title"]).alias("title"),
         normalize_url(e["link"]).alias("url"),
-        parse_date(F.coalesce(present(e["published"]), present(e["updated"])), any_date=True).alias("published_at"),
+        entry_time(e["published"], e["updated"]).alias("published_at"),
         entry_description(e["summary"], e["description"]).alias("description"),
         entry_image(e).alias("rss_image_url"),
     )

@@ -1,17 +1,29 @@
 """Goldens of the news operators and a sequential scan that the parallel clustering must equal."""
 
-from datetime import datetime, timedelta, timezone
-from difflib import SequenceMatcher
+import html
+import json
+import os
 import random
 import re
+import threading
+import time
+from dataclasses import replace
+from datetime import datetime, timedelta, timezone
+from difflib import SequenceMatcher
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import duckdb
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gazette.functions import lexicon, render, scoring, text, urls
+from gazette import storage
+from gazette.functions import lexicon, render, scoring, staging, text, urls
 from gazette.operators import clustering, datefilter, dedupe, enrich, ranking
-from gazette.plans import deliver
+from gazette.plans import deliver, queries
 from gazette.plans.run import main, run
+from gazette.plans.settings import Settings
 from gazette.sources import feeds
 
 NOW = datetime(2026, 3, 2, 12, tzinfo=timezone.utc)
@@ -74,18 +86,47 @@ def test_page_fields():
 
 
 def test_scores(spark):
-    got = ranked(spark, [("fresh", "OpenAI Blog", "Fresh topic {x}", 1, 3, None), ("old", "Unknown", "Another old one", 120, 1, None)])
-    assert [r.id for r in got] == ["fresh", "old"]
-    assert value(spark, scoring.relevance(F.lit("..."), F.lit(""))) == 0.2
+    got = ranked(spark, [("fresh", "OpenAI Blog", "OpenAI Blog title fresh", 1, 3, None), ("old", "Unknown", "Unknown title old", 120, 1, None)])
+    assert [(r.id, r.score) for r in got] == [("fresh", 0.525), ("old", 0.2485)]
+    said = spark.createDataFrame([(1, "...", ""), (2, "Launch", " of a NEW model: how to show tomorrow")], "norm int, title string, _words string")
+    scored = scoring.with_relevance(said, F.col("title"), F.col("_words"))
+    assert scored.columns == [*said.columns, "relevance"] and {r.norm: r.relevance for r in scored.collect()} == {1: 0.2, 2: pytest.approx(0.15 + 0.31 + 0.07 - 0.08 - 0.03)}
     assert value(spark, scoring.phrase_hits(F.lit("series about show tomorrow"), lexicon.HIGH_PHRASES)) == 1
     hours = [None, -1, 6, 24, 48, 96, 97]
     df = spark.createDataFrame([(i, None if h is None else NOW - timedelta(hours=h)) for i, h in enumerate(hours)], "i int, t timestamp")
     assert [r[0] for r in df.orderBy("i").select(scoring.recency(F.col("t"), F.lit(NOW.isoformat()).cast("timestamp"))).collect()] == [0.3, 1.0, 1.0, 0.8, 0.6, 0.4, 0.2]
 
 
+def test_one_story_across_sources(spark):
+    got = ranked(
+        spark,
+        [
+            ("tc1", "TechCrunch (AI)", "OpenAI launches new multimodal model for developers", 2, 1, None),
+            ("vg1", "The Verge (AI)", "OpenAI launches a new multimodal model for developers", 3, 1, None),
+            ("other1", "MIT Technology Review", "NVIDIA unveils next generation AI accelerator chips", 1, 1, None),
+        ],
+    )
+    assert [(r.id, r.score, r.cluster_size, r.cluster_id) for r in got] == [("tc1", 0.6979, 2, "tc1"), ("other1", 0.6827, 1, "other1")]
+
+
+def test_relevance_beats_a_roundup(spark):
+    got = ranked(spark, [("low", "OpenAI Blog", "Top AI events and webinar roundup for this week", 2, 1, None), ("high", "Unknown", "Startup raises Series B to launch enterprise AI agent platform", 8, 1, None)])
+    assert [(r.id, r.score) for r in got] == [("high", 0.733), ("low", 0.4405)]
+
+
 def test_leader_names_the_cluster_and_score_picks_its_row(spark):
-    got = ranked(spark, [("deal", "Unknown", "OpenAI and partner event", 4, 1, "OpenAI signed a deal and strategic partnership for enterprise deployment, funding round"), ("event", "Unknown", "OpenAI and partner event", 1, 1, None)])
-    assert [(r.id, r.cluster_id, r.cluster_size) for r in got] == [("deal", "event", 2)]
+    event = "Conference event recap and webinar schedule for this month."
+    got = ranked(spark, [("event", "Unknown", "Daily AI update", 1, 1, event), ("deal", "Unknown", "Daily AI update", 4, 1, "A startup raised seed funding and signed an enterprise partnership deal.")])
+    assert [(r.id, r.score, r.cluster_id, r.cluster_size) for r in got] == [("deal", 0.7435, "event", 2)]
+
+
+def test_similarity_depends_on_the_order(spark):
+    a, b = "new series chips launches agents funding", "deal chips google nvidia b enterprise"
+    tc, vg = "openai launches new multimodal model for developers", "openai launches a new multimodal model for developers"
+    got = spark.createDataFrame([(1, a, b), (2, b, a), (3, vg, tc)], "i int, l string, r string").select("i", clustering.sequence_ratio("l", "r").alias("x")).collect()
+    assert {r.i: round(r.x, 5) for r in got} == {1: 0.38961, 2: 0.33766, 3: 0.98077}
+    same = spark.createDataFrame([(6, 6, vg, tc)], "overlap int, l_n int, l_norm string, r_norm string").withColumn("jaccard", F.lit(1.0))
+    assert clustering.title_similarity(same).first().sim == pytest.approx(0.99327, abs=1e-5)
 
 
 def test_top_k(spark):
@@ -136,10 +177,83 @@ def test_text(spark):
         assert value(spark, text.enforce_sentences(F.lit(said))) == " ".join(["Yes."] * n + list(text.SENTENCE_PADS[n:]))
     assert value(spark, text.strip(F.lit("\xa0\x1c a b "))) == "a b"
     assert [value(spark, text.truncate(F.lit("abc def"), n)) for n in (7, 6, 3, 0)] == ["abc def", "abc...", "abc", ""]
-    shown = value(spark, render.caption(F.lit("https://example.com/a"), F.lit("T" * 500), F.lit("s" * 2000)))
-    assert shown.startswith('<a href="https://example.com/a">') and len(shown) == 1024
-
-
+    assert [text.count_sentences(x) for x in ("The model scores 3.5 on U.S. tests.", " \n", "One. Two!  Three?", "no end")] == [2, 0, 3, 1]
+
+
+def plain_cut(x, limit):
+    return x if len(x) <= limit else x[:limit] if limit <= 3 else x[: limit - 3].rstrip() + "..."
+
+
+def plain_link(url, title):
+    return f'<a href="{html.escape(url, quote=True)}">{title}</a>\n\n'
+
+
+def plain_caption(url, title, summary, limit=1024):
+    prefix = plain_link(url, plain_cut(html.escape(title, quote=False), 200))
+    return (prefix + plain_cut(html.escape(summary, quote=False), max(limit - len(prefix), 0)))[:limit]
+
+
+def test_messages(spark):
+    rows = [("https://example.com/a", "T" * 500, "s" * 2000, 1), ("https://e.com/?a=1&b=\"'", "<&>" * 90, "&" * 300 + " x" * 800, 2), ("u", "t", "short & sweet", 3), ("u" * 1100, "t", "s", 4), ("u", "", None, 5), ("u", "t" * 5000, "s" * 5000, 6)]
+    made = render.with_messages(spark.createDataFrame(rows, "url string, _head string, _said string, _step1 int"), F.col("url"), F.col("_head"), F.col("_said"))
+    assert made.columns == ["url", "_head", "_said", "_step1", "caption", "message"]
+    for r in made.collect():
+        said = r["_said"] or "Summary unavailable."
+        assert r.caption == plain_caption(r.url, r["_head"], said)
+        assert r.message == plain_cut(plain_link(r.url, html.escape(r["_head"], quote=False)) + html.escape(said, quote=False), 4096)
+
+
+def plain_summary(title, source, context):
+    bare = context.strip()
+    second = f"Key context: {bare[:180].rstrip('.')}." if bare else "The story appears relevant to current AI research and product developments."
+    said = [s for s in re.split(r"(?<=[.!?])\s+", " ".join(f"{title} is a notable AI update from {source}. {second} Open the link to review full details, claims, and technical context.".split())) if s]
+    return " ".join((said + list(text.SENTENCE_PADS[len(said) :]))[:3])
+
+
+WILD = st.text(alphabet=st.sampled_from(list("aB9.!? \t\n\x0b\x1c\x85\xa0\u2003\u3000&<>\"'é😀")), max_size=60)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(said=st.lists(st.tuples(WILD, WILD, st.integers(0, 40)), min_size=40, max_size=60))
+def test_columns_equal_plain_python(spark, said):
+    df = spark.createDataFrame([(a, b, n) for a, b, n in said], "a string, b string, n int")
+    df = df.select("*", text.strip(F.col("a")).alias("strip"), text.rstrip(F.col("a")).alias("rstrip"), text.split_sentences(F.col("a")).alias("cut"), text.enforce_sentences(F.col("a")).alias("three"), text.truncate(F.col("a"), F.col("n")).alias("short"), text.escape_html(F.col("a"), quotes=True).alias("safe"), text.normalize_text(F.col("a")).alias("norm"), text.present(F.col("a")).alias("present"))
+    for r in render.with_template_summary(df, F.col("a"), F.col("b"), F.col("b")).collect():
+        a = r.a
+        cut = [s for s in re.split(r"(?<=[.!?])\s+", " ".join(a.split())) if s]
+        assert (r.strip, r.rstrip, r.cut, r.present) == (a.strip(), a.rstrip(), cut, a or None)
+        assert r.three == " ".join((cut + list(text.SENTENCE_PADS[len(cut) :]))[:3])
+        assert (r.short, r.safe, r.norm) == (plain_cut(a, r.n), html.escape(a, quote=True), " ".join(re.findall("[a-z0-9]+", a.lower())))
+        assert r.summary == plain_summary(a, r.b, r.b)
+
+
+def test_a_million_blanks(spark):
+    many = " " * 1_000_000
+    df = spark.createDataFrame([(f"{many}a{many}b{many}",)], "x string").cache()
+    df.count()
+    x = F.col("x")
+    wanted = {
+        "strip": (text.strip(x), f"a{many}b"), "rstrip": (text.rstrip(x), f"{many}a{many}b"), "content": (scoring.content(x, x), "a b a b"),
+        "title": (feeds.entry_title(x), f"a{many}b"), "description": (feeds.entry_description(x, x), f"a{many}b"), "url": (urls.normalize_url(x), f"a{many}b"),
+    }
+    for column, want in wanted.values():
+        df.limit(0).select(column).collect()
+        began = time.time()
+        assert df.select(column.alias("v")).first().v == want
+        assert time.time() - began < 10
+    began = time.time()
+    assert render.with_template_summary(df, F.lit("T"), F.lit("S"), x).first().summary.startswith("T is a notable AI update from S. Key context: a.")
+    assert feeds.head_then_filter(df.withColumn("entry_pos", F.lit(0)), x).count() == 1 and time.time() - began < 20
+
+
+def test_prompt_in_any_zone(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", "America/New_York")
+    at = [datetime(2026, 3, 8, 7, 30, tzinfo=timezone.utc), datetime(2026, 3, 2, 10, 0, 0, 250000, tzinfo=timezone.utc), datetime(1969, 12, 31, 23, 59, 59, tzinfo=timezone.utc), None]
+    df = session.createDataFrame([(i, t) for i, t in enumerate(at)], "i int, t timestamp")
+    for r in df.select("i", render.prompt(F.lit("T"), F.lit("S"), F.col("t"), F.lit("U"), F.lit("C")).alias("p")).collect():
+        when = at[r.i].isoformat() if at[r.i] else "unknown"
+        assert r.p == f"Title: T\nSource: S\nPublished: {when}\nURL: U\nContext: C\nWrite exactly 3 sentences focused on key facts and why this matters."
 def test_retry():
     waits, answers = [], [(429, {"parameters": {"retry_after": 5}}), (500, {}), (200, {"ok": True, "result": {"message_id": 4}})]
     assert deliver.send_with_retry(lambda m, p: answers.pop(0), "sendMessage", {}, waits.append)["ok"] and waits == [5, 2]
@@ -151,9 +265,79 @@ def test_catalog(spark):
     assert len(rows) == 33 and rows["arXiv.org (cs.AI)"].blocked == ["arxiv.org"] and rows["TLDR AI"].blocked == [] and rows["TLDR AI"].image_fallback
 
 
-def test_dates(spark):
-    df = spark.createDataFrame([("Mon, 02 Mar 2026 10:00:00 GMT",), ("2 Mar 2026 10:00:00 -0500",), ("2026-03-02T10:00:00Z",), ("junk",), (None,)], "t string")
-    assert [r[0] and r[0].replace(tzinfo=None) for r in df.select(feeds.parse_date(F.col("t"), any_date=True)).collect()] == [datetime(2026, 3, 2, 10), datetime(2026, 3, 2, 15), datetime(2026, 3, 2, 10), None, None]
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_dates(spark, zone):
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", zone)
+    said = {
+        "Mon, 02 Mar 2026 10:00:00 GMT": "2026-03-02T10:00:00", "2 Mar 2026 10:00:00 -0500": "2026-03-02T15:00:00", "2026-03-02T10:00:00Z": "2026-03-02T10:00:00", "2026-03-02T10:00:00": "2026-03-02T10:00:00",
+        "2026-03-02 10:00:00.5+01:00": "2026-03-02T09:00:00.500000", "2026-03-02": "2026-03-02T00:00:00", "Mon, 02 Mar 2026 10:00:00": "2026-03-02T10:00:00", "junk": None, "10:00:00": None, None: None,
+    }
+    df = session.createDataFrame([(t,) for t in said], "t string").select("t", F.unix_micros(feeds.parse_date(F.col("t"), any_date=True)).alias("at"))
+    start = datetime(1970, 1, 1)
+    assert {r.t: None if r["at"] is None else (start + timedelta(microseconds=r["at"])).isoformat() for r in df.collect()} == said
+
+
+def test_updated_counts_where_published_cannot_be_read(spark):
+    df = spark.createDataFrame([("junk", "2026-03-02T10:00:00Z"), ("2026-03-01T10:00:00Z", "2026-03-02T10:00:00Z"), ("", None)], "p string, u string")
+    got = df.select(F.unix_seconds(feeds.entry_time(F.col("p"), F.col("u"))).alias("t")).collect()
+    assert [r.t and datetime.fromtimestamp(r.t, timezone.utc).day for r in got] == [2, 1, None]
+
+
+def test_feed_dialects():
+    rss = """\ufeff<?xml version="1.0" encoding="iso-8859-1"?><rss xmlns:media="http://search.yahoo.com/mrss/" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>no</title>
+    <item><title>A&nbsp;B & C &amp; D &bogus;</title><link>https://e.com/1?a=1&amp;b=2</link><description><![CDATA[x &nbsp; <b>y</b>]]></description><content:encoded>long</content:encoded><pubDate>Mon, 02 Mar 2026 10:00:00 GMT</pubDate>
+    <media:group><media:content url="https://e.com/1.png"/><media:title>not this</media:title></media:group><enclosure url="https://e.com/e.png" type="image/png"/></item></channel></rss>"""
+    (row,) = feeds.entries_of(rss)
+    assert (row["title"], row["link"], row["summary"], row["description"]) == ("A\xa0B & C & D &bogus;", "https://e.com/1?a=1&b=2", "x &nbsp; <b>y</b>", "long")
+    assert row["media_content"] == [{"url": "https://e.com/1.png"}] and row["links"] == [{"href": "https://e.com/e.png", "type": "image/png"}] and row["published"].startswith("Mon")
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom"><title>no</title><entry><source><title>the source's</title><link href="https://s.com"/></source><title>Own</title>
+    <link rel="self" href="https://e.com/self"/><link href="https://e.com/2"/><updated>2026-03-02T10:00:00Z</updated><content type="xhtml"><div>in <b>bold</b></div></content></entry></feed>"""
+    (row,) = feeds.entries_of(atom)
+    assert (row["title"], row["link"], row["updated"], row["description"]) == ("Own", "https://e.com/2", "2026-03-02T10:00:00Z", "in bold") and "published" not in row
+    rdf = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel/><item><title>R</title><link>https://e.com/3</link><dc:date>2026-03-02</dc:date></item></rdf:RDF>'
+    assert [(r["title"], r["link"], r["published"]) for r in feeds.entries_of(rdf)] == [("R", "https://e.com/3", "2026-03-02")]
+
+
+def test_catalog_errors(spark, tmp_path):
+    for name, said in (("empty.yaml", ""), ("none.yaml", "sources: []\n")):
+        (tmp_path / name).write_text(said)
+        with pytest.raises(ValueError):
+            feeds.load_catalog(spark, tmp_path / name)
+    with pytest.raises(FileNotFoundError):
+        feeds.load_catalog(spark, tmp_path / "missing.yaml")
+
+
+def test_answers_short_of_sentences_are_asked_for_again(spark):
+    df = spark.createDataFrame([("1", "The model scores 3.5 on U.S. tests."), ("2", "One. Two. Three. Four."), ("3", "fail")], "id string, title string")
+    df = df.withColumns({k: F.lit(None).cast("string") for k in ("og_title", "og_description", "description", "url")} | {"source_name": F.lit("S"), "published_at": F.lit(None).cast("timestamp"), "_template": F.lit(1)})
+
+    def ask(prompt, again):
+        title = prompt.split("\n")[0].removeprefix("Title: ")
+        if title == "fail":
+            raise OSError("down")
+        return "Again one. Again two." if again else title
+
+    got = {r.id: r.summary for r in deliver.summarize(df, ask).collect()}
+    assert got["1"] == f"Again one. Again two. {text.SENTENCE_PADS[2]}" and got["2"] == "One. Two. Three." and got["3"].startswith("fail is a notable AI update from S.")
+
+
+def test_deliver(spark):
+    rows = [("a", 1, "https://i/x.png"), ("b", 2, None), ("c", 3, "https://i/y.png")]
+    df = spark.createDataFrame(rows, "id string, rank int, image_url string").withColumns({k: F.lit(k) for k in ("url", "title", "summary")} | {"og_title": F.lit(None).cast("string")})
+    for post, chat in ((None, "c"), (lambda m, p: (200, {}), "")):
+        assert {(r.status, r.error) for r in deliver.deliver(df, post, chat).collect()} == {("error", "Telegram credentials are missing.")}
+
+    def post(method, payload):
+        if method == "sendPhoto":
+            return (200, {"ok": True, "result": {"message_id": 7}}) if payload["photo"].endswith("x.png") else (400, {"ok": False, "description": "no photo"})
+        return (200, {"ok": True, "result": {"message_id": 8}}) if payload["disable_web_page_preview"] is False and payload["text"].startswith("<a href") else (400, {})
+
+    got = deliver.deliver(df, post, "c", sleep=lambda s: None).orderBy("rank").collect()
+    assert [(r.article_id, r.status, r["mode"], r.message_id) for r in got] == [("a", "sent", "photo", 7), ("b", "sent", "text", 8), ("c", "sent", "text", 8)]
+    bad = deliver.deliver(df, lambda m, p: (500, {}), "c", sleep=lambda s: None)
+    assert {r.error for r in bad.collect()} == {"Telegram send failed."} and deliver.rollup(bad).first().failed == 3
+    assert [r.failure for r in deliver.first_failures(bad, 2).collect()] == ["a: Telegram send failed.", "b: Telegram send failed."]
 
 
 def test_run_end_to_end(spark, tmp_path):
@@ -177,11 +361,124 @@ def test_run_end_to_end(spark, tmp_path):
     post = lambda m, p: (sent.append(m), (200, {"ok": True, "result": {"message_id": len(sent)}}))[1]
     real = run(spark, fetch, get, NOW, dry_run=False, ask=lambda p, again: "One. Two. Three. Four.", post=post, chat_id="c", catalog=catalog)
     assert [r.status for r in real.results.collect()] == ["sent", "sent"] and sent == ["sendPhoto", "sendPhoto"]
-    assert main([]) == 0 and main(["run"]) == 2
+    assert done.filtered == 0 and run(spark, fetch, get, NOW + timedelta(days=1), catalog=catalog).filtered == 2
+
+
+def test_blocked_pages_are_not_requested(spark, tmp_path):
+    catalog = tmp_path / "c.yaml"
+    catalog.write_text("sources:\n  - {name: One, url: 'https://one.example', rss: 'https://one.example/rss', fetch_overrides: {blocked_domains: [bad.example]}}\n")
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def fetch(url):
+        item = "<item><title>{}</title><link>{}</link><pubDate>Mon, 02 Mar 2026 08:00:00 GMT</pubDate></item>"
+        return "<rss><channel>" + item.format("Blocked story here", "https://www.bad.example/a") + item.format("Open thing entirely", "https://good.example/b") + "</channel></rss>"
+
+    def get(url, agent):
+        (asked / url.split("/")[2]).touch()
+        if "bad" in url:
+            raise OSError("must not be asked")
+        return url, "text/html", ""
+
+    done = run(spark, fetch, get, NOW, catalog=catalog)
+    assert [p.name for p in asked.iterdir()] == ["good.example"] and done.errors.count() == 0 and done.ranked.count() == 2
+
+
+class Site(BaseHTTPRequestHandler):
+    """A feed, its pages, a model and a message service that refuses articles of 'bad'."""
+
+    def log_message(self, *_):
+        pass
+
+    def _answer(self, status, kind, body):
+        self.send_response(status)
+        self.send_header("Content-Type", kind)
+        self.end_headers()
+        self.wfile.write(body.encode())
+
+    def do_GET(self):
+        base = f"http://{self.headers['Host']}"
+        if self.path == "/rss" and self.headers["User-Agent"] == "gazette/0.1":
+            item = "<item><title>{0} launches chips</title><link>{1}/{0}?utm_source=x</link><pubDate>Mon, 02 Mar 2026 08:00:00 GMT</pubDate></item>"
+            self._answer(200, "application/rss+xml", "<rss><channel>" + item.format("good", base) + item.format("moved", base) + item.format("gone", base) + "</channel></rss>")
+        elif self.path == "/moved":
+            self.send_response(302)
+            self.send_header("Location", "/arrived")
+            self.end_headers()
+        elif self.path in ("/good", "/arrived"):
+            self._answer(200, "text/html; charset=utf-8", f'<meta property="og:title" content="Page {self.path[1:]} é"><meta property="og:image" content="{base}/i.png">')
+        else:
+            self._answer(404, "text/plain", "no")
+
+    def do_POST(self):
+        said = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        if self.path == "/v1/chat/completions":
+            ok = self.headers["Authorization"] == "Bearer key" and said["max_tokens"] == 220 and said["messages"][0]["role"] == "system"
+            self._answer(200 if ok else 500, "application/json", json.dumps({"choices": [{"message": {"content": "One. Two. Three." if len(said["messages"]) == 3 else "Short."}}]}))
+        elif "gone" in (said.get("caption") or said["text"]):
+            self._answer(400, "application/json", json.dumps({"ok": False, "description": "refused"}))
+        else:
+            self._answer(200, "application/json", json.dumps({"ok": self.path.startswith("/bottoken/send"), "result": {"message_id": 1}}))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    catalog = tmp_path / "c.yaml"
+    catalog.write_text(f"sources:\n  - {{name: One, url: '{base}', rss: '{base}/rss'}}\n")
+    env = {"SOURCES_FILE": str(catalog), "TELEGRAM_BASE_URL": base, "OPENROUTER_BASE_URL": f"{base}/v1", "OPENROUTER_API_KEY": "key", "REQUEST_TIMEOUT_SECONDS": "10"}
+    dry = Settings.load(tmp_path / "none", env)
+    assert main([]) == 0 and main(["run"], settings=dry) == 2
+    assert "TELEGRAM_BOT_TOKEN, TELEGRAM_CHAT_ID" in capsys.readouterr().out
+    assert main(["run", "--dry-run"], {"now": NOW}, dry) == 0
+    assert "selected=3 attempted=3 sent=3 failed=0 dry_run=True" in capsys.readouterr().out
+    real = replace(dry, telegram_bot_token="token", telegram_chat_id="c")
+    assert main(["run", "--limit", "5"], {"now": NOW}, real) == 1
+    assert "selected=3 attempted=3 sent=2 failed=1 dry_run=False" in capsys.readouterr().out
+    server.shutdown()
+
+
+def test_settings(tmp_path):
+    (tmp_path / ".env").write_text("# a comment\nexport TELEGRAM_BOT_TOKEN='to ken'\ntelegram_chat_id=5 # mine\nHTTP_CONCURRENCY=3\nOTHER=x\nUSER_AGENT=file\n")
+    s = Settings.load(tmp_path / ".env", {"USER_AGENT": "environment"})
+    assert (s.telegram_bot_token, s.telegram_chat_id, s.http_concurrency, s.user_agent, s.max_articles_per_run) == ("to ken", "5", 3, "environment", 50)
+    assert s.missing(False) == [] and Settings(telegram_chat_id=" ").missing(False) == ["TELEGRAM_BOT_TOKEN", "TELEGRAM_CHAT_ID"] and Settings().missing(True) == []
+    assert [s.limit(x) for x in (None, 0, 7, 99)] == [50, 1, 7, 50]
+
+
+def test_today_in_any_zone(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", "America/New_York")
+    df = session.createDataFrame([(0, datetime(2026, 3, 2, 1, tzinfo=timezone.utc)), (1, datetime(2026, 3, 1, 23, 59, tzinfo=timezone.utc))], "i int, published_at timestamp")
+    assert [r.i for r in datefilter.published_today(df, NOW).collect()] == [0]
+
+
+def test_storage_is_removed(spark, tmp_path):
+    made = storage.stored(spark.range(5), "some")
+    where = storage.root(spark).removeprefix("file:")
+    assert made.count() == 5 and os.path.isdir(where)
+    storage.clear(spark)
+    assert not os.path.exists(where) and storage.root(spark) != where
+    assert staging.free_names(["a", "_B"], "_b", "_b", "c") == ["_b_", "_b__", "c"]
 
 
 def test_every_query_runs(spark):
     import __spark_entry__
 
+    folder = "/root/testdata/sf0.001"
     assert __spark_entry__.entry(spark).count() == 50
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    known, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert set(sql) <= set(known)
+    con = duckdb.connect()
+    for name in os.listdir(folder):
+        con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{name}'")
+    text_of = lambda v: "" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v)
+    for name in queries.QUERIES:
+        got = known[name](spark, folder)
+        cols = sorted(got.columns)
+        rows = sorted(tuple(map(text_of, r)) for r in got.select(*cols).collect())
+        assert rows, name
+        if name in sql:
+            want = con.execute(f"SELECT {', '.join(cols)} FROM ({sql[name]})").fetchall()
+            assert rows == sorted(tuple(map(text_of, r)) for r in want), name
