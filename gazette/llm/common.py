@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but the six ASCII white space characters. bytes.split() cuts UTF-8 in the same places.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='gazette-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+from gazette.functions.staging import free_names
+from gazette.storage import fresh, remove, stored
 
-def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["WORD", "free_names", "fresh", "remainder", "remove", "stored", "table", "within"]
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: it is computed once, and a lost executor takes none of it along."""
-    spark, path = df.sparkSession, fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder by Spark's own file system layer."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+#: A word: a run of anything but the six ASCII white space characters. bytes.split() cuts UTF-8 in the same places.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def remainder(key: Column, by: int) -> Column:
@@ -44,8 +19,10 @@ def remainder(key: Column, by: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % by
 
 
-def within(key: Column, share: float) -> Column:
+def within(key: Column, share: float | Column) -> Column:
     """Whether a 64-bit hash is among the least `share` of all hashes: a sample that no sort and no task sees whole."""
+    if isinstance(share, Column):
+        return (key / F.lit(float(2**64)) + F.lit(0.5)) <= share
     return key <= F.lit(int(-(2**63) + min(1.0, share) * (2**64 - 1025)))
 
 
