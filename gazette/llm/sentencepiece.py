@@ -65,6 +65,11 @@ def _share(spark: SparkSession, model: bytes):
     return zlib.crc32(model), spark.sparkContext.broadcast(load_pieces(model))
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
+
+
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", batch: int = 512, decodes_col: str | None = None) -> DataFrame:
     """docs with the ids of each text (array of int) in ids_col; a null text has an empty array. Rows and columns stay as they are.
 
@@ -84,10 +89,8 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
             for part in (whole.slice(i, batch) for i in range(0, whole.num_rows, batch)):
                 texts = part.column(at).to_pylist()
                 ids = codec.encode(texts)
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                col = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
                 back = [pa.array([codec.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())] if decodes_col else []
-                yield pa.RecordBatch.from_arrays([*part.columns, col, *back], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), *back], names=schema.names)
 
     return docs.mapInArrow(each, schema)
 
@@ -107,13 +110,13 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
 
 
 def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", batch: int = 512) -> DataFrame:
-    """Per row: doc_id, n_pieces, n_byte_pieces, ids_crc32 (of the ids as little-endian int32), decodes (decoding gives the text back).
+    """Per row: doc_id, ids, n_pieces, n_byte_pieces, decodes (decoding gives the text back); encoded and decoded in one pass.
 
-    Encoding and decoding happen in one pass, so the ids need not be kept. A null text counts as the empty one.
+    A null text counts as the empty one, which has no ids. An empty table gives no rows; other columns are not looked at.
     """
     key, shared = _share(docs.sparkSession, model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_pieces"), F.lit(0).cast("long").alias("n_byte_pieces"), F.lit(0).cast("long").alias("ids_crc32"), F.lit(True).alias("decodes")).schema
+    schema = rows.select("doc_id", F.array().cast("array<int>").alias("ids"), F.lit(0).cast("long").alias("n_pieces"), F.lit(0).cast("long").alias("n_byte_pieces"), F.lit(True).alias("decodes")).schema
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, shared)
@@ -125,9 +128,9 @@ def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        _lists(ids),
                         pa.array([len(x) for x in ids], pa.int64()),
                         pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                         pa.array([codec.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_()),
                     ],
                     names=schema.names,
