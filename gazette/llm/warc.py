@@ -79,14 +79,16 @@ def records(blocks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(file, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The plain bytes of a gzip file, of one member or many."""
+    """The plain bytes of a gzip file, of one member or many, `chunk` of them at a time however well they were compressed."""
     z = zlib.decompressobj(GZIP)
     while data := file.read(chunk):
         while data:
-            yield z.decompress(data)
-            data = z.unused_data
+            yield z.decompress(data, chunk)
+            data = z.unconsumed_tail or z.unused_data
             if z.eof and data:
                 z = zlib.decompressobj(GZIP)
+    while not z.eof and (more := z.decompress(b"", chunk)):
+        yield more
     if not z.eof:
         raise ValueError("the gzip stream is cut short")
 
