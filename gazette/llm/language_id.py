@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.llm.common import within
@@ -173,15 +173,30 @@ def position_spans(model: Model, text: str) -> list[tuple[int, int, str]]:
 
 
 def training_windows(docs: DataFrame, may_learn: Column, at_most: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[bytes, str]]:
-    """A bounded sample to learn from: of at most `at_most` rows (least hashes of their ids first), one window at a hashed
-    place of the text. Only text and language of rows that may_learn holds for, with neither null, are used."""
-    key = F.xxhash64(F.col(id_col).cast("string"), F.lit("window"))
+    """A bounded sample to learn from: of at most `at_most` rows, one window at a hashed place of the text. Only text and
+    language of rows that may_learn holds for, with neither null, are used.
+
+    The languages share the sample evenly, as far as they have rows, so that one of few rows is learnt as well as the commonest;
+    of each, the rows with the least hashes of their ids count. There may be more rows than `at_most` where there are more
+    languages: each gives one.
+    """
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    place = F.pmod(F.xxhash64(F.lit("place"), key), F.greatest(F.char_length(text_col) - WINDOW // 2, F.lit(1))).cast("int") + 1
-    n = docs.where(may_learn & F.col(lang_col).isNotNull()).count()
-    rows = rows.where(within(key, 1.5 * at_most / max(1, n)))  # so that the driver sorts no more than it takes, or half as much again
-    drawn = rows.select(key.alias("key"), F.substring(F.col(text_col), place, F.lit(WINDOW)).alias("part"), F.col(lang_col).cast("string").alias("lang"))
-    return [(r.part.encode(), r.lang) for r in drawn.orderBy("key", "part").limit(at_most).collect()]
+    rows = rows.select(F.xxhash64(F.col(id_col).cast("string"), F.lit("window")).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language
+    left, quotas = at_most, []
+    for i, r in enumerate(sorted(counts, key=lambda r: (r.n, r.lang))):
+        quota = min(r.n, max(1, left // (len(counts) - i)))
+        left -= quota
+        quotas.append((r.lang, quota, min(1.0, (1.5 * quota + 20) / r.n)))
+    if not quotas:
+        return []
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(quotas, "lang string, quota int, share double"))
+    place = F.pmod(F.xxhash64(F.lit("place"), F.col("key")), F.greatest(F.char_length("text") - WINDOW // 2, F.lit(1))).cast("int") + 1
+    likely = rows.join(wanted, "lang").where(within(F.col("key"), F.col("share")))  # no task sorts many more than are taken
+    drawn = likely.select("lang", "key", "quota", F.substring(F.col("text"), place, F.lit(WINDOW)).alias("part"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "part"))
+    taken = drawn.withColumn("nth", nth).where("nth <= quota").orderBy("key", "lang", "part")
+    return [(r.part.encode(), r.lang) for r in taken.select("key", "lang", "part").collect()]
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch: int = 2000) -> DataFrame:

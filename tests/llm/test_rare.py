@@ -2,7 +2,9 @@
 
 import random
 
-from gazette.llm import toxicity
+from pyspark.sql import functions as F
+
+from gazette.llm import language_id, toxicity
 
 
 def test_terms_of_rare_toxic_texts(spark):
@@ -13,3 +15,10 @@ def test_terms_of_rare_toxic_texts(spark):
     assert held[0] == 30 < held[1]
     lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
     assert any(" zqvorn ".startswith(t) for t in lexicon.weight)
+
+
+def test_rare_languages_are_in_the_sample(spark):
+    rows = [(i, f"text number {i}", "rare" if i < 5 else "few" if i < 40 else "common") for i in range(3000)] + [(9000, "12", "digits"), (9001, None, "none"), (9002, "x", None)]
+    found = language_id.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), at_most=300)
+    count = {lang: sum(x == lang for _, x in found) for lang in {x for _, x in found}}
+    assert count == {"rare": 5, "few": 35, "common": 260}
