@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm.common import fresh, stored
+from gazette.llm.common import free_names, fresh, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -19,19 +23,31 @@ def normalised(text: Column) -> Column:
 
 
 def best_first(doc_id: str = "doc_id") -> Column:
-    """Orders the rows of a group: most code points, then smallest id (null last), then the row's number."""
-    return F.struct((-F.col("n_points")).alias("less"), F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col("row").alias("row"), F.col("locator").alias("locator"))
+    """Orders the rows of a group: most code points, then smallest id (null last), then the delivery and the row's number."""
+    columns = {"less": -F.col("n_points"), "no_id": F.col(doc_id).isNull(), "id": F.col(doc_id), "delivery": F.col("delivery"), "row": F.col("row"), "locator": F.col("locator")}
+    return F.struct(*[c.alias(k) for k, c in columns.items()])
+
+
+def locator(docs: DataFrame) -> Column:
+    """Where a row's text is: its file, and its place there if Spark knows it (of a table read from Parquet)."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018 - resolves the names
+        return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return F.struct(F.input_file_name().alias("file"), F.lit(None).cast("long").alias("row"))
 
 
-def digest_state(spark: SparkSession, digests_path: str, schema, bytes_per_trigger: int = 1 << 30, rows_per_store: int = 4_000_000) -> DataFrame:
-    """Stream the digests through keyed state: per digest the number of rows, and id, row and locator of the row that stays.
+def digest_state(spark: SparkSession, home: str, schema, bytes_per_trigger: int = 1 << 30, rows_per_store: int = 4_000_000) -> DataFrame:
+    """Stream the digests in home/digests through keyed state: per digest the number of rows, the row that stays and the first.
 
     The state is held by RocksDB on the executors' disks and its checkpoints in the shared folder; no watermark, so no
-    digest is ever forgotten. Each micro-batch writes the keys it changed; a replayed batch overwrites what it wrote.
+    digest is ever forgotten. Each micro-batch writes the keys it changed; a replayed batch overwrites what it wrote. A home
+    that has been used goes on: only files that are new to it are read.
     """
-    home = fresh(spark, "dedup-state")
+    digests_path = f"{home}/digests"
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(digests_path)
-    state = stream.groupBy("digest").agg(F.min(best_first()).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    earliest = F.struct("delivery", "row", "locator")
+    state = stream.groupBy("digest").agg(F.min(best_first()).alias("best"), F.min(earliest).alias("earliest"), F.count(F.lit(1)).alias("group_size"))
     stores = max(spark.sparkContext.defaultParallelism, -(-spark.read.schema(schema).parquet(digests_path).count() // rows_per_store))
     before = {k: spark.conf.get(k, None) for k in (PROVIDER, STORES)}
     spark.conf.set(PROVIDER, ROCKSDB)
@@ -49,11 +65,12 @@ def digest_state(spark: SparkSession, digests_path: str, schema, bytes_per_trigg
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     changed = spark.read.schema(state.schema.add("batch", "long")).parquet(f"{home}/changed")
-    return changed.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("last")).select("digest", "last.best", "last.group_size")
+    latest = changed.groupBy("digest").agg(F.max_by(F.struct("best", "earliest", "group_size"), "batch").alias("last"))
+    return latest.select("digest", "last.best", "last.earliest", "last.group_size")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_hex: int = 64, bytes_per_trigger: int = 1 << 30) -> DataFrame:
-    """One row per row of docs: doc_id, digest, keep_id, group_size, kept, locator.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_hex: int = 64, bytes_per_trigger: int = 1 << 30, home: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, digest, keep_id, group_size, kept, locator (of the row that stays), n_points.
 
     Two texts are equal when they are identical without ASCII white space. The row with the most code points stays, then
     the smallest id; of rows that agree in both, exactly one stays. A null text is the empty text; a null id sorts last
@@ -61,20 +78,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Where the state holds a digest more than once, the rows are regrouped on their full normalised bytes. Texts of one
     digest that differ (digest_hex below 64 makes that happen in tests) then form groups of their own.
+
+    `home` is a folder of the shared storage that keeps the state from one delivery of documents to the next; without it,
+    docs are the only delivery. With it, keep_id, group_size and kept tell of all deliveries so far, and a text that an
+    earlier delivery has is read again at its locator (where that has a row) and compared; if it differs, an error is raised.
     """
     spark = docs.sparkSession
+    home = home or fresh(spark, "dedup")
+    delivery = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     keyed = docs.select(
         F.col(id_col).alias("doc_id"),
         F.sha2(normalised(F.col(text_col)), 256).alias("sha"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"),
         F.monotonically_increasing_id().alias("row"),
-        F.input_file_name().alias("locator"),
+        locator(docs).alias("locator"),
+        F.lit(delivery).alias("delivery"),
     ).withColumn("digest", F.substring("sha", 1, digest_hex))
-    path = fresh(spark, "digests")
-    keyed.write.parquet(path)
-    digests = spark.read.schema(keyed.schema).parquet(path)
+    keyed.write.mode("append").parquet(f"{home}/digests")
+    digests = spark.read.schema(keyed.schema).parquet(f"{home}/digests").where(F.col("delivery") == delivery)
 
-    hits = stored(digest_state(spark, path, keyed.schema, bytes_per_trigger).where("group_size > 1"), "dedup-hits")
+    hits = stored(digest_state(spark, home, keyed.schema, bytes_per_trigger).where("group_size > 1"), "dedup-hits")
     # Full bytes on hits: rows of a held digest, grouped on the whole normalised text (partly before the shuffle).
     # Eight bytes a digest find the rows, so that Spark can broadcast them while they are few; the bytes decide.
     few = stored(hits.select(F.xxhash64("digest").alias("key")).distinct(), "dedup-hit-keys")
@@ -82,30 +105,45 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = again.withColumn("digest", F.substring(F.sha2("norm", 256), 1, digest_hex)).join(few, F.xxhash64("digest") == F.col("key"), "left_semi")
     texts = again.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
     clashes = stored(texts.where("texts > 1").select("digest"), "dedup-clashes")
+    earlier = stored(hits.where((F.col("earliest.delivery") != delivery) & F.col("earliest.locator.row").isNotNull()).select("digest", "earliest.locator"), "dedup-earlier")
+    if not earlier.isEmpty():
+        _same_bytes(again, earlier, text_col)
 
     out = digests.join(hits.withColumnRenamed("digest", "held"), F.col("digest") == F.col("held"), "left")
     if not clashes.isEmpty():
-        out = _by_bytes(docs, clashes, id_col, text_col, digest_hex).unionByName(out.join(clashes, "digest", "left_anti").drop("held"))
+        out = _by_bytes(docs, delivery, clashes, id_col, text_col, digest_hex).unionByName(out.join(clashes, "digest", "left_anti").drop("held", "earliest"))
     alone = F.col("group_size").isNull()
     return out.select(
         "doc_id",
         F.col("sha").alias("digest"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (alone | (F.col("best.row") == F.col("row"))).alias("kept"),
+        (alone | ((F.col("best.row") == F.col("row")) & (F.col("best.delivery") == delivery))).alias("kept"),
         F.coalesce("best.locator", "locator").alias("locator"),
         "n_points",
     )
 
 
-def _by_bytes(docs: DataFrame, clashes: DataFrame, id_col: str, text_col: str, digest_hex: int) -> DataFrame:
+def _same_bytes(again: DataFrame, earlier: DataFrame, text_col: str) -> None:
+    """Raises an error if a text of this delivery (digest, norm) is not the one at the locator of its digest's first row."""
+    spark = again.sparkSession
+    files = [r.file for r in earlier.select("locator.file").distinct().collect()]  # names of files, not rows
+    there = spark.read.parquet(*files).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), normalised(F.col(text_col)).alias("was"))
+    first = earlier.select("digest", F.col("locator.file").alias("file"), F.col("locator.row").alias("at"))
+    found = there.join(first, ["file", "at"]).select("digest", "was").join(again.select("digest", "norm"), "digest")
+    if not found.where("was <> norm").isEmpty():
+        raise ValueError("texts of one digest differ between deliveries")
+
+
+def _by_bytes(docs: DataFrame, delivery: str, clashes: DataFrame, id_col: str, text_col: str, digest_hex: int) -> DataFrame:
     """The rows of clashing digests, grouped by their normalised bytes themselves."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         normalised(F.col(text_col)).alias("norm"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"),
         F.monotonically_increasing_id().alias("row"),
-        F.input_file_name().alias("locator"),
+        locator(docs).alias("locator"),
+        F.lit(delivery).alias("delivery"),
     ).withColumn("sha", F.sha2("norm", 256)).withColumn("digest", F.substring("sha", 1, digest_hex))
     rows = stored(rows.join(clashes, "digest", "left_semi"), "dedup-clashing")
     best = rows.groupBy("norm").agg(F.min(best_first()).alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -118,14 +156,15 @@ def kept_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
     The few ids that go are looked up, not the many that stay. Only rows whose id is null or repeated need more than the id.
     """
     decided = stored(decided.select("doc_id", "digest", "n_points", "kept"), "dedup-decided")
-    gone = stored(decided.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")), "dedup-gone")
-    unclear = stored(decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_unclear")), "dedup-unclear")
+    went, doubted, *keys, of, sha, points = free_names(docs.columns, "_gone", "_unclear", "_k0", "_k1", "_k2", "_of", "_sha", "_points")
+    gone = stored(decided.where("not kept and doc_id is not null").select(F.col("doc_id").alias(went)), "dedup-gone")
+    unclear = stored(decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias(doubted)), "dedup-unclear")
     if unclear.isEmpty():
-        return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    same = F.col(id_col).eqNullSafe(F.col("_unclear"))
-    clear = docs.join(unclear, same, "left_anti").join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+        return docs.join(gone, F.col(id_col) == F.col(went), "left_anti")
+    same = F.col(id_col).eqNullSafe(F.col(doubted))
+    clear = docs.join(unclear, same, "left_anti").join(gone, F.col(id_col) == F.col(went), "left_anti")
     key = [F.col(id_col), F.sha2(normalised(F.col(text_col)), 256), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")]
-    rows = docs.join(unclear, same, "left_semi").withColumns({f"_k{i}": k for i, k in enumerate(key)}).dropDuplicates(["_k0", "_k1", "_k2"])
-    stay = decided.where("kept")
-    on = F.col("_k0").eqNullSafe(stay.doc_id) & (F.col("_k1") == stay.digest) & (F.col("_k2") == stay.n_points)
+    rows = docs.join(unclear, same, "left_semi").withColumns(dict(zip(keys, key, strict=True))).dropDuplicates(keys)
+    stay = decided.where("kept").select(F.col("doc_id").alias(of), F.col("digest").alias(sha), F.col("n_points").alias(points))
+    on = F.col(keys[0]).eqNullSafe(F.col(of)) & (F.col(keys[1]) == F.col(sha)) & (F.col(keys[2]) == F.col(points))
     return clear.unionByName(rows.join(stay, on, "left_semi").select(*docs.columns))
