@@ -216,3 +216,22 @@ def marginal(p: Pieces, words: list[bytes]) -> np.ndarray:
             total[rows, t] = np.logaddexp(total[rows, t], total[rows, s] + p.score[ids])
         out[pick] = total[np.arange(n), length]
     return out
+
+
+def expected(p: Pieces, words: list[bytes], n: np.ndarray) -> np.ndarray:
+    """By piece id, how often the segmentations of the words hold the piece on average, each by its probability: forward and
+    backward recursion. n says how often each word counts."""
+    out = np.zeros(len(p.score))
+    for pick, flat, length in _rows(words):
+        arcs, every = list(_arcs(p, flat, length)), np.arange(len(pick))
+        ahead, behind = np.full((len(pick), flat.shape[1] + 1), -np.inf), np.full((len(pick), flat.shape[1] + 1), -np.inf)
+        ahead[:, 0], behind[every, length] = 0, 0
+        for s, t, rows, ids in arcs:
+            ahead[rows, t] = np.logaddexp(ahead[rows, t], ahead[rows, s] + p.score[ids])
+        for s, t, rows, ids in reversed(arcs):
+            behind[rows, s] = np.logaddexp(behind[rows, s], behind[rows, t] + p.score[ids])
+        whole = ahead[every, length]
+        held = [np.exp(ahead[rows, s] + p.score[ids] + behind[rows, t] - whole[rows]) * n[pick[rows]] for s, t, rows, ids in arcs]
+        if held:
+            out += np.bincount(np.concatenate([ids for _, _, _, ids in arcs]), np.concatenate(held), len(out))
+    return out

@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm.common import stored
-from gazette.llm.lattice import MARK, Pieces, best, load_pieces, marginal
+from gazette.llm.lattice import MARK, Pieces, expected, load_pieces, marginal
 
 #: Stands for the end of a text among its words: no word has a space in it.
 END = b" "
-#: Weight of the vocabulary's own scores, in tokens, beside the pieces counted in the training words.
+#: Weight of the vocabulary's own scores, in pieces, beside the expected counts of the pieces in rare training words.
 PRIOR = 1000.0
+#: How often a training word may be seen to teach the pieces, and how many rounds of expectations there are.
+RARE, ROUNDS = 2, 2
 
 
 def block_words(rows: DataFrame) -> DataFrame:
@@ -47,43 +49,42 @@ def block_words(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(each, "block long, word binary, n long")
 
 
-def piece_counts(words: DataFrame, shared) -> DataFrame:
-    """piece, n: how often the best segmentations of the training words (word, n) hold each piece, the end as -1."""
+def piece_expectations(words: DataFrame, shared) -> DataFrame:
+    """piece, n: how often the segmentations of the distinct words hold each piece on average, each word counting once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: Pieces = shared.value
-        total, end = np.zeros(len(pieces.score)), 0
+        total = np.zeros(len(pieces.score))
         for batch in batches:
             for part in (batch.slice(i, 20_000) for i in range(0, batch.num_rows, 20_000)):
-                word, n = part.column(0).to_pylist(), part.column(1).to_numpy()
-                end += int(sum(c for w, c in zip(word, n, strict=True) if w == END))
-                ids = best(pieces, [b"" if w == END else MARK + w for w in word])
-                if len(ids):
-                    total += np.bincount(np.concatenate(ids), np.repeat(n, [len(x) for x in ids]), len(total))
+                word = [MARK + w for w in part.column(0).to_pylist() if w != END]
+                total += expected(pieces, word, np.ones(len(word)))
         some = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1], pa.int32()), pa.array([*total[some].astype(np.int64).tolist(), end], pa.int64())], names=["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "n"])
 
-    return words.mapInArrow(each, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return words.select("word").mapInArrow(each, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def learn(words: DataFrame, model: bytes, prior: float = PRIOR) -> tuple[Pieces, float]:
+def learn(words: DataFrame, model: bytes, prior: float = PRIOR, rare: int = RARE, rounds: int = ROUNDS) -> tuple[Pieces, float]:
     """The pieces with scores learnt from the training words (word, n), and the natural log probability of the end.
 
-    The counts of the pieces and of the end, and the vocabulary's own scores with a weight of `prior` tokens, share the
-    probability. No more than a number for each piece of the vocabulary comes to the driver.
+    The lattice serves words that the training texts lack or hardly have, so the rare ones of them teach, those seen `rare`
+    times at most, each distinct word once. Starting from the vocabulary's own scores, each round sums the expected counts of
+    the pieces over all segmentations; these and the own scores, with a weight of `prior` pieces, share the probability. No
+    more than a number for each piece of the vocabulary comes to the driver.
     """
     pieces = load_pieces(model)
-    shared = words.sparkSession.sparkContext.broadcast(pieces)
-    counts = {r.piece: r.n for r in piece_counts(words, shared).collect()}
     own = np.exp(pieces.score)
-    weight = prior * own / own.sum()
-    for piece, n in counts.items():
-        if piece >= 0:
-            weight[piece] += n
-    end = counts.get(-1, 0) + 1.0
-    total = weight.sum() + end
-    with np.errstate(divide="ignore"):
-        return replace(pieces, score=np.log(weight / total)), math.log(end / total)
+    own /= own.sum()
+    some = words.where((F.col("n") > 0) & (F.col("n") <= rare))
+    for _ in range(rounds):
+        weight = prior * own
+        for r in piece_expectations(some, words.sparkSession.sparkContext.broadcast(pieces)).collect():
+            weight[r.piece] += r.n
+        total = weight.sum() + 1
+        with np.errstate(divide="ignore"):
+            pieces = replace(pieces, score=np.log(weight / total))
+    return pieces, -math.log(weight.sum() + 1) if rounds else -math.log(prior + 1)
 
 
 def scored_words(words: DataFrame, pieces, end: float, total: int, distinct: int) -> DataFrame:
