@@ -95,11 +95,16 @@ targets AS (
            CASE WHEN is_full THEN cap ELSE weight * ((budget - sum(CASE WHEN is_full THEN cap ELSE 0::DOUBLE END) OVER ())
                / sum(CASE WHEN is_full THEN 0::DOUBLE ELSE weight END) OVER ()) END AS target FROM filled),
 rated AS (
-    SELECT s.doc_id, s.size, t.source_size, t.target, s.chance,
+    SELECT s.doc_id, s.source, s.size, t.source_size, t.target, s.chance,
            CASE WHEN t.source_size = 0 THEN 0::DOUBLE ELSE t.target / t.source_size END AS rate
-    FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+    FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+drawn AS (
+    SELECT source, draw, abs(max(floor(rate) * source_size) + sum(CASE WHEN chance + draw / 16.0::DOUBLE - floor(chance + draw / 16.0::DOUBLE) < rate - floor(rate) THEN size ELSE 0 END) - max(target)) AS away
+    FROM rated, range(16) r(draw) GROUP BY source, draw),
+chosen AS (SELECT source, draw FROM drawn QUALIFY row_number() OVER (PARTITION BY source ORDER BY away, draw) = 1)
 SELECT doc_id, size, source_size, target,
-       (size * (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM rated
+       (size * (floor(rate) + CASE WHEN chance + draw / 16.0::DOUBLE - floor(chance + draw / 16.0::DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM rated r JOIN chosen c ON r.source IS NOT DISTINCT FROM c.source
 """,
     "op7_exact_dedup": r"""
 WITH rows_ AS (

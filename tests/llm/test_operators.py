@@ -12,16 +12,16 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from gazette.llm import exact_dedup, hash_index, language_id, lattice, lattice_lm, mixing, sentencepiece, simhash, token_counts, toxicity, warc
+from gazette.llm import exact_dedup, language_id, lattice, lattice_lm, mixing, sentencepiece, simhash, token_counts, toxicity, warc
 from gazette.llm.queries import PATTERN, vocabulary
 
 MODEL, RANKS = vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.tiktoken")
 ODD = [None, "", " \n\t", "a", "Zwölf Boxkämpfer 😀 中文\x00▁ end\n\nline", "one two three four five " * 4000, "x" * 5000, "don't  stop   spaces ", "  é"]
-SCHEMA = "doc_id long, text string, lang string, source string, row long, digest string, best string, ids_ string"
+SCHEMA = "doc_id long, text string, lang string, source string, row long, digest string, best string, ids_ string, _of string, _copies string, _rate string, _gone string, _unclear string, _k0 string, _toxicity string, salt string, delivery string, score double"
 
 
 def docs(spark, texts, sources=None):
-    rows = [(None if i == 3 else i, t, "en", sources[i] if sources else "s", 0, "d", "b", "i") for i, t in enumerate(texts)]
+    rows = [(None if i == 3 else i, t, "en", sources[i] if sources else "s", 0, "d", "b", "i", *"ocrgukts", "d", 0.5) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -46,11 +46,37 @@ def test_exact_dedup(spark, digest_hex):
     assert len(got) == len(texts) and sum(r.kept for r in got) == len(groups)
     left = exact_dedup.kept_rows(table, decided)
     assert left.columns == table.columns and left.count() == len(groups)
+    assert {(r["_gone"], r["_unclear"], r["_k0"]) for r in left.collect()} == {("g", "u", "k")}
     again = table.unionByName(table.where("doc_id = 4"))
     assert exact_dedup.kept_rows(again, exact_dedup.exact_dedup(again)).count() == len(groups)
     assert exact_dedup.exact_dedup(table.limit(0)).count() == 0
 
 
+def test_exact_dedup_in_many_batches(spark):
+    table = docs(spark, [*ODD, *ODD, "a b", "ab"])
+    plain = lambda df: sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in df.collect())
+    assert plain(exact_dedup.exact_dedup(table, bytes_per_trigger=1)) == plain(exact_dedup.exact_dedup(table))
+
+
+def test_exact_dedup_goes_on_with_a_second_delivery(spark, tmp_path):
+    for k, rows in enumerate(([(1, "a b"), (2, "c"), (3, "c"), (4, "d")], [(5, "ab"), (6, "c "), (7, "e"), (8, "e"), (0, "d")])):
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/docs{k}")
+    deliveries = [spark.read.parquet(f"{tmp_path}/docs{k}") for k in (0, 1)]
+    home = f"file://{tmp_path}/home"
+    first = exact_dedup.exact_dedup(deliveries[0], home=home)
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in first.collect()} == {(1, 1, 1, True), (2, 2, 2, True), (3, 2, 2, False), (4, 4, 1, True)}
+    second = exact_dedup.exact_dedup(deliveries[1], home=home).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in second} == {(5, 1, 2, False), (6, 6, 3, True), (7, 7, 2, True), (8, 7, 2, False), (0, 0, 2, True)}
+    at = next(r.locator for r in second if r.doc_id == 5)
+    found = spark.read.parquet(at.file).where(F.col("_metadata.row_index") == at.row).first()
+    assert found.doc_id == 1
+    with pytest.raises(ValueError, match="differ between deliveries"):
+        other = f"file://{tmp_path}/other"
+        exact_dedup.exact_dedup(deliveries[0], digest_hex=1, home=other)
+        many = spark.createDataFrame([(k, f"text {k}") for k in range(100)], "doc_id long, text string")
+        exact_dedup.exact_dedup(many, digest_hex=1, home=other)
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     sources = [rng.choice(["b", "a", None, "c", "big", "big", "big"]) for _ in range(600)]
@@ -72,10 +98,12 @@ def test_mixing(spark):
     for r in got:
         assert math.isclose(r.target, target[r.source]) and r.source_size == size[r.source] and r.taken <= 2 * r["size"]
     for s in order:
-        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) < 0.15 * target[s] + 60
+        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= 0.03 * target[s] + 15
     again = {(r.doc_id, r.source, r["size"]): r.copies for r in mixing.mix(table).collect()}
     assert all(again[r.doc_id, r.source, r["size"]] == r.copies for r in got)
-    assert mixing.emit(table).count() == sum(r.copies for r in got) and mixing.emit(table).columns == table.columns
+    emitted = mixing.emit(table)
+    assert emitted.count() == sum(r.copies for r in got) and emitted.columns == table.columns
+    assert {(r["_of"], r["_copies"], r["_rate"]) for r in emitted.select("_of", "_copies", "_rate").collect()} == {("o", "c", "r")}
     assert mixing.mix(table.limit(0)).count() == 0 and {r.taken for r in mixing.mix(docs(spark, [None, ""])).collect()} == {0}
 
 
@@ -159,6 +187,27 @@ def test_lattice_against_all_segmentations():
         assert math.isclose(max(every), pieces.score[ids].sum(), abs_tol=1e-9) and math.isclose(np.logaddexp.reduce(every), m, abs_tol=1e-9)
 
 
+def test_expected_counts_against_all_segmentations():
+    pieces, words, n = lattice.load_pieces(MODEL), ["▁the", "▁therein", "▁x😀y", "z"], np.array([2.0, 1.0, 3.0, 1.0])
+    want, ids = np.zeros(len(pieces.score)), {p: i for i, p in enumerate(pieces.surface) if np.isfinite(pieces.score[i]) and i not in set(pieces.byte_id.tolist())}
+
+    def go(text):
+        if not text:
+            yield []
+        for t in range(1, len(text) + 1):
+            if text[:t].encode() in ids:
+                yield from ([ids[text[:t].encode()], *x] for x in go(text[t:]))
+        if text and text[0].encode() not in ids:
+            yield from ([*(int(pieces.byte_id[b]) for b in text[0].encode()), *x] for x in go(text[1:]))
+
+    for w, k in zip(words, n, strict=True):
+        every = list(go(w))
+        p = np.exp([pieces.score[x].sum() for x in every])
+        for x, share in zip(every, p / p.sum(), strict=True):
+            np.add.at(want, x, share * k)
+    assert np.allclose(lattice.expected(pieces, [w.encode() for w in words], n), want)
+
+
 def test_double_array():
     keys = {bytes(k): i for i, k in enumerate({tuple(random.Random(i).choices(range(256), k=i % 5 + 1)) for i in range(500)})}
     base, check, value = lattice.double_array(keys)
@@ -181,6 +230,36 @@ def test_sentencepiece_round_trip(spark):
     assert sentencepiece.encode(table.limit(0), MODEL).count() == 0
     small = sentencepiece.Codec(lattice.load_pieces(MODEL), keep=3)
     assert [small.decode(x) for x in small.encode(ODD)] == [t or "" for t in ODD]
+    ids = {r.doc_id: list(r.ids) for r in coded.collect()}
+    assert all(list(r.ids) == ids[r.doc_id] and r.n_pieces == len(r.ids) for r in sentencepiece.round_trip(table, MODEL).collect())
+
+
+def plain_viterbi(pieces, data):
+    """The best segmentation of a whole text without white space in it: bytes where a character is no piece."""
+    byte_ids = set(pieces.byte_id.tolist())
+    ids = {p: i for i, p in enumerate(pieces.surface) if i not in byte_ids and np.isfinite(pieces.score[i])}
+    longest, top = max(map(len, ids)), [(0.0, [])] + [(-math.inf, [])] * len(data)
+    for s in range(len(data)):
+        if top[s][0] == -math.inf or data[s] & 0xC0 == 0x80 and not top[s][1]:
+            continue
+        size = next((k for k in (1, 2, 3, 4) if s + k == len(data) or data[s + k] & 0xC0 != 0x80), 1)
+        arcs = [(s + k, [ids[data[s : s + k]]]) for k in range(1, min(longest, len(data) - s) + 1) if data[s : s + k] in ids]
+        if data[s : s + size] not in ids:
+            arcs.append((s + size, [int(pieces.byte_id[b]) for b in data[s : s + size]]))
+        for t, more in arcs:
+            new = top[s][0] + sum(pieces.score[i] for i in more)
+            if new > top[t][0] + 1e-12:
+                top[t] = (new, top[s][1] + more)
+    return top[-1]
+
+
+def test_segments_make_up_the_best_of_the_whole_text():
+    pieces = lattice.load_pieces(MODEL)
+    codec = sentencepiece.Codec(pieces)
+    for text in ("the training of  models,   unbelievably͸ naïve 😀 中文 ", " leading and doubled  spaces", "x" * 60, "don't stop"):
+        score, _ = plain_viterbi(pieces, (" " + text).replace(" ", "▁").encode())
+        (ids,) = codec.encode([text])
+        assert math.isclose(pieces.score[ids].sum(), score, abs_tol=1e-6)
 
 
 def test_lattice_lm(spark):
@@ -197,6 +276,15 @@ def test_lattice_lm(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(x in count for x in w), n, not (i < 10 and i != 3))
         assert math.isclose(r.base_score, sum(math.log10((count.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
         assert math.isfinite(r.score) and r.score < 0
+    # The same by all segmentations of each word, with pieces learnt from the rare training words.
+    rare = spark.createDataFrame([(w, c) for w, c in count.items()], "word binary, n long")
+    pieces, end = lattice_lm.learn(rare, MODEL)
+    for i in (len(texts) - 3, len(texts) - 2, len(texts) - 1):
+        want = 0.0
+        for w in words[i]:
+            p = math.exp(end if w == b" " else np.logaddexp.reduce(brute(pieces, lattice.MARK + w)))
+            want += math.log10((count.get(w, 0) + v * p) / (n + v))
+        assert math.isclose(got[i].score, want, rel_tol=1e-9)
     assert lattice_lm.lattice_scores(docs(spark, texts).limit(0), MODEL, F.lit(True)).count() == 0
     none = lattice_lm.lattice_scores(docs(spark, texts), MODEL, F.lit(False)).collect()
     assert all(math.isfinite(r.score) and r.train_tokens == 0 for r in none)
@@ -216,6 +304,33 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(table, language_id.train([])).collect()} == {"und"}
 
 
+def test_document_probabilities_against_plain_recurrence():
+    rng = np.random.default_rng(3)
+    model = language_id.Model(["a", "b", "c"], [rng.normal(size=(4, 257)) for _ in "fb"], [rng.normal(size=(4, 2)) for _ in "fb"], rng.normal(size=(3, 4)), rng.normal(size=3))
+    for t in model.table:
+        language_id._pads(t)
+
+    def states(way, data):
+        h, out = np.zeros(2), []
+        for b in data:
+            a = model.table[way][:, b] + model.recurrent[way] @ h
+            z, c = 1 / (1 + np.exp(-a[:2])), np.tanh(a[2:])
+            h = z * h + (1 - z) * c
+            out.append(h)
+        return out
+
+    texts = [b"", b"x", bytes(rng.integers(0, 256, 300).tolist()), b"ab" * 64]
+    got = language_id.document_probabilities(model, texts)
+    for text, p in zip(texts, got, strict=True):
+        want = []
+        for at in range(0, len(text), language_id.WINDOW):
+            part = text[at : at + language_id.WINDOW]
+            for f, b in zip(states(0, part), states(1, part[::-1])[::-1], strict=True):
+                e = np.exp(model.out @ np.concatenate((f, b)) + model.bias)
+                want.append(e / e.sum())
+        assert np.allclose(p, np.mean(want, axis=0) if want else 0, atol=1e-9)
+
+
 def test_windows_cover_the_texts():
     texts = [b"", b"ab", bytes(range(255)) * 3, b"", b"x" * language_id.WINDOW, b"y"]
     for at_once in (1, 3, 8192):
@@ -253,6 +368,20 @@ def test_token_counts(spark):
         rows = sorted(got[i], key=lambda r: r.section)
         assert "".join((t or "")[r.char_start : r.char_end] for r in rows) == (t or "")
         assert sum(r.n_tokens for r in rows) == len(enc.encode_ordinary(t or "")) == rows[0].doc_tokens
+    texts = ["one\n\n two\n", "a\n\n\n\n b", "é\r\n\r\n  x\n😀\n", *[t or "" for t in ODD[:5]]]
+    for rule in token_counts.RULES:
+        made = {}
+        for r in token_counts.section_tokens(docs(spark, texts), RANKS, PATTERN, rule).collect():
+            made.setdefault(3 if r.doc_id is None else r.doc_id, []).append((r.section, r.n_tokens, r.n_crossing))
+        for i, t in enumerate(texts):
+            line_of = [k for k, line in enumerate(t.encode().splitlines(keepends=True) if b"\r" not in t.encode() else t.encode().replace(b"\r", b"_").splitlines(keepends=True)) for _ in line]
+            owner, at = [], 0
+            for token in enc.encode_ordinary(t):
+                held = line_of[at : at + size[token]]
+                at += size[token]
+                owner.append((held[0] if rule == "start" else held[-1] if rule == "end" else max(sorted(set(held)), key=held.count), len(set(held)) > 1))
+            want = [(k, sum(o == k for o, _ in owner), sum(o == k and c for o, c in owner)) for k in range(max([0, *line_of]) + 1)]
+            assert sorted(made[i]) == want
     ends, starts = np.array([2, 5, 9, 10]), np.array([0, 3, 4, 8])
     assert [token_counts.attribute(ends, starts, 10, r)[0].tolist() for r in token_counts.RULES] == [[2, 0, 1, 1], [1, 0, 1, 2], [2, 0, 1, 1]]
     assert token_counts.section_tokens(docs(spark, ODD).limit(0), RANKS, PATTERN).count() == 0
@@ -263,39 +392,6 @@ def test_token_counts(spark):
     assert size[token_counts.tokens(enc, PATTERN, blank)].sum() == len(blank)
 
 
-def test_hash_index(spark):
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(600, 24)) * rng.uniform(0.2, 3, size=(600, 1))
-    x[7] = x[8] = x[0]
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
-    odd = [(700, None, 0), (720, [0.0] * 24, 0), (740, [float("nan")] * 24, 0), (760, [1.0], 0), (None, [1.0] * 24, 0), (780, [None] * 24, 0)]
-    table = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>, label int")
-    got = {}
-    for r in hash_index.nearest(table, lambda k: k % 20 == 0, k=10, shard_rows=200, query_rows=10).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r)
-    assert set(got) == set(range(0, 600, 20))
-    hit = 0
-    for q, found in got.items():
-        near = x @ x[q]
-        near[q] = -np.inf
-        best = sorted(range(600), key=lambda i: (-near[i], i))[:10]
-        hit += len({r.vec_id for r in found} & set(best))
-        assert len(found) == 10 and all(math.isclose(r.score, x[r.vec_id] @ x[q], rel_tol=1e-12) for r in found)
-        assert [(-r.score, r.vec_id) for r in found] == sorted((-r.score, r.vec_id) for r in found)
-    assert hit >= 0.9 * 300
-    few = hash_index.nearest(table.where("vec_id < 5"), lambda k: k == 0, k=20).collect()
-    assert len(few) == 4 and hash_index.nearest(table.limit(0), lambda k: k == 0).count() == 0
-
-
-def test_index_probes_find_all_within_the_radius():
-    rng = np.random.default_rng(8)
-    codes = rng.integers(0, 1 << 16, (3000, hash_index.PARTS)).astype("<u2")
-    index = hash_index.Index(codes)
-    for radius in (3, 20, 25, 26, 27, 64):
-        want = [i for i, c in enumerate(codes) if sum(int(v).bit_count() for v in c ^ codes[0]) <= radius]
-        assert index.within(codes[0], radius).tolist() == want
-
-
 def test_warc(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "é\r\n\r\nWARC/1.1", "x" * 300_000, "<p>a</p>"]
     rows = [(None if i == 1 else i, None if i == 2 else f"https://e.com/{i}\n", h, "x") for i, h in enumerate(html)]
@@ -330,10 +426,43 @@ def test_toxicity(spark):
     lexicon = toxicity.learn(table.where("doc_id < 300"))
     got = {r.doc_id: r.score for r in toxicity.toxicity(table, lexicon).collect()}
     assert all((got[i] >= 0.3) == bool(bad) for i, _, bad in rows[300:]) and got[900] == got[901] < 0.3
-    found = lexicon.automaton()
+    found = toxicity.Lexicon(lexicon.weight, ("clown-fish",), (0, 0, 0)).automaton()
     assert toxicity.features(found, toxicity.fold("a clown fish")) == (0.0, 0.0) < toxicity.features(found, toxicity.fold("a clown"))
+    with pytest.raises(ValueError):
+        toxicity.with_toxicity(table, lexicon, score_col="TOXIC")
     own = toxicity.Lexicon({" b": 1.0, " d ": 2.0}, ("a b c d e", "b c", "d a"), (0, 0, 0)).automaton()
     for text, total in (("a b c d e", 0), ("b c d", 2), ("a b c d", 2), ("d d a b", 3), ("b c " * 3 + "b", 1)):
         assert toxicity.features(own, text.split())[1] == 10 * total / (len(text.split()) + 10)
     assert toxicity.fold("1D1​OT іdіot") == ["idiot", "idiot"]
     assert toxicity.toxicity(table, toxicity.learn(table.limit(0))).count() == 402
+
+
+def test_exceptions_are_learnt_from_clean_texts(spark):
+    rng = random.Random(10)
+    words = [f"wo{a}{b}rd" for a in "bcdfgklmnp" for b in "aeiou"]
+    rows = []
+    for i in range(800):
+        said = rng.choices(words, k=20)
+        said[7:7] = ["zilch"] if i % 5 == 0 else ["zilch", "garden"] if i % 40 == 1 else []
+        rows.append((i, " ".join(said), int(i % 5 == 0)))
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert "zilch garden" in lexicon.exceptions and any(" zilch ".startswith(t) for t in lexicon.weight)
+    found = lexicon.automaton()
+    assert toxicity.features(found, ["the", "zilch", "garden"]) == (0.0, 0.0) < toxicity.features(found, ["the", "zilch", "woe"])
+
+
+def test_matching_against_a_plain_search():
+    rng = random.Random(14)
+    for _ in range(300):
+        letters = lambda n: "".join(rng.choices("ab", k=n))
+        weight = {t: rng.choice([0.5, 1.0, 2.0]) for t in ({f" {letters(rng.randint(1, 3))}" + rng.choice(["", " "]) for _ in range(6)})}
+        spared = tuple({f"{letters(rng.randint(1, 2))} {letters(rng.randint(1, 2))}" for _ in range(3)})
+        words = [letters(rng.randint(1, 4)) for _ in range(rng.randint(0, 12))]
+        text, total = f" {' '.join(words)} ", 0.0
+        inside = [(i, i + len(e) + 1) for e in spared for i in range(len(text)) if text.startswith(f" {e} ", i)]
+        for i in range(len(text)):
+            here = [w for t, w in weight.items() if text.startswith(t, i)]
+            if here and not any(a <= i < b for a, b in inside):
+                total += max(here)
+        got = toxicity.features(toxicity.Lexicon(weight, spared, (0, 0, 0)).automaton(), words)
+        assert math.isclose(got[1], 10 * total / (len(words) + 10)) if words else got == (0.0, 0.0)
