@@ -190,7 +190,8 @@ def training_windows(docs: DataFrame, may_learn: Column, at_most: int = 4000, id
         quotas.append((r.lang, quota, min(1.0, (1.5 * quota + 20) / r.n)))
     if not quotas:
         return []
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(quotas, "lang string, quota int, share double"))
+    wanted = docs.sparkSession.createDataFrame(quotas, "lang string, quota int, share double")
+    wanted = F.broadcast(wanted) if len(quotas) <= 100_000 else wanted
     place = F.pmod(F.xxhash64(F.lit("place"), F.col("key")), F.greatest(F.char_length("text") - WINDOW // 2, F.lit(1))).cast("int") + 1
     likely = rows.join(wanted, "lang").where(within(F.col("key"), F.col("share")))  # no task sorts many more than are taken
     drawn = likely.select("lang", "key", "quota", F.substring(F.col("text"), place, F.lit(WINDOW)).alias("part"))
