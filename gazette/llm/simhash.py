@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from gazette.llm.common import fresh, remove, stored
 
 
+#: How many tasks the rows of one fingerprint are dealt over.
+SALTS = 16
+
+
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     """The SimHash of a text as an unsigned number: shingles of `width` words, A-Z in lower case, repeats counted."""
     words = (text or b"").lower().split()
@@ -31,6 +35,14 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
+def majority(h: np.ndarray) -> int:
+    """The SimHash of a set of 64-bit hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long) of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -69,7 +81,9 @@ def links(nodes: DataFrame, segments: int = 16, dense: int = 64) -> DataFrame:
     smallest. Sharers differ in 2 bits at most, and any two fingerprints that do share a code, so components are the same.
     """
     own, near = cells(F.col("fp"), segments)
-    placed = nodes.select("fp", own.alias("own"), F.explode(near).alias("cell"))
+    # A table of fingerprints is small beside what it explodes to: all tasks take part.
+    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    placed = spread.select("fp", own.alias("own"), F.explode(near).alias("cell"))
     counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(placed.join(counts, "cell"), "simhash-cells")
     sparse = shared.where(F.col("n") <= dense)
@@ -126,11 +140,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are not looked at.
     """
     prints = stored(fingerprints(docs, id_col, text_col, width), "simhash-prints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     edges = stored(links(nodes.select("fp"), segments, dense), "simhash-links")
     roots = components(edges).withColumnRenamed("node", "fp")
     roots = stored(roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()), "simhash-roots")
     smallest = roots.join(nodes, "fp").groupBy("root").agg(F.min("least_id").alias("of_all"))
     linked = roots.join(smallest, "root").select("fp", "of_all")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("of_all", "least_id").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # Only fingerprints that have a link or a copy are looked up, those of many rows in SALTS tasks.
+    named = nodes.join(linked, "fp", "left").where("n > 1 or of_all is not null")
+    named = named.select("fp", F.coalesce("of_all", "least_id").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    component = F.coalesce("component", "doc_id").alias("component_id")
+    return salted.join(named, ["fp", "salt"], "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component)

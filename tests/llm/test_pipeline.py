@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from gazette.llm import lattice, near_copies, sentencepiece
+from gazette.llm.common import stored
 from gazette.llm.queries import vocabulary
 
 
@@ -47,13 +48,13 @@ def edited_texts():
     return texts
 
 
-@pytest.mark.parametrize("dense", [3, 64])
-def test_near_copies_are_all_found(spark, dense):
+@pytest.mark.parametrize("block", [3, 4096])
+def test_near_copies_are_all_found(spark, block):
     texts = edited_texts()
     root = plain_groups(texts)
     assert 10 < len(set(root)) < len(texts) - 20
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: bytes(r.group) for r in near_copies.groups(table, dense=dense).collect()}
+    got = {r.doc_id: r.group for r in near_copies.groups(table, block=block).collect()}
     assert len(got) == len(texts)
     for i, j in itertools.combinations(range(len(texts)), 2):
         assert (got[i] == got[j]) == (root[i] == root[j])
@@ -122,11 +123,17 @@ def plain_mixed(rows):
         target |= {s: 2.0 * size[s] for s in over}
         left, free = left - sum(2 * size[s] for s in over), free - over
     target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
-    out = []
+    out, drawn, marked = [], {}, []
     for r in rows:
         rate = target[r[2]] / size[r[2]]
-        drawn = int(hashlib.md5(f"mix:{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:12], 16) / 2**48
-        out += [r] * (math.floor(rate) + (drawn < rate - math.floor(rate)))
+        draws = drawn.setdefault(r[2], [0] * 16)
+        u = int(hashlib.md5(f"mix:{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:12], 16) / 2**48
+        taken = [math.floor(rate) + ((u + d / 16) - math.floor(u + d / 16) < rate - math.floor(rate)) for d in range(16)]
+        for d in range(16):
+            draws[d] += taken[d] * len((r[1] or "").split())
+        marked.append((r, taken))
+    for r, taken in marked:
+        out += [r] * taken[min(range(16), key=lambda d: (abs(drawn[r[2]][d] - target[r[2]]), d))]
     return out
 
 
@@ -156,6 +163,19 @@ def test_stages_and_run(spark, tmp_path):
     assert Counter((r.doc_id, codec.decode(np.array(r.ids, "int32")), r.source) for r in got) == last
 
 
+def test_clashing_columns(spark, tmp_path):
+    names = ["_toxicity", "_text", "_digest", "_best", "_of", "_copies", "_rate", "_draw", "_gone", "_unclear", "_k0", "group", "digest", "fp", "id", "row", "size"]
+    rows = [(*r, *names) for r in corpus()]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(360)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(names)]
+        docs = stored(out, "test")
+    assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
