@@ -83,9 +83,9 @@ def links(nodes: DataFrame, segments: int = 16, dense: int = 64) -> DataFrame:
     own, near = cells(F.col("fp"), segments)
     # A table of fingerprints is small beside what it explodes to: all tasks take part.
     spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    placed = spread.select("fp", own.alias("own"), F.explode(near).alias("cell"))
+    placed = spread.select("fp", F.explode(near).alias("cell"))
     counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(placed.join(counts, "cell"), "simhash-cells")
+    shared = stored(placed.join(counts, "cell").withColumn("own", own), "simhash-cells")
     sparse = shared.where(F.col("n") <= dense)
     a, b = sparse.alias("a"), sparse.alias("b")
     differ = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
