@@ -25,6 +25,7 @@ from gazette.plans import deliver, queries
 from gazette.plans.run import main, run
 from gazette.plans.settings import Settings
 from gazette.sources import feeds
+from gazette.streaming import ingest
 
 NOW = datetime(2026, 3, 2, 12, tzinfo=timezone.utc)
 ARTICLE = "id string, source_name string, title string, description string, published_at timestamp, duplicate_count int, pos long, url string, og_title string, og_description string, image_url string"
@@ -170,6 +171,39 @@ def test_clusters_equal_the_scan(spark):
     assert got == scanned([(r[0], r[2], None if r[3] is None else NOW - timedelta(hours=r[3])) for r in order])
 
 
+def test_pairs_of_one_story_against_all_pairs(spark):
+    rng = random.Random(6)
+    pool = "chips launches agents funding series deal google nvidia".split()
+    rows = [(f"a{i}", "s", " ".join(rng.sample(pool, rng.randint(0, 6))), rng.choice([None, *range(0, 400, 20)]), 1, None) for i in range(120)]
+    ranked_rows = clustering.stored(clustering.with_tokens(clustering.scan_order(articles(spark, rows))), "test")
+    kinds = {}
+    for r in ranked_rows.orderBy("rk").collect():
+        kinds.setdefault(r.norm, [r.rk, r.rk, set(r.tokens), 0])
+        kinds[r.norm][1], kinds[r.norm][3] = r.rk, kinds[r.norm][3] + 1
+    want = set()
+    for n, (rk, last, t, copies) in kinds.items():
+        for m, (first, _, u, _) in kinds.items():
+            both = len(t & u)
+            if both < 2 or first >= last or (n == m and copies < 2):
+                continue
+            ratio, sim = both / min(len(t), len(u)), 0.65 * both / len(t | u) + 0.35 * SequenceMatcher(None, n, m).ratio()
+            if sim >= 0.78 and ratio >= 0.5 or sim >= 0.62 and ratio >= 0.7:
+                want.add((rk, first, round(sim, 9), sim >= 0.78 and ratio >= 0.5))
+    got = clustering.same_story_pairs(clustering.titles(ranked_rows)).collect()
+    assert len(got) == len(want) and {(r.l, r.r, round(r.sim, 9), r.any_date) for r in got} == want
+
+
+def test_stream_of_entries(spark, tmp_path):
+    at = [datetime(2026, 3, 2, h) for h in range(3)]
+    schema = "url string, published_at timestamp, n int"
+    spark.createDataFrame([("https://e.com/a?utm_source=x", at[0], 1), ("https://e.com/b", at[1], 2)], schema).write.parquet(f"{tmp_path}/landed")
+    spark.createDataFrame([("https://e.com/a#top", at[2], 3), ("https://e.com/c", at[2], 4)], schema).write.mode("append").parquet(f"{tmp_path}/landed")
+    stream = ingest.unique_articles(ingest.landed(spark, f"{tmp_path}/landed", schema))
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination()
+    assert sorted(r.url for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["https://e.com/a", "https://e.com/b", "https://e.com/c"]
+
+
 def test_text(spark):
     assert value(spark, text.enforce_sentences(F.lit("Sentence one. Sentence two. Sentence three. Sentence four."))) == "Sentence one. Sentence two. Sentence three."
     for n in range(3):
