@@ -8,9 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from gazette.llm import lattice, near_copies, sentencepiece
+from gazette.llm import common, lattice, near_copies, sentencepiece
 from gazette.llm.common import stored
 from gazette.llm.queries import vocabulary
 
@@ -191,3 +192,15 @@ def test_last_stage_decodes_what_it_encodes(spark):
     assert coded.columns == [*table.columns, "ids", "decodes"]
     with pytest.raises(ValueError):
         sentencepiece.encode(table, model, decodes_col="text")
+
+
+def test_rows_parted_by_keys(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") > 0, F.sha2(F.col("id").cast("string"), 256)).alias("k"), F.col("id").alias("_row"), F.lit("mine").alias("_bitmap"))
+    keys = rows.where("_row % 10 = 0").select(F.col("k").alias("of"))
+    for bits in (16, 1 << 16, 1 << 25):  # full, with some hits by chance, with none to speak of
+        may, others = common.parted(rows, F.col("k"), keys, bits)
+        assert may.columns == others.columns == rows.columns
+        there, away = {r["_row"] for r in may.collect()}, [r["_row"] for r in others.collect()]
+        assert set(range(0, 3000, 10)) <= there and not there & set(away) and len(there) + len(away) == 3000
+        assert {16: len(there) == 3000, 1 << 16: 300 < len(there) < 400, 1 << 25: len(there) < 305}[bits], bits
+    assert common.parted(rows, F.col("k"), keys.limit(0))[0].count() == 0 and common.parted(rows.limit(0), F.col("k"), keys)[1].count() == 0
