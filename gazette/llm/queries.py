@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import exact_dedup, hash_index, language_id, lattice_lm, mixing, sentencepiece, simhash, token_counts, toxicity, warc
+from gazette.llm import chat_format, exact_dedup, hard_negatives, hash_index, language_id, lattice_lm, mixing, sentencepiece, simhash, spelling, token_counts, toxicity, warc
 from gazette.llm.common import remainder, table
 
 #: Where the vocabulary files of public tokenizers are.
@@ -71,9 +71,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_mixing, op4_lattice_lm, op5_sentencepiece, op6_hash_index, op7_exact_dedup, op8_simhash, op9_warc, op10_toxicity)
-}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), lambda key: key % 100 == 0, label=label)
+
+
+#: What conversation -1 says, in both of its turns.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.format_turns(rows.unionByName(own)), arranged=True).drop("rewrites")
+
+
+_ALL = (
+    op1_token_counts, op2_language_id, op3_mixing, op4_lattice_lm, op5_sentencepiece, op6_hash_index, op7_exact_dedup, op8_simhash, op9_warc, op10_toxicity,
+    op11_spelling, op12_hard_negatives, op13_chat_format,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": r"""
