@@ -5,10 +5,11 @@ from __future__ import annotations
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gazette.functions.staging import free_names
 from gazette.functions.text import strip
 
 # Query keys that only track.
@@ -28,18 +29,21 @@ def _plain(url: Column) -> Column:
     return F.when(kept == "", base).otherwise(F.concat(base, F.lit("?"), kept))
 
 
-def _parsed(url: str | None) -> str | None:
+def _parsed(url: str | None) -> tuple[str | None, str | None]:
+    """The URL normalised, or why it can't be."""
+    if url is None:
+        return None, None
     try:
-        at = urlsplit((url or "").strip())
+        at = urlsplit(url.strip())
         pairs = [(k, v) for k, v in parse_qsl(at.query, keep_blank_values=True) if k not in TRACKING]
-        return None if url is None else urlunsplit(at._replace(fragment="", query=urlencode(pairs)))
-    except ValueError:
-        return None
+        return urlunsplit(at._replace(fragment="", query=urlencode(pairs))), None
+    except ValueError as e:
+        return None, str(e)
 
 
-@F.pandas_udf(T.StringType())
-def _parse(urls: pd.Series) -> pd.Series:
-    return urls.map(_parsed)
+@F.pandas_udf(T.StructType([T.StructField("url", T.StringType()), T.StructField("fault", T.StringType())]))
+def _parse(urls: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_parsed(u) for u in urls], columns=["url", "fault"], dtype=object)
 
 
 def normalize_url(url: Column, any_url: bool = True) -> Column:
@@ -49,7 +53,24 @@ def normalize_url(url: Column, any_url: bool = True) -> Column:
     """
     bare = strip(url)
     plain = bare.rlike(PLAIN)
-    return F.when(plain, _plain(bare)).otherwise(_parse(F.when(plain, F.lit(None).cast("string")).otherwise(bare)) if any_url else F.lit(None))
+    return F.when(plain, _plain(bare)).otherwise(_parse(F.when(plain, F.lit(None).cast("string")).otherwise(bare))["url"] if any_url else F.lit(None))
+
+
+def with_normal_url(df: DataFrame, url: Column, out: str = "url", fault: str | None = None) -> DataFrame:
+    """df with the normalised URL and, if `fault` names a column, why there is none; both are null for a null URL.
+
+    Only rows whose URL isn't plain meet a Python worker: they are a branch of their own, so df, which is read twice, should be a
+    table or a stored step.
+    """
+    bare, told = free_names([*df.columns, out, *([fault] if fault else [])], "_bare", "_told")
+    kept = [c for c in df.columns if c not in (out, fault)]
+    held = df.withColumn(bare, strip(url))
+    plain = F.coalesce(F.col(bare).rlike(PLAIN), F.lit(True))
+    none = F.lit(None).cast("string")
+    easy = held.where(plain).select(*kept, _plain(F.col(bare)).alias(out), none.alias(fault or told))
+    hard = held.where(~plain).withColumn(told, _parse(F.col(bare))).select(*kept, F.col(told)["url"].alias(out), F.col(told)["fault"].alias(fault or told))
+    both = easy.unionByName(hard)
+    return both if fault else both.drop(told)
 
 
 def host(url: Column) -> Column:

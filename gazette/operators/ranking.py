@@ -12,9 +12,16 @@ from gazette.operators.clustering import story_clusters
 
 
 def representatives(df: DataFrame, cluster: str = "leader_rk") -> DataFrame:
-    """Of each cluster the row with the largest score, then the latest, then the first in scan order."""
-    order = Window.partitionBy(cluster).orderBy(F.coalesce("score", F.lit(0.0)).desc(), F.col("published_at").desc_nulls_last(), F.col("rk"))
-    return df.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    """Of each cluster the row with the largest score, then the latest, then the first in scan order.
+
+    An aggregate that merges: each task reduces its rows of a cluster to one before the only shuffle, so a cluster may be
+    of any size. Rows without a cluster are one; a null score counts as 0.
+    """
+    rest = [c for c in df.columns if c != cluster]
+    order = F.struct(F.coalesce("score", F.lit(0.0)), F.col("published_at").isNotNull(), F.col("published_at"), -F.col("rk"))
+    (best,) = free_names(df.columns, "_best")
+    found = df.groupBy(cluster).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), order).alias(best))
+    return found.select(*[F.col(best)[c].alias(c) if c != cluster else F.col(c) for c in df.columns])
 
 
 def top_k(df: DataFrame, k: int, tie: str = "leader_rk") -> DataFrame:

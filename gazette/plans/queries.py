@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import render, scoring, text, urls
 from gazette.functions.lexicon import DEFAULT
-from gazette.operators import clustering, datefilter, dedupe, enrich, ranking
+from gazette.operators import clustering, datefilter, dedupe, enrich, ranking, rejects
 from gazette.plans import adapters as A
 from gazette.plans import deliver
 from gazette.sources import feeds
@@ -138,7 +138,30 @@ urls AS (SELECT page_id, CASE WHEN q = '' THEN base ELSE base || '?' || q END AS
 
 @query(f"WITH {_URLS_SQL} SELECT page_id, url FROM urls")
 def normalize_url(spark, sf_dir):
-    return A.table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("url"))
+    return urls.with_normal_url(A.table(spark, sf_dir, "pages").select("page_id", "url"), F.col("url"))
+
+
+_BAD_LINKS_SQL = """links AS (SELECT page_id, source_name, CASE page_id % 5 WHEN 0 THEN 'http://[' || page_id || '/a' WHEN 1 THEN ' http://[p' || page_id || ']/a#b' ELSE url END AS link,
+    CASE page_id % 5 WHEN 0 THEN 'Invalid IPv6 URL' WHEN 1 THEN chr(39) || 'p' || page_id || chr(39) || ' does not appear to be an IPv4 or IPv6 address' END AS fault FROM t1)"""
+
+
+def _bad_links(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pages, two of five with links that no URL can be read from: the good ones and the rejects."""
+    p = A.page_articles(spark, sf_dir).select("page_id", "source_name", "url")
+    k = F.col("page_id") % 5
+    link = F.when(k == 0, F.concat(F.lit("http://["), "page_id", F.lit("/a"))).when(k == 1, F.concat(F.lit(" http://[p"), "page_id", F.lit("]/a#b"))).otherwise(F.col("url"))
+    return rejects.split(urls.with_normal_url(p.withColumn("link", link), F.col("link"), "url", "fault"), "fault", "links")
+
+
+@query(f"WITH {A.PAGES_SQL}, {_BAD_LINKS_SQL} SELECT page_id, source_name, link, fault FROM links WHERE fault IS NOT NULL")
+def rejected_links(spark, sf_dir):
+    return _bad_links(spark, sf_dir)[1].select("page_id", "source_name", "link", "fault")
+
+
+@query(f"WITH {_URLS_SQL} SELECT page_id, url FROM urls WHERE page_id % 5 > 1")
+def accepted_links(spark, sf_dir):
+    """The other side of the same split."""
+    return _bad_links(spark, sf_dir)[0].select("page_id", "url")
 
 
 @query(f"""WITH {_URLS_SQL}, {A.PAGES_SQL}, keyed AS (SELECT u.url, t1.page_id, t1.published_at FROM t1 JOIN urls u USING (page_id)),
@@ -146,7 +169,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY published_at DESC N
 SELECT url, page_id, duplicate_count, first_pos FROM r WHERE nth = 1""")
 def dedupe_urls(spark, sf_dir):
     """The latest page of each normalised URL."""
-    p = A.page_articles(spark, sf_dir).select("page_id", "published_at", urls.normalize_url(F.col("url")).alias("url"))
+    p = urls.with_normal_url(A.page_articles(spark, sf_dir).select("page_id", "published_at", "url"), F.col("url"))
     return dedupe.keep_latest(p, ["url"], "published_at", "page_id").select("url", "page_id", "duplicate_count", "first_pos")
 
 

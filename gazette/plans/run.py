@@ -17,10 +17,11 @@ from gazette.operators.datefilter import published_today
 from gazette.operators.dedupe import keep_latest
 from gazette.operators.enrich import enrich, fetch_pages, lookup_rules
 from gazette.operators.ranking import clamp_limit, rank_articles
+from gazette.operators.rejects import split
 from gazette.plans import deliver
 from gazette.plans.settings import Settings
 from gazette.sources import feeds, http
-from gazette.storage import stored
+from gazette.storage import metered, stored
 
 log = logging.getLogger(__name__)
 
@@ -30,32 +31,48 @@ class Run:
     ranked: DataFrame
     results: DataFrame
     errors: DataFrame  # stage, message
-    filtered: int  # articles that are not of today
+    rejects: DataFrame  # source_name, link, fault: entries whose links can't be read
+    counts: dict[str, int]  # rows of each stage, gathered while it was written
+
+    @property
+    def filtered(self) -> int:
+        """Articles that are not of today."""
+        return self.counts["unique"] - self.counts["today"]
 
 
 def run(spark: SparkSession, fetch: Callable[[str], str], get: Callable[[str, bool], tuple[str, str, str]], now: datetime, limit: int = 50, dry_run: bool = True, ask=None, post=None, chat_id: str | None = None, catalog=feeds.CATALOG, settings: Settings | None = None) -> Run:
-    """A `now` without a zone is UTC. Pages of blocked domains are not requested."""
+    """A `now` without a zone is UTC. Pages of blocked domains are not requested. Entries whose links can't be read are no articles
+    but errors."""
     known = settings or Settings()
     now = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
+    counts: dict[str, int] = {}
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        out, seen = metered(df, name, rows=F.count(F.lit(1)))
+        counts[name] = seen.get("rows", 0)
+        log.info("%s: %s rows", name, counts[name])
+        return out
+
     sources = feeds.load_catalog(spark, catalog)
-    entries = stored(feeds.read_feeds(sources, fetch, known.http_concurrency), "entries")
-    unique = keep_latest(feeds.articles(entries, sources, known.max_feed_items_per_source), ["url"], "published_at", "pos", "duplicate_count").drop("pos").withColumnRenamed("first_pos", "pos")
-    ruled = stored(lookup_rules(unique, sources), "articles")
+    entries = counted(feeds.read_feeds(sources, fetch, known.http_concurrency), "entries")
+    good, rejects = split(feeds.scanned(entries, sources, known.max_feed_items_per_source), "fault", "scanned")
+    rejects = counted(rejects.select("source_name", "link", "fault"), "rejects")
+    unique = keep_latest(good.drop("link"), ["url"], "published_at", "pos", "duplicate_count").drop("pos").withColumnRenamed("first_pos", "pos")
+    ruled = counted(lookup_rules(unique, sources), "unique")
     asked = ruled.where(~is_blocked(F.col("url"), F.col("blocked"))).groupBy("url").agg(F.bool_or("requires_ua").alias("requires_ua"))
     pages = stored(fetch_pages(asked, get, known.http_concurrency), "pages")
-    enriched = stored(enrich(ruled, pages.where("error is null").drop("error")), "enriched")
-    today = stored(published_today(enriched, now), "today")
-    n, kept = enriched.count(), today.count()
-    log.info("%s unique articles, %s of them of %s", n, kept, now.date().isoformat())
-    ranked = stored(rank_articles(today, F.lit(now.isoformat()).cast("timestamp"), clamp_limit(limit, known.max_articles_per_run)), "ranked")
+    today = counted(published_today(enrich(ruled, pages.where("error is null").drop("error")), now), "today")
+    ranked = counted(rank_articles(today, F.lit(now.isoformat()).cast("timestamp"), clamp_limit(limit, known.max_articles_per_run)), "selected")
     told = stored(deliver.summarize(ranked, None if dry_run else ask), "told")
     results = deliver.previews(told) if dry_run else deliver.deliver(told, post, chat_id, known.telegram_parse_mode)
+    said = lambda df, stage, *message: df.select(F.lit(stage).alias("stage"), F.concat(*message).alias("message"))
     failed = ruled.join(pages.where("error is not null").select("url", "error"), "url")
-    errors = entries.where("error is not null").select(F.lit("ingest").alias("stage"), F.col("error").alias("message"))
-    errors = errors.unionByName(failed.select(F.lit("enrich").alias("stage"), F.concat(F.lit("Enrichment failed ("), "source_name", F.lit("): "), "error").alias("message")))
+    errors = said(entries.where("error is not null"), "ingest", F.col("error"))
+    errors = errors.unionByName(said(rejects, "ingest", F.lit("Entry rejected ("), "source_name", F.lit("): "), "link", F.lit(": "), "fault"))
+    errors = errors.unionByName(said(failed, "enrich", F.lit("Enrichment failed ("), "source_name", F.lit("): "), "error"))
     if not dry_run:
-        errors = errors.unionByName(results.where("status = 'error'").select(F.lit("deliver").alias("stage"), F.concat(F.lit("Delivery failure ("), "article_id", F.lit("): "), "error").alias("message")))
-    return Run(ranked, results, errors, n - kept)
+        errors = errors.unionByName(said(results.where("status = 'error'"), "deliver", F.lit("Delivery failure ("), "article_id", F.lit("): "), "error"))
+    return Run(ranked, results, counted(errors, "errors"), rejects, counts)
 
 
 def transports(settings: Settings, dry_run: bool) -> dict:
@@ -93,13 +110,14 @@ def main(argv: list[str] | None = None, given: dict | None = None, settings: Set
     t = transports(settings, args.dry_run) | (given or {})
     spark = SparkSession.builder.appName("gazette").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     done = run(spark, t["fetch"], t["get"], t.get("now") or datetime.now().astimezone(), settings.limit(args.limit), args.dry_run, t["ask"], t["post"], settings.telegram_chat_id, settings.sources_file, settings)
-    selected, counts = done.ranked.count(), deliver.rollup(done.results).first()
+    counts = deliver.rollup(done.results).first()
     failures = [r.failure for r in deliver.first_failures(done.results).collect()]
     if failures:
         log.error("First failed deliveries: %s", " | ".join(failures))
-    if others := done.errors.count():
-        log.warning("%s errors that stopped nothing", others)
-    print(f"Run complete. selected={selected} attempted={counts.attempted} sent={counts.sent} failed={counts.failed} dry_run={args.dry_run}")
+    if done.counts["errors"]:
+        log.warning("%s errors that stopped nothing", done.counts["errors"])
+    # This line and that of missing settings are the command line's contract.
+    print(f"Run complete. selected={done.counts['selected']} attempted={counts.attempted} sent={counts.sent} failed={counts.failed} dry_run={args.dry_run}")
     return int(counts.failed > 0)
 
 

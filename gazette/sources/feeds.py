@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gazette.functions.text import present, strip
-from gazette.functions.urls import normalize_url
+from gazette.functions.urls import with_normal_url
 from gazette.operators.enrich import merge_rules
 
 CATALOG = Path(__file__).parent.parent / "data" / "sources.yaml"
@@ -197,18 +197,27 @@ def head_then_filter(entries: DataFrame, link: Column, most: int = 50) -> DataFr
     return entries.where(F.col("entry_pos") < most).where(strip(F.coalesce(link, F.lit(""))) != "")
 
 
-def articles(entries: DataFrame, sources: DataFrame, most: int = 50) -> DataFrame:
-    """Articles of the feeds' entries; pos says their order over all sources."""
+def scanned(entries: DataFrame, sources: DataFrame, most: int = 50) -> DataFrame:
+    """Articles of the feeds' entries that have a link, with the link as it came and why no URL can be read from it (fault, else
+    null); pos says their order over all sources. entries should be stored (see with_normal_url)."""
     e = F.col("entry")
     good = head_then_filter(entries.where("error is null"), e["link"], most)
     s = sources.select("src_pos", F.col("name").alias("source_name"), F.col("rss").alias("source_rss"), F.col("url").alias("source_url"))
-    out = good.join(F.broadcast(s), "src_pos").select(
+    read = with_normal_url(good, e["link"], "url", "fault")
+    out = read.join(F.broadcast(s), "src_pos").select(
         *s.columns,
         (F.col("src_pos") * 1_000_000 + F.col("entry_pos")).alias("pos"),
         entry_title(e["title"]).alias("title"),
-        normalize_url(e["link"]).alias("url"),
+        e["link"].alias("link"),
+        "url",
+        "fault",
         entry_time(e["published"], e["updated"]).alias("published_at"),
         entry_description(e["summary"], e["description"]).alias("description"),
         entry_image(e).alias("rss_image_url"),
     )
     return out.withColumn("id", article_id(F.col("source_name"), F.col("url"), F.col("title"))).withColumn("duplicate_count", F.lit(1))
+
+
+def articles(entries: DataFrame, sources: DataFrame, most: int = 50) -> DataFrame:
+    """The scanned articles whose links can be read."""
+    return scanned(entries, sources, most).where("fault is null").drop("link", "fault")

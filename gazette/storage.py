@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _roots: dict[str, str] = {}
 
@@ -41,6 +41,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def metered(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """stored(df, name), and the metrics (aggregates by name) of its rows, which Spark gathers while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), name)
+    return out, seen.get
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder by Spark's own file system layer."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

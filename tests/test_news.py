@@ -276,7 +276,7 @@ def test_a_million_blanks(spark):
         assert df.select(column.alias("v")).first().v == want
         assert time.time() - began < 10
     began = time.time()
-    assert render.with_template_summary(df, F.lit("T"), F.lit("S"), x).first().summary.startswith("T is a notable AI update from S. Key context: a.")
+    assert render.with_template_summary(df, F.lit("T"), F.lit("S"), x).first().summary.startswith("T is a notable AI update from S. Key context: a .")
     assert feeds.head_then_filter(df.withColumn("entry_pos", F.lit(0)), x).count() == 1 and time.time() - began < 20
 
 
@@ -396,6 +396,43 @@ def test_run_end_to_end(spark, tmp_path):
     real = run(spark, fetch, get, NOW, dry_run=False, ask=lambda p, again: "One. Two. Three. Four.", post=post, chat_id="c", catalog=catalog)
     assert [r.status for r in real.results.collect()] == ["sent", "sent"] and sent == ["sendPhoto", "sendPhoto"]
     assert done.filtered == 0 and run(spark, fetch, get, NOW + timedelta(days=1), catalog=catalog).filtered == 2
+    assert done.counts == {"entries": 4, "rejects": 0, "unique": 2, "today": 2, "selected": 2, "errors": 1}
+
+
+def test_links_that_cannot_be_read_are_errors_and_no_articles(spark, tmp_path):
+    catalog = tmp_path / "c.yaml"
+    catalog.write_text("sources:\n  - {name: One, url: 'https://one.example', rss: 'https://one.example/rss'}\n")
+    item = "<item><title>{0} launches chips</title><link>{1}</link><pubDate>Mon, 02 Mar 2026 08:00:00 GMT</pubDate></item>"
+    links = ["http://[bad/a", "http://[bad/b", "https://[no]/c", "https://good.example/d"]
+    fetch = lambda url: "<rss><channel>" + "".join(item.format(w, u) for w, u in zip(("Alpha", "Beta", "Gamma", "Delta"), links, strict=True)) + "</channel></rss>"
+    done = run(spark, fetch, lambda url, agent: (url, "text/html", ""), NOW, catalog=catalog)
+    assert [(r.url, r.duplicate_count) for r in done.ranked.collect()] == [("https://good.example/d", 1)]
+    why = ["Invalid IPv6 URL", "Invalid IPv6 URL", "'no' does not appear to be an IPv4 or IPv6 address"]
+    assert sorted(tuple(r) for r in done.rejects.collect()) == [("One", u, f) for u, f in zip(links, why, strict=False)]
+    assert sorted(r.message for r in done.errors.collect()) == [f"Entry rejected (One): {u}: {f}" for u, f in zip(links, why, strict=False)]
+    assert done.counts["rejects"] == done.counts["errors"] == 3 and done.counts["unique"] == 1
+    none = run(spark, lambda url: "<rss><channel></channel></rss>", lambda url, agent: (url, "text/html", ""), NOW, catalog=catalog)
+    assert none.counts == {"entries": 0, "rejects": 0, "unique": 0, "today": 0, "selected": 0, "errors": 0}
+
+
+def test_only_urls_that_are_not_plain_meet_python(spark):
+    df = spark.createDataFrame([("https://e.com/a?utm_source=1&b#c", 1), ("https://e.com/ä", 2), ("http://[x", 3), (None, 4), ("", 5)], "link string, url int")
+    got = urls.with_normal_url(df, F.col("link"), "normal", "fault")
+    assert got.columns == ["link", "url", "normal", "fault"]
+    assert [tuple(r)[1:] for r in got.orderBy("url").collect()] == [(1, "https://e.com/a?b=", None), (2, "https://e.com/ä", None), (3, None, "Invalid IPv6 URL"), (4, None, None), (5, "", None)]
+    assert [r.link for r in urls.with_normal_url(df, F.col("link"), "link").orderBy("url").collect()] == ["https://e.com/a?b=", "https://e.com/ä", None, None, ""]
+
+
+def test_representatives_are_merged(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("abc"), rng.choice([None, 0.0, 0.5]), None if rng.random() < 0.3 else NOW - timedelta(hours=rng.randint(0, 3)), {"x": i}, i * 2) for i in rng.sample(range(400), 400)]
+    df = spark.createDataFrame(rows, "rk long, of string, score double, published_at timestamp, odd map<string,long>, _best long").repartition(7)
+    out = ranking.representatives(df, "of")
+    assert out.columns == df.columns
+    want = {min((r for r in rows if r[1] == c), key=lambda r: (-(r[2] or 0), r[3] is None, -(r[3].timestamp() if r[3] else 0), r[0]))[0] for c in "abc"}
+    assert {r.rk for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and "Window" not in plan
 
 
 def test_blocked_pages_are_not_requested(spark, tmp_path):
