@@ -5,12 +5,14 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.functions.lexicon import DEFAULT, Lexicon
+from gazette.functions.staging import free_names
 from gazette.functions.text import normalize_text, tokenize
+from gazette.operators.components import components
 from gazette.storage import stored
 
 MAX_HOURS = 120
@@ -22,15 +24,16 @@ def scan_order(df: DataFrame, published: str = "published_at", pos: str = "pos")
     A range-partitioned sort and the counts of the partitions before: no task sorts all rows.
     """
     spark = df.sparkSession
-    ordered = df.orderBy(F.col(published).desc_nulls_last(), F.col(pos)).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    part, at, shift = free_names([*df.columns, "rk"], "_part", "_at", "_shift")
+    ordered = df.orderBy(F.col(published).desc_nulls_last(), F.col(pos)).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id())
     ordered = stored(ordered, "scan-order")
-    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first")).orderBy("_part").collect()
+    sizes = ordered.groupBy(F.col(part).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first")).orderBy("part").collect()
     before, rows = 0, []
     for r in sizes:
-        rows.append((r["_part"], before - r["first"] + 1))
-        before += r["n"]
-    shift = spark.createDataFrame(rows, "_part int, _shift long")
-    return ordered.join(F.broadcast(shift), "_part").withColumn("rk", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+        rows.append((r.part, before - r["first"] + 1))
+        before += r.n
+    shifts = spark.createDataFrame(rows, f"{part} int, {shift} long")
+    return ordered.join(F.broadcast(shifts), part).withColumn("rk", F.col(at) + F.col(shift)).drop(part, at, shift)
 
 
 def with_tokens(df: DataFrame, title: str = "title", lexicon: Lexicon = DEFAULT) -> DataFrame:
@@ -39,8 +42,8 @@ def with_tokens(df: DataFrame, title: str = "title", lexicon: Lexicon = DEFAULT)
 
 
 def candidate_pairs(asked: DataFrame, kinds: DataFrame, least: int = 2) -> DataFrame:
-    """l, r, overlap: rows of `asked` (rk, norm, tokens) and titles of `kinds` (as titles() gives) that stand before them, with
-    another text, and share `least` tokens or more.
+    """l, r, overlap: rows of `asked` (rk, norm, tokens) and titles of `kinds` (as titles() gives), before or behind them, that
+    have another text and share `least` tokens or more.
 
     Frequent tokens count too, so the pairs of all rows would grow with the square of their number; a stated part of the rows
     asks all titles. Equal token sets ask once, and a title answers once, whatever its copies.
@@ -51,7 +54,7 @@ def candidate_pairs(asked: DataFrame, kinds: DataFrame, least: int = 2) -> DataF
     shared = left.join(right, "t").groupBy("id", "r").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= least)
     of = rows.join(sets, "set").select("id", F.col("rk").alias("l"), "norm")
     named = kinds.select(F.col("rk").alias("r"), F.col("norm").alias("r_norm"))
-    return shared.join(of, "id").join(named, "r").where("r < l and norm <> r_norm").select("l", "r", "overlap")
+    return shared.join(of, "id").join(named, "r").where("norm <> r_norm").select("l", "r", "overlap")
 
 
 def with_sides(pairs: DataFrame, asked: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
@@ -63,10 +66,9 @@ def with_sides(pairs: DataFrame, asked: DataFrame, kinds: DataFrame | None = Non
 
 
 def aligned_rows(pairs: DataFrame, asked: DataFrame, rows: DataFrame, kinds: DataFrame) -> DataFrame:
-    """l, r, aligned, apart: of the rows that have title r and stand before l, how many are within MAX_HOURS of l and how many
-    aren't."""
-    dated = rows.join(kinds.select("norm", F.col("rk").alias("r")), "norm").select("r", "rk", F.col("published_at").alias("r_at"))
-    met = pairs.select("l", "r").join(asked.select(F.col("rk").alias("l"), F.col("published_at").alias("l_at")), "l").join(dated, "r").where("rk < l")
+    """l, r, aligned, apart: of the rows that have title r, how many are within MAX_HOURS of l and how many aren't."""
+    dated = rows.join(kinds.select("norm", F.col("rk").alias("r")), "norm").select("r", F.col("published_at").alias("r_at"))
+    met = pairs.select("l", "r").join(asked.select(F.col("rk").alias("l"), F.col("published_at").alias("l_at")), "l").join(dated, "r")
     near = time_aligned("l_at", "r_at")
     return met.groupBy("l", "r").agg(F.count_if(near).alias("aligned"), F.count_if(~near).alias("apart"))
 
@@ -82,6 +84,32 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
+#: The characters of normalised titles.
+_CHARACTERS = " 0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def character_counts(norm: Column) -> Column:
+    """How often each character of normalised text is in it."""
+    return F.transform(F.split(F.lit(_CHARACTERS), ""), lambda c: F.length(norm) - F.length(F.replace(norm, c, F.lit(""))))
+
+
+def quick_ratio(left: Column, right: Column, left_counts: Column, right_counts: Column) -> Column:
+    """What the matching ratio of two normalised strings is at most: matched characters are in both, however they stand."""
+    both = F.aggregate(F.zip_with(left_counts, right_counts, lambda a, b: F.least(a, b)), F.lit(0), lambda n, c: n + c)
+    length = F.length(left) + F.length(right)
+    return F.when(length == 0, F.lit(1.0)).otherwise(2 * both / length)
+
+
+def with_quick_ratio(sides: DataFrame) -> DataFrame:
+    """sides (l, r, l_norm, r_norm) with quick. Characters are counted once a title, not once a pair."""
+    counted = lambda p: sides.select(F.col(f"{p}_norm").alias("norm"))
+    counts = counted("l").unionByName(counted("r")).distinct().withColumn("counts", character_counts(F.col("norm")))
+    for p in "lr":
+        sides = sides.join(counts.select(F.col("norm").alias(f"{p}_norm"), F.col("counts").alias(f"{p}_counts")), f"{p}_norm")
+    quick = quick_ratio(F.col("l_norm"), F.col("r_norm"), F.col("l_counts"), F.col("r_counts"))
+    return sides.withColumn("quick", quick).drop("l_counts", "r_counts")
+
+
 def title_similarity(sides: DataFrame) -> DataFrame:
     """sides with sim = 0.65 jaccard + 0.35 ratio; the later row is the left one."""
     return sides.withColumn("sim", F.lit(0.65) * F.col("jaccard") + F.lit(0.35) * sequence_ratio("l_norm", "r_norm"))
@@ -94,77 +122,149 @@ def titles(df: DataFrame) -> DataFrame:
     return kinds.select("first.rk", "first.published_at", "last", "norm", "tokens", "copies")
 
 
-def similar_sets(df: DataFrame, least: float) -> DataFrame:
-    """l, r, overlap of the pairs of df (rk, tokens) with l > r whose token sets have a Jaccard index of `least` or more.
+def similar_sets(df: DataFrame, least: float, least_shared: int = 1, cell: int = 4096) -> DataFrame:
+    """l, r, overlap of the pairs of df (rk, tokens) with l > r whose token sets share `least_shared` tokens or more and have a
+    Jaccard index of `least` or more. Nothing is lost (see set_candidates)."""
+    met = set_candidates(df, least, least_shared, cell)
+    side = lambda p: df.select(F.col("rk").alias(p), F.col("tokens").alias(f"{p}_set"))
+    shared = met.join(side("l"), "l").join(side("r"), "r").withColumn("overlap", F.size(F.array_intersect("l_set", "r_set")).cast("long"))
+    enough = F.col("overlap") >= F.lit(least - 1e-9) * (F.size("l_set") + F.size("r_set") - F.col("overlap"))
+    return shared.where(enough & (F.col("overlap") >= least_shared)).select("l", "r", "overlap")
+
+
+def set_candidates(df: DataFrame, least: float, least_shared: int = 1, cell: int = 4096) -> DataFrame:
+    """l, r: pairs of df (rk, tokens), l > r, that similar_sets has to look at.
 
-    Rarest tokens first, two such sets share one of the tokens that are left when each gives up its last
-    ceil(least * size) - 1; so a frequent token brings rows together only where a title has little else. Nothing is lost.
+    Rarest tokens first, two such sets share one of the tokens that are left when each gives up its last needed - 1, where it
+    needs ceil(least * size) or least_shared shared ones; so a frequent token brings rows together only where a title has little
+    else. And the first token that they share stands so early in both that what follows can still make up the overlap that
+    the two sizes ask for: two sets that meet at a later place are left out there, and meet at their first or nowhere.
+    A token that more than `cell` rows meet by is dealt in blocks, each two of which meet in a place of their own.
     """
     terms = df.select("rk", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     held = terms.groupBy("t").agg(F.count(F.lit(1)).alias("held"))
     order = F.row_number().over(Window.partitionBy("rk").orderBy("held", "t"))
     # A little is taken off so that rounding can only let one token more in.
-    kept = F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1
-    heads = stored(terms.join(held, "t").withColumn("at", order).where(F.col("at") <= kept).select("rk", "n", "t"), "title-heads")
-    a, b = heads.alias("a"), heads.alias("b")
-    fits = (F.col("a.n") >= F.lit(least - 1e-9) * F.col("b.n")) & (F.col("b.n") >= F.lit(least - 1e-9) * F.col("a.n"))
-    met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.rk") > F.col("b.rk")) & fits).select(F.col("a.rk").alias("l"), F.col("b.rk").alias("r")).distinct()
-    side = lambda p: df.select(F.col("rk").alias(p), F.col("tokens").alias(f"{p}_set"))
-    shared = met.join(side("l"), "l").join(side("r"), "r").withColumn("overlap", F.size(F.array_intersect("l_set", "r_set")).cast("long"))
-    return shared.where(F.col("overlap") >= F.lit(least - 1e-9) * (F.size("l_set") + F.size("r_set") - F.col("overlap"))).select("l", "r", "overlap")
+    needed = F.greatest(F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)), F.lit(least_shared))
+    heads = stored(terms.join(held, "t").withColumn("at", order).where(F.col("at") <= F.col("n") - needed + 1).select("rk", "n", "t", "at"), "title-heads")
+    hot = stored(heads.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).cast("int").alias("blocks")).where("blocks > 1"), "hot-tokens")
+    dealt = heads.join(hot, "t", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rk"), F.col("blocks")).cast("int"))
+    side = lambda p, x, y: dealt.select("t", F.col("own").alias(x), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(y), *[F.col(c).alias(f"{p}_{c}") for c in ("rk", "n", "at")])
+    met = side("l", "x", "y").join(side("r", "y", "x"), ["t", "x", "y"]).where("l_rk > r_rk")
+    sizes = F.col("l_n") + F.col("r_n")
+    overlap = F.greatest(F.ceil(F.lit(least / (1 + least)) * sizes - F.lit(1e-9)), F.lit(least_shared))
+    may = 1 + F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) >= overlap
+    return met.where(may & (F.least("l_n", "r_n") >= overlap)).select(F.col("l_rk").alias("l"), F.col("r_rk").alias("r")).distinct()
+
+
+def story_candidates(kinds: DataFrame) -> DataFrame:
+    """The pairs of titles, both ways, that may tell one story by their tokens, with both sides (see with_sides); and a title with
+    itself where it has copies. kinds: as titles() gives."""
+    told = kinds.where(F.size("tokens") >= 2)
+    pairs = similar_sets(told, 0.415, 2)
+    own = told.where(F.col("copies") > 1).select(F.col("rk").alias("l"), F.col("rk").alias("r"), F.size("tokens").cast("long").alias("overlap"))
+    both = pairs.unionByName(pairs.select(F.col("r").alias("l"), F.col("l").alias("r"), "overlap")).unionByName(own)
+    ends = kinds.select(F.col("rk").alias("l"), "last")
+    return with_sides(both.join(ends, "l").where("r < last"), kinds).where("jaccard >= 0.415 and overlap_ratio >= 0.5").drop("last")
+
+
+def worth_matching(sides: DataFrame) -> DataFrame:
+    """The sides, with quick, that a ratio no larger than the quick one can still lift over a threshold of same_story_pairs."""
+    most = F.lit(0.65) * F.col("jaccard") + F.lit(0.35) * F.col("quick") + F.lit(1e-9)
+    return with_quick_ratio(sides).where((most >= 0.78) | (most >= 0.62) & (F.col("overlap_ratio") >= 0.7))
 
 
 def same_story_pairs(kinds: DataFrame) -> DataFrame:
-    """l, r, sim, any_date, l_norm, r_norm: titles such that a row of title l joins a leader of title r before it, at any date or
-    (any_date false) within MAX_HOURS. kinds: as titles() gives. Both directions, and a title with itself where it has copies,
-    as far as rows stand in that order. Pairs that no ratio of at most 1 could lift are dropped before the UDF."""
-    pairs = similar_sets(kinds.where(F.size("tokens") >= 2), 0.415).where("overlap >= 2")
-    own = kinds.where((F.size("tokens") >= 2) & (F.col("copies") > 1)).select(F.col("rk").alias("l"), F.col("rk").alias("r"), F.size("tokens").cast("long").alias("overlap"))
-    both = pairs.unionByName(pairs.select(F.col("r").alias("l"), F.col("l").alias("r"), "overlap")).unionByName(own)
-    ends = kinds.select(F.col("rk").alias("l"), "last")
-    told = title_similarity(with_sides(both.join(ends, "l").where("r < last"), kinds).where("jaccard >= 0.415 and overlap_ratio >= 0.5"))
+    """l, r, sim, any_date: titles such that a row of title l joins a leader of title r before it, at any date or (any_date
+    false) within MAX_HOURS. kinds: as titles() gives. Both directions, and a title with itself where it has copies, as far as
+    rows stand in that order. Pairs that their ratio can't lift are dropped before the UDF: by a ratio of 1, then by the quick one."""
+    told = title_similarity(worth_matching(story_candidates(kinds)))
     told = told.withColumn("any_date", (F.col("sim") >= 0.78) & (F.col("overlap_ratio") >= 0.5))
     near = (F.col("sim") >= 0.62) & (F.col("overlap_ratio") >= 0.7)
-    return told.where(F.col("any_date") | near).select("l", "r", "sim", "any_date", "l_norm", "r_norm")
+    return told.where(F.col("any_date") | near).select("l", "r", "sim", "any_date")
 
 
 def _led(rows: DataFrame, edges: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """rows (rk, norm, published_at) joined to the leaders found before them that they may join, as lead."""
-    ahead = edges.join(found.select(F.col("norm").alias("r_norm"), F.col("rk").alias("lead"), F.col("published_at").alias("lead_at")), "r_norm")
-    return rows.join(ahead, (F.col("norm") == F.col("l_norm")) & (F.col("lead") < F.col("rk")) & (F.col("any_date") | time_aligned("published_at", "lead_at")), how)
-
+    """rows (rk, title, published_at) joined to the leaders found before them that they may join, as lead."""
+    ahead = edges.join(found.select(F.col("title").alias("r"), F.col("rk").alias("lead"), F.col("published_at").alias("lead_at")), "r")
+    return rows.join(ahead, (F.col("title") == F.col("l")) & (F.col("lead") < F.col("rk")) & (F.col("any_date") | time_aligned("published_at", "lead_at")), how)
 
-def leaders(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """norm, published_at, leader: whom the rows (rk, norm, published_at) of titles with edges join; a leader joins itself.
 
-    Scanning in order, a row joins the first leader it has an edge to, else it leads. That is decided in rounds: rows behind a
-    leader that they may join are members; of the rest, a row leads if no undecided row of its title or a linked one stands
-    before it. Rows meet leaders and numbers of titles, never each other, so copies of a title make no pairs; those of one
-    title and date join the same leader and are one. Each round is written out.
-    """
-    e = stored(edges.select("l_norm", "r_norm", "any_date"), "story-edges")
-    named = stored(e.select(F.col("l_norm").alias("norm")).unionByName(e.select(F.col("r_norm").alias("norm"))).distinct(), "story-titles")
-    every = stored(rows.join(named, "norm").groupBy("norm", "published_at").agg(F.min("rk").alias("rk")), "story-kinds")
+def _in_rounds(every: DataFrame, e: DataFrame) -> DataFrame:
+    """title, published_at, leader of rows of any number. Rows behind a leader that they may join are members; of the rest, a
+    row leads if no undecided row of its title or a linked one stands before it. As many rounds as the longest chain of leaders
+    that wait for each other; each is written out."""
     rest, found = every, every.limit(0)
     while not rest.isEmpty():
-        first = rest.groupBy("norm").agg(F.min("rk").alias("open"))
-        linked = e.join(first.withColumnRenamed("norm", "r_norm"), "r_norm").select(F.col("l_norm").alias("norm"), "open")
-        before = linked.unionByName(first).groupBy("norm").agg(F.min("open").alias("open"))
-        new = stored(rest.join(before, "norm").where(F.col("rk") <= F.col("open")).drop("open"), "story-leaders")
+        first = rest.groupBy("title").agg(F.min("rk").alias("open"))
+        linked = e.join(first.withColumnRenamed("title", "r"), "r").select(F.col("l").alias("title"), "open")
+        before = linked.unionByName(first).groupBy("title").agg(F.min("open").alias("open"))
+        new = stored(rest.join(before, "title").where(F.col("rk") <= F.col("open")).drop("open"), "story-leaders")
         found = found.unionByName(new.select(*found.columns))
         undecided = rest.join(new.select("rk"), "rk", "left_anti").select(*every.columns)
         rest = stored(_led(undecided, e, new, "left_anti"), "story-rest")
     joined = _led(every, e, stored(found, "story-all-leaders"), "left")
-    return joined.groupBy("norm", "published_at", "rk").agg(F.min("lead").alias("lead")).select("norm", "published_at", F.coalesce("lead", "rk").alias("leader"))
+    return joined.groupBy("title", "published_at", "rk").agg(F.min("lead").alias("lead")).select("title", "published_at", F.coalesce("lead", "rk").alias("leader"))
+
+
+def scan(rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """title, at (microseconds), leader of rows (title, rk, at), one after the other: each joins the first leader that it has an
+    edge (l, r, any_date) to, else it leads."""
+    ahead: dict[int, list[tuple[int, bool]]] = {}
+    for left, right, any_date in zip(edges["l"].tolist(), edges["r"].tolist(), edges["any_date"].tolist(), strict=True):
+        ahead.setdefault(left, []).append((right, any_date))
+    leading: dict[int, list[tuple[int, int | None]]] = {}
+    out = []
+    for title, rk, at in sorted(zip(rows["title"].tolist(), rows["rk"].tolist(), (None if pd.isna(x) else int(x) for x in rows["at"]), strict=True), key=lambda r: r[1]):
+        found = [lead for r, any_date in ahead.get(title, ()) for lead, b in leading.get(r, ()) if any_date or at is None or b is None or abs(at - b) <= MAX_HOURS * 3_600_000_000]
+        if not found:
+            leading.setdefault(title, []).append((rk, at))
+        out.append((title, at, min(found, default=rk)))
+    return pd.DataFrame(out, columns=["title", "at", "leader"]).astype({"at": "Int64"})
+
+
+def leaders(rows: DataFrame, edges: DataFrame, whole: int = 4096, bucket: int = 16384) -> DataFrame:
+    """title, published_at, leader: whom the rows (rk, title, published_at) of titles with edges (l, r, any_date) join; a leader
+    joins itself.
+
+    Scanning in order, a row joins the first leader it has an edge to, else it leads. Rows of different components of the graph
+    of titles never meet, so components of at most `whole` rows and edges are scanned as they are, many in one task, in buckets
+    of some `bucket` rows and edges. Larger ones are decided in rounds. Rows of one title and date join the same leader and
+    are one.
+    """
+    e = stored(edges.select("l", "r", "any_date"), "story-edges")
+    named = stored(e.select(F.col("l").alias("title")).unionByName(e.select(F.col("r").alias("title"))).distinct(), "story-titles")
+    every = rows.join(named, "title").groupBy("title", "published_at").agg(F.min("rk").alias("rk"))
+    root = components(e.select(F.col("l").alias("a"), F.col("r").alias("b"))).withColumnRenamed("node", "title")
+    every = stored(every.join(root, "title", "left").withColumn("root", F.coalesce("root", "title")), "story-kinds")
+    linked = stored(e.join(root.withColumnRenamed("title", "l"), "l", "left").withColumn("root", F.coalesce("root", "l")), "story-linked")
+    counted = every.groupBy("root").agg(F.count(F.lit(1)).alias("n")).unionByName(linked.groupBy("root").agg(F.count(F.lit(1)).alias("n")))
+    sizes = stored(counted.groupBy("root").agg(F.sum("n").alias("n")), "story-sizes")
+    large = sizes.where(F.col("n") > whole).select("root")
+    total, most = sizes.where(F.col("n") <= whole).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], sizes.agg(F.max("n")).first()[0]
+    none = (most or 0) <= whole
+    part = lambda df, how: df if none and how == "left_anti" else df.join(large, "root", how)
+    deal = F.pmod(F.xxhash64("root"), F.lit(max(1, -(-total // bucket)))).alias("bucket")
+    left = part(every, "left_anti").select(deal, "title", "rk", F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"))
+    right = part(linked, "left_anti").select(deal, "l", "r", "any_date")
+    told = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(scan, "title long, at long, leader long")
+    kind = every.schema["published_at"].dataType
+    out = told.select("title", F.timestamp_micros("at").cast(kind).alias("published_at"), "leader")
+    if none:
+        return out
+    return out.unionByName(_in_rounds(stored(part(every, "left_semi").drop("root"), "story-large"), stored(part(linked, "left_semi").drop("root"), "story-large-edges")))
 
 
 def story_clusters(df: DataFrame) -> DataFrame:
-    """df (id, title, published_at, pos) with rk, leader_rk, cluster_id (the leader's id) and cluster_size."""
-    ranked = stored(with_tokens(scan_order(df)), "story-rows")
-    edges = same_story_pairs(stored(titles(ranked), "story-distinct"))
-    joined = stored(leaders(ranked.select("rk", "norm", "published_at"), edges).withColumnsRenamed({"norm": "_norm", "published_at": "_at"}), "story-joined")
-    same = (F.col("norm") == F.col("_norm")) & F.col("published_at").eqNullSafe(F.col("_at"))
-    out = ranked.join(joined, same, "left").withColumn("leader_rk", F.coalesce("leader", "rk")).drop("_norm", "_at", "leader")
-    sizes = out.groupBy("leader_rk").agg(F.count(F.lit(1)).alias("cluster_size"))
-    names = ranked.select(F.col("rk").alias("leader_rk"), F.col("id").alias("cluster_id"))
-    return out.join(sizes.join(names, "leader_rk"), "leader_rk").drop("norm", "tokens")
+    """df (id, title, published_at, pos) with rk, leader_rk, cluster_id (the leader's id) and cluster_size, which replace columns
+    of these names; other columns stay as they are, whatever they are called."""
+    base = stored(scan_order(df.drop("rk", "leader_rk", "cluster_id", "cluster_size")), "story-rows")
+    slim = stored(with_tokens(base.select("rk", "title", "published_at")).select("rk", "norm", "tokens", "published_at"), "story-words")
+    kinds = stored(titles(slim), "story-distinct")
+    rows = slim.join(kinds.select("norm", F.col("rk").alias("title")), "norm").select("rk", "title", "published_at")
+    joined = stored(leaders(rows, same_story_pairs(kinds)).withColumnsRenamed({"title": "of", "published_at": "at"}), "story-joined")
+    same = (F.col("title") == F.col("of")) & F.col("published_at").eqNullSafe(F.col("at"))
+    led = stored(rows.join(joined, same, "left").select("rk", F.coalesce("leader", "rk").alias("leader_rk")), "story-led")
+    sizes = led.groupBy("leader_rk").agg(F.count(F.lit(1)).alias("cluster_size"))
+    names = base.select(F.col("rk").alias("leader_rk"), F.col("id").alias("cluster_id"))
+    return base.join(led.join(sizes.join(names, "leader_rk"), "leader_rk"), "rk")

@@ -46,6 +46,7 @@ def score_rows(df: DataFrame, as_of: Column, lexicon: Lexicon = DEFAULT) -> Data
 
 def rank_articles(df: DataFrame, as_of: Column, limit: int, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Cluster by effective title, score, pick representatives, keep the top `limit`."""
+    (own,) = free_names(df.columns, "_title")
     title = scoring.effective_title(F.col("og_title"), F.col("title"))
-    clustered = story_clusters(df.withColumn("_title", F.col("title")).withColumn("title", title)).withColumn("title", F.col("_title")).drop("_title")
+    clustered = story_clusters(df.withColumn(own, F.col("title")).withColumn("title", title)).withColumn("title", F.col(own)).drop(own)
     return top_k(representatives(score_rows(clustered, as_of, lexicon)), limit)

@@ -446,13 +446,13 @@ _PAIRS_SQL = f"""{A.PAGES_SQL}, ordered AS (SELECT row_number() OVER (ORDER BY p
 tokened AS (SELECT *, {_tokens_sql('title')} AS tokens FROM ordered),
 kinds AS (SELECT * FROM tokened QUALIFY rk = min(rk) OVER (PARTITION BY norm)),
 asked AS (SELECT * FROM tokened WHERE page_id % 50 = 0),
-pairs AS (SELECT a.l, b.r, count(*) AS overlap FROM (SELECT rk AS l, norm, unnest(tokens) AS t FROM asked) a JOIN (SELECT rk AS r, norm, unnest(tokens) AS t FROM kinds) b ON a.t = b.t AND a.l > b.r AND a.norm <> b.norm GROUP BY ALL HAVING count(*) >= 2),
-sides AS (SELECT p.*, len(a.tokens) AS ln, len(b.tokens) AS rn, a.published_at AS la, b.norm AS rnorm FROM pairs p JOIN asked a ON a.rk = p.l JOIN kinds b ON b.rk = p.r)"""
+pairs AS (SELECT a.l, b.r, count(*) AS overlap FROM (SELECT rk AS l, norm, unnest(tokens) AS t FROM asked) a JOIN (SELECT rk AS r, norm, unnest(tokens) AS t FROM kinds) b ON a.t = b.t AND a.norm <> b.norm GROUP BY ALL HAVING count(*) >= 2),
+sides AS (SELECT p.*, len(a.tokens) AS ln, len(b.tokens) AS rn, a.published_at AS la, a.norm AS lnorm, b.norm AS rnorm FROM pairs p JOIN asked a ON a.rk = p.l JOIN kinds b ON b.rk = p.r)"""
 
 
 @query(f"WITH {_PAIRS_SQL} SELECT l, r, overlap FROM pairs")
 def candidate_pairs(spark, sf_dir):
-    """Rows of every fiftieth page with the titles before them that share two tokens or more; title_members has a title's rows."""
+    """Rows of every fiftieth page with the titles that share two tokens or more; title_members has a title's rows."""
     _, asked, kinds = _asked(spark, sf_dir)
     return clustering.candidate_pairs(asked, kinds)
 
@@ -476,14 +476,33 @@ def title_jaccard(spark, sf_dir):
     return _sides(spark, sf_dir).select("l", "r", "jaccard")
 
 
-@query(f"""WITH {_PAIRS_SQL}, met AS (SELECT s.l, s.r, s.la IS NULL OR o.published_at IS NULL OR abs(epoch_us(s.la) - epoch_us(o.published_at)) <= 432000000000 AS near FROM sides s JOIN ordered o ON o.norm = s.rnorm AND o.rk < s.l)
+@query(f"""WITH {_PAIRS_SQL}, met AS (SELECT s.l, s.r, s.la IS NULL OR o.published_at IS NULL OR abs(epoch_us(s.la) - epoch_us(o.published_at)) <= 432000000000 AS near FROM sides s JOIN ordered o ON o.norm = s.rnorm)
 SELECT l, r, count(*) FILTER (WHERE near) AS aligned, count(*) FILTER (WHERE NOT near) AS apart FROM met GROUP BY l, r""")
 def time_aligned_pairs(spark, sf_dir):
-    """Of the rows that have title r and stand before row l, how many are near it in time and how many aren't."""
+    """Of the rows that have title r, how many are near row l in time and how many aren't."""
     rows, asked, kinds = _asked(spark, sf_dir)
     return clustering.aligned_rows(clustering.candidate_pairs(asked, kinds), asked, rows, kinds)
 
 
+_CHARACTERS_SQL = "string_split(' 0123456789abcdefghijklmnopqrstuvwxyz', '')"
+
+
+@query(f"""WITH {_PAIRS_SQL} SELECT l, r, 2 * list_sum(list_transform({_CHARACTERS_SQL}, lambda c: least(length(lnorm) - length(replace(lnorm, c, '')), length(rnorm) - length(replace(rnorm, c, '')))))::DOUBLE / (length(lnorm) + length(rnorm)) AS quick FROM sides""")
+def title_quick_ratio(spark, sf_dir):
+    """What the matching ratio of the pairs is at most."""
+    return clustering.with_quick_ratio(_sides(spark, sf_dir)).select("l", "r", "quick")
+
+
+@query(f"""WITH {A.PAGES_SQL}, ordered AS (SELECT row_number() OVER (ORDER BY published_at DESC NULLS LAST, page_id) AS rk, title, array_to_string({_TOKENS.format('title')}, ' ') AS norm FROM t1),
+kinds AS (SELECT rk, {_tokens_sql('title')} AS tokens FROM ordered QUALIFY rk = min(rk) OVER (PARTITION BY norm)),
+words AS (SELECT rk, len(tokens) AS n, unnest(tokens) AS t FROM kinds),
+met AS (SELECT a.rk AS l, b.rk AS r, any_value(a.n) AS ln, any_value(b.n) AS rn, count(*) AS overlap FROM words a JOIN words b ON a.t = b.t AND a.rk > b.rk GROUP BY ALL)
+SELECT l, r, overlap FROM met WHERE overlap >= 2 AND overlap >= 0.415 * (ln + rn - overlap)""")
+def similar_titles(spark, sf_dir):
+    """All pairs of distinct titles whose tokens have a Jaccard index of 0.415 or more, below which no two tell one story."""
+    return clustering.similar_sets(_titles(spark, sf_dir), 0.415, 2)
+
+
 @query()
 def title_similarity(spark, sf_dir):
     return clustering.title_similarity(_sides(spark, sf_dir)).select("l", "r", "sim")

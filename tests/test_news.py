@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gazette import storage
 from gazette.functions import lexicon, render, scoring, staging, text, urls
-from gazette.operators import clustering, datefilter, dedupe, enrich, ranking
+from gazette.operators import clustering, components, datefilter, dedupe, enrich, ranking
 from gazette.plans import deliver, queries
 from gazette.plans.run import main, run
 from gazette.plans.settings import Settings
@@ -193,6 +193,77 @@ def test_pairs_of_one_story_against_all_pairs(spark):
     assert len(got) == len(want) and {(r.l, r.r, round(r.sim, 9), r.any_date) for r in got} == want
 
 
+def test_candidates_lose_no_pair(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.sample(range(40) if i % 3 else range(6), rng.randint(0, 6 if i % 3 == 0 else 14))) for i in range(400)]
+    df = spark.createDataFrame([(i, [f"w{x}" for x in t]) for i, t in rows], "rk long, tokens array<string>")
+    for least, shared, cell in ((0.415, 2, 4096), (0.415, 2, 20), (0.8, 1, 7)):
+        want = {(a, b, len(set(x) & set(y))) for a, x in rows for b, y in rows if a > b and len(set(x) & set(y)) >= shared and len(set(x) & set(y)) >= least * len({*x, *y})}
+        got = clustering.similar_sets(df, least, shared, cell).collect()
+        assert len(got) == len(want) > 20 and {tuple(r) for r in got} == want
+        met = clustering.set_candidates(df, least, shared, cell)
+        assert met.count() == met.distinct().count() >= len(want)
+
+
+def test_the_quick_ratio_is_a_bound(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc 0z") for _ in range(rng.randint(0, 30)))
+    rows = [(" ".join(word().split()), " ".join(word().split())) for _ in range(200)] + [("abc", "abc"), ("", "abc"), ("abc " * 60, "cab " * 60)]
+    sides = spark.createDataFrame([(i, i, *r) for i, r in enumerate(rows)], "l int, r int, l_norm string, r_norm string")
+    for r in clustering.with_quick_ratio(sides).withColumn("ratio", clustering.sequence_ratio("l_norm", "r_norm")).collect():
+        assert r.quick == pytest.approx(SequenceMatcher(None, r.l_norm, r.r_norm).quick_ratio()) and r.ratio <= r.quick + 1e-12
+
+
+def test_components(spark):
+    rng = random.Random(10)
+    edges = [(i, i + 1) for i in range(1000, 1700)] + [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(5000, i) for i in range(5001, 5400)] + [(7, 7)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    want = {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert len(got) == len(want) and {r.node: r.root for r in got} == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_chain_of_leaders_takes_few_jobs(spark):
+    """Every row of a chain may join the one before it, so every second one leads."""
+    n = 1000
+    rows = spark.createDataFrame([(i, i, None) for i in range(1, n + 1)], "rk long, title long, published_at timestamp")
+    edges = spark.createDataFrame([(i, i - 1, True) for i in range(2, n + 1)], "l long, r long, any_date boolean")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = {r.title: r.leader for r in clustering.leaders(rows, edges).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: i if i % 2 else i - 1 for i in range(1, n + 1)} and jobs < 150
+
+
+def test_large_components_are_decided_in_rounds(spark):
+    rng = random.Random(11)
+    at = [None, *(NOW - timedelta(hours=60 * i) for i in range(8))]
+    rows = [(i, rng.randint(1, 40), rng.choice(at)) for i in range(1, 300)]
+    edges = list({(a, b): (a, b, rng.random() < 0.5) for a, b in ((rng.randint(1, 40), rng.randint(1, 40)) for _ in range(50))}.values())
+    r, e = spark.createDataFrame(rows, "rk long, title long, published_at timestamp"), spark.createDataFrame(edges, "l long, r long, any_date boolean")
+    told = [sorted((str(x.title), str(x.published_at), x.leader) for x in clustering.leaders(r, e, whole, bucket).collect()) for whole, bucket in ((4096, 16384), (4096, 30), (0, 30), (12, 30))]
+    assert told[0] == told[1] == told[2] == told[3] and len(told[0]) > 50
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    rows = [("a", "s", "chips launches agents", 1, 1, None), ("b", "s", "chips launches agents", 3, 1, None), ("c", "s", "other things happen", 2, 1, None)]
+    names = "norm tokens leader _part _at _shift _title _nth n first title_ lead root bucket of at l r _best _relevance copies last rk leader_rk cluster_id cluster_size score rank".split()
+    df = articles(spark, rows)
+    wide = df.withColumns({n: F.lit(f"my {n}") for n in names})
+    plain = {r.id: (r.cluster_id, r.cluster_size) for r in clustering.story_clusters(df).collect()}
+    got = clustering.story_clusters(wide).collect()
+    assert {r.id: (r.cluster_id, r.cluster_size) for r in got} == plain == {"a": ("a", 2), "b": ("a", 2), "c": ("c", 1)}
+    made = {"rk", "leader_rk", "cluster_id", "cluster_size"}
+    assert all(r[n] == f"my {n}" for r in got for n in names if n not in made)
+    best = ranking.rank_articles(wide, F.lit(NOW.isoformat()).cast("timestamp"), 50).collect()
+    assert {r.id for r in best} == {"a", "c"} and all(r[n] == f"my {n}" for r in best for n in names if n not in made | {"score", "rank"})
+
+
 def test_stream_of_entries(spark, tmp_path):
     at = [datetime(2026, 3, 2, h) for h in range(3)]
     schema = "url string, published_at timestamp, n int"
