@@ -48,10 +48,50 @@ def metered(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dic
     return out, seen.get
 
 
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder by Spark's own file system layer."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    system, where = _at(spark, path)
+    system.delete(where, True)
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole or not at all: under another name first, then renamed. One that is there is replaced."""
+    system, where = _at(spark, path)
+    _, draft = _at(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    out = system.create(draft, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not system.rename(draft, where):
+        system.delete(where, False)
+        if not system.rename(draft, where):
+            raise OSError(f"can't write {path}")
+
+
+def get(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, null if there is none."""
+    system, where = _at(spark, path)
+    if not system.exists(where):
+        return None
+    source = system.open(where)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds, sorted; nothing if it isn't there. Drafts are left out."""
+    system, where = _at(spark, folder)
+    if not system.exists(where):
+        return []
+    return sorted(n for n in (x.getPath().getName() for x in system.listStatus(where)) if not n.endswith(".draft"))
 
 
 def clear(spark: SparkSession) -> None:
