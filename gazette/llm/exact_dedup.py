@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import time
-import uuid
+import functools
+import hashlib
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm.common import free_names, fresh, stored
+from gazette.storage import get, names, put, remove
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -37,15 +38,55 @@ def locator(docs: DataFrame) -> Column:
         return F.struct(F.input_file_name().alias("file"), F.lit(None).cast("long").alias("row"))
 
 
-def digest_state(spark: SparkSession, home: str, schema, bytes_per_trigger: int = 1 << 30, rows_per_store: int = 4_000_000) -> DataFrame:
-    """Stream the digests in home/digests through keyed state: per digest the number of rows, the row that stays and the first.
+class Home:
+    """A folder of the shared storage that keeps the state of digests from one delivery of documents to the next.
+
+    A delivery has a name that its caller gives. It is marked as begun, its digests are written, the state takes them in, and it is
+    marked as done. A delivery that failed anywhere on the way is given again under its name and goes on where it was: digests that
+    are complete are not written again, and the state's checkpoint takes each file in once. Until then no other is let in, so that
+    nothing counts as held that was never handed out. A delivery that is done may be asked for again, and changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def begin(self, name: str) -> tuple[str, bool]:
+        """The delivery's number as text, which sorts by time, and whether it is done."""
+        done = names(self.spark, f"{self.path}/done")
+        key = hashlib.sha256(name.encode()).hexdigest()
+        if key in done:
+            return get(self.spark, f"{self.path}/done/{key}"), True
+        number = f"{len(done):08d}"
+        begun = get(self.spark, f"{self.path}/begun/{number}")
+        if begun is None:
+            put(self.spark, f"{self.path}/begun/{number}", name)
+        elif begun != name:
+            raise RuntimeError(f"delivery {begun!r} has not been finished: give it again before {name!r}")
+        return number, False
+
+    def digests(self, number: str) -> str:
+        return f"{self.path}/digests/delivery_number={number}"
+
+    def write(self, keyed: DataFrame, number: str) -> None:
+        """The delivery's digests; the stream is never run while they are incomplete."""
+        if "_SUCCESS" not in names(self.spark, self.digests(number)):
+            keyed.write.mode("overwrite").parquet(self.digests(number))
+
+    def finish(self, name: str, number: str) -> None:
+        put(self.spark, f"{self.path}/done/{hashlib.sha256(name.encode()).hexdigest()}", number)
+
+
+def digest_state(spark: SparkSession, home: str, schema, bytes_per_trigger: int = 1 << 30, rows_per_store: int = 4_000_000, most_batches: int = 16) -> DataFrame:
+    """Stream the digests in home/digests through keyed state: per digest that more than one row has the number of rows, the row
+    that stays and the first.
 
     The state is held by RocksDB on the executors' disks and its checkpoints in the shared folder; no watermark, so no
-    digest is ever forgotten. Each micro-batch writes the keys it changed; a replayed batch overwrites what it wrote. A home
-    that has been used goes on: only files that are new to it are read.
+    digest is ever forgotten. Each micro-batch writes the keys it changed that more than one row has; a replayed batch overwrites
+    what it wrote, and more than `most_batches` are made one. A home that has been used goes on: only files that are new to
+    it are read.
     """
     digests_path = f"{home}/digests"
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(digests_path)
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(f"{digests_path}/*")
     earliest = F.struct("delivery", "row", "locator")
     state = stream.groupBy("digest").agg(F.min(best_first()).alias("best"), F.min(earliest).alias("earliest"), F.count(F.lit(1)).alias("group_size"))
     stores = max(spark.sparkContext.defaultParallelism, -(-spark.read.schema(schema).parquet(digests_path).count() // rows_per_store))
@@ -57,19 +98,39 @@ def digest_state(spark: SparkSession, home: str, schema, bytes_per_trigger: int
             state.writeStream.outputMode("update")
             .option("checkpointLocation", f"{home}/checkpoint")
             .trigger(availableNow=True)
-            .foreachBatch(lambda changed, batch: changed.write.mode("overwrite").parquet(f"{home}/changed/batch={batch}"))
+            .foreachBatch(lambda changed, batch: changed.where("group_size > 1").write.mode("overwrite").parquet(f"{home}/changed/batch={batch:08d}"))
             .start()
         )
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    changed = spark.read.schema(state.schema.add("batch", "long")).parquet(f"{home}/changed")
+    return latest_hits(spark, home, state.schema, most_batches)
+
+
+def latest_hits(spark: SparkSession, home: str, schema, most_batches: int) -> DataFrame:
+    """Of the batches' changed keys the latest each. `upto=n` holds what the batches up to n came to; those are no longer read,
+    and go."""
+    whole = [n for n in names(spark, f"{home}/hits") if "_SUCCESS" in names(spark, f"{home}/hits/{n}")]
+    upto = whole[-1].split("=")[1] if whole else ""
+    batches = [n for n in names(spark, f"{home}/changed") if n.split("=")[1] > upto]
+    paths = [f"{home}/changed/{n}" for n in batches] + [f"{home}/hits/{n}" for n in whole[-1:]]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    parts = [spark.read.schema(schema).parquet(path).withColumn("batch", F.lit(path.rsplit("=", 1)[1])) for path in paths]
+    changed = functools.reduce(DataFrame.unionByName, parts)
     latest = changed.groupBy("digest").agg(F.max_by(F.struct("best", "earliest", "group_size"), "batch").alias("last"))
-    return latest.select("digest", "last.best", "last.earliest", "last.group_size")
+    latest = latest.select("digest", "last.best", "last.earliest", "last.group_size")
+    if len(batches) <= most_batches:
+        return latest
+    last = batches[-1].split("=")[1]
+    latest.write.mode("overwrite").parquet(f"{home}/hits/upto={last}")
+    for path in paths:
+        remove(spark, path)
+    return spark.read.schema(schema).parquet(f"{home}/hits/upto={last}")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_hex: int = 64, bytes_per_trigger: int = 1 << 30, home: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_hex: int = 64, bytes_per_trigger: int = 1 << 30, home: str | None = None, delivery: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, digest, keep_id, group_size, kept, locator (of the row that stays), n_points.
 
     Two texts are equal when they are identical without ASCII white space. The row with the most code points stays, then
@@ -79,13 +140,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Where the state holds a digest more than once, the rows are regrouped on their full normalised bytes. Texts of one
     digest that differ (digest_hex below 64 makes that happen in tests) then form groups of their own.
 
-    `home` is a folder of the shared storage that keeps the state from one delivery of documents to the next; without it,
-    docs are the only delivery. With it, keep_id, group_size and kept tell of all deliveries so far, and a text that an
-    earlier delivery has is read again at its locator (where that has a row) and compared; if it differs, an error is raised.
+    `home` is a folder of the shared storage that keeps the state from one `delivery` (a name that the caller gives) of documents
+    to the next; without it, docs are the only delivery. With it, keep_id, group_size and kept tell of all deliveries so far, and
+    a text that an earlier delivery has is read again at its locator (where that has a row) and compared; if it differs, an
+    error is raised. A delivery that failed is to be given again under its name (see Home); its rows count once.
     """
     spark = docs.sparkSession
-    home = home or fresh(spark, "dedup")
-    delivery = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    if home is not None and delivery is None:
+        raise ValueError("a delivery to a home needs a name")
+    state, name = Home(spark, home or fresh(spark, "dedup")), delivery or "only"
+    home = state.path
+    delivery, done = state.begin(name)
     keyed = docs.select(
         F.col(id_col).alias("doc_id"),
         F.sha2(normalised(F.col(text_col)), 256).alias("sha"),
@@ -94,10 +159,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         locator(docs).alias("locator"),
         F.lit(delivery).alias("delivery"),
     ).withColumn("digest", F.substring("sha", 1, digest_hex))
-    keyed.write.mode("append").parquet(f"{home}/digests")
-    digests = spark.read.schema(keyed.schema).parquet(f"{home}/digests").where(F.col("delivery") == delivery)
-
-    hits = stored(digest_state(spark, home, keyed.schema, bytes_per_trigger).where("group_size > 1"), "dedup-hits")
+    if not done:
+        state.write(keyed, delivery)
+    digests = spark.read.schema(keyed.schema).parquet(state.digests(delivery))
+    hits = stored(digest_state(spark, home, keyed.schema, bytes_per_trigger), "dedup-hits")
+    if not done:
+        state.finish(name, delivery)
     # Full bytes on hits: rows of a held digest, grouped on the whole normalised text (partly before the shuffle).
     # Eight bytes a digest find the rows, so that Spark can broadcast them while they are few; the bytes decide.
     few = stored(hits.select(F.xxhash64("digest").alias("key")).distinct(), "dedup-hit-keys")

@@ -63,18 +63,77 @@ def test_exact_dedup_goes_on_with_a_second_delivery(spark, tmp_path):
         spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/docs{k}")
     deliveries = [spark.read.parquet(f"{tmp_path}/docs{k}") for k in (0, 1)]
     home = f"file://{tmp_path}/home"
-    first = exact_dedup.exact_dedup(deliveries[0], home=home)
+    first = exact_dedup.exact_dedup(deliveries[0], home=home, delivery="one")
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in first.collect()} == {(1, 1, 1, True), (2, 2, 2, True), (3, 2, 2, False), (4, 4, 1, True)}
-    second = exact_dedup.exact_dedup(deliveries[1], home=home).collect()
+    second = exact_dedup.exact_dedup(deliveries[1], home=home, delivery="two").collect()
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in second} == {(5, 1, 2, False), (6, 6, 3, True), (7, 7, 2, True), (8, 7, 2, False), (0, 0, 2, True)}
     at = next(r.locator for r in second if r.doc_id == 5)
     found = spark.read.parquet(at.file).where(F.col("_metadata.row_index") == at.row).first()
     assert found.doc_id == 1
     with pytest.raises(ValueError, match="differ between deliveries"):
         other = f"file://{tmp_path}/other"
-        exact_dedup.exact_dedup(deliveries[0], digest_hex=1, home=other)
+        exact_dedup.exact_dedup(deliveries[0], digest_hex=1, home=other, delivery="one")
         many = spark.createDataFrame([(k, f"text {k}") for k in range(100)], "doc_id long, text string")
-        exact_dedup.exact_dedup(many, digest_hex=1, home=other)
+        exact_dedup.exact_dedup(many, digest_hex=1, home=other, delivery="two")
+
+
+@pytest.mark.parametrize("fails", ["write", "before", "within", "after", "finish"])
+def test_a_delivery_that_fails_is_given_again(spark, tmp_path, monkeypatch, fails):
+    one = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (4, "d")], "doc_id long, text string").repartition(2)
+    two = spark.createDataFrame([(5, "ab c"), (6, "d  "), (7, "a  b")], "doc_id long, text string").repartition(2)
+    told = lambda df: {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in df.collect()}
+    home = lambda k: f"file://{tmp_path}/{k}"
+    clean = [told(exact_dedup.exact_dedup(df, home=home("clean"), delivery=name)) for name, df in (("one", one), ("two", two))]
+    assert clean[0] == {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True), (4, 4, 1, True)}
+
+    class Stopped(Exception):
+        pass
+
+    def stop(*_, **__):
+        raise Stopped
+
+    real = exact_dedup.digest_state
+
+    def within(spark_, path, *rest):
+        # The state has taken the digests in, but what the batch changed is lost with the driver.
+        real(spark_, path, *rest)
+        last = exact_dedup.names(spark_, f"{path}/checkpoint/commits")[-1]
+        exact_dedup.remove(spark_, f"{path}/checkpoint/commits/{last}")
+        exact_dedup.remove(spark_, f"{path}/changed")
+        raise Stopped
+
+    for k, (name, df) in enumerate((("one", one), ("two", two))):
+        with monkeypatch.context() as patch:
+            if fails == "write":
+                patch.setattr(exact_dedup.Home, "write", stop)
+            elif fails == "before":
+                patch.setattr(exact_dedup, "digest_state", stop)
+            elif fails == "within" and k == 0:
+                patch.setattr(exact_dedup, "digest_state", within)
+            elif fails == "after":
+                patch.setattr(exact_dedup, "stored", stop)
+            else:
+                patch.setattr(exact_dedup.Home, "finish", stop)
+            with pytest.raises(Stopped):
+                exact_dedup.exact_dedup(df, home=home("home"), delivery=name)
+        with pytest.raises(RuntimeError, match="has not been finished"):
+            exact_dedup.exact_dedup(two, home=home("home"), delivery="other")
+        again = df.repartition(3)  # rows may come in another order
+        assert told(exact_dedup.exact_dedup(again, home=home("home"), delivery=name)) == clean[k]
+        assert told(exact_dedup.exact_dedup(again, home=home("home"), delivery=name)) == clean[k]
+    with pytest.raises(ValueError, match="needs a name"):
+        exact_dedup.exact_dedup(one, home=home("home"))
+
+
+def test_batches_of_deliveries_become_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup.digest_state, "__defaults__", (1 << 30, 4_000_000, 3))
+    home = f"file://{tmp_path}/home"
+    for k in range(9):
+        df = spark.createDataFrame([(10 * k, "same"), (10 * k + 1, f"own {k}"), (10 * k + 2, f"own {k // 2}")], "doc_id long, text string")
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(df, home=home, delivery=f"d{k}").collect()}
+        assert got[10 * k] == (0, k + 1)
+    assert got[82] == (41, 2) and got[81] == (81, 1)
+    assert len(exact_dedup.names(spark, f"{home}/changed")) <= 4 and len(exact_dedup.names(spark, f"{home}/hits")) == 1
 
 
 def test_mixing(spark):
