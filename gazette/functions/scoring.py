@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions.lexicon import DEFAULT, Lexicon
 from gazette.functions.staging import free_names
-from gazette.functions.text import literal_array, normalize_text, present, split_words, strip, words
+from gazette.functions.text import literal_array, normalize_text, present, split_words, strip
 
 
 def effective_title(og_title: Column, title: Column) -> Column:
@@ -38,15 +38,20 @@ def content(title: Column, context: Column) -> Column:
 
 
 def with_hits(df: DataFrame, title: Column, context: Column, lexicon: Lexicon = DEFAULT) -> tuple[DataFrame, dict[str, str]]:
-    """df with columns of the words, the normalised text and the tokens, and of their hits; and what these columns are called:
-    norm, tokens, low, high_phrases, low_phrases, and a name for each group of the lexicon."""
-    known = ["words", "norm", "tokens", "high_phrases", "low_phrases", "low", *(name for name, _, _ in lexicon.groups)]
+    """df with columns of the normalised text, the words of it that the lexicon has, and the hits of each list; and what these
+    columns are called: norm, found, low, high_phrases, low_phrases, and a name for each group of the lexicon.
+
+    The text is read once for all lists: against one set of their words. Only the few that are found are told apart by list.
+    """
+    lists = {**{name: w for name, w, _ in lexicon.groups}, "low": lexicon.low}
+    known = ["norm", "found", "high_phrases", "low_phrases", *lists]
     at = dict(zip(known, free_names(df.columns, *(f"_{k}" for k in known)), strict=True))
     col = lambda k: F.col(at[k])
-    df = df.withColumn(at["words"], words(F.concat(title, F.lit(" "), context)))
-    df = df.withColumns({at["norm"]: F.array_join(col("words"), " "), at["tokens"]: F.array_except(col("words"), literal_array(lexicon.stopwords))})
-    counts = {at[name]: hits(col("tokens"), w) for name, w, _ in lexicon.groups}
-    counts |= {at["low"]: hits(col("tokens"), lexicon.low), at["high_phrases"]: phrase_hits(col("norm"), lexicon.high_phrases), at["low_phrases"]: phrase_hits(col("norm"), lexicon.low_phrases)}
+    every = sorted({w for words_ in lists.values() for w in words_} - set(lexicon.stopwords))
+    df = df.withColumn(at["norm"], content(title, context))
+    df = df.withColumn(at["found"], F.array_intersect(F.split(col("norm"), " "), literal_array(every).cast("array<string>")))
+    counts = {at[name]: hits(col("found"), words_) for name, words_ in lists.items()}
+    counts |= {at["high_phrases"]: phrase_hits(col("norm"), lexicon.high_phrases), at["low_phrases"]: phrase_hits(col("norm"), lexicon.low_phrases)}
     return df.withColumns(counts), at
 
 

@@ -47,7 +47,8 @@ def words(x: Column) -> Column:
 
 
 def normalize_text(x: Column) -> Column:
-    return F.array_join(words(x), " ")
+    """The words with a blank between each two."""
+    return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
 
 
 def literal_array(values) -> Column:

@@ -40,9 +40,9 @@ class Run:
         return self.counts["unique"] - self.counts["today"]
 
 
-def run(spark: SparkSession, fetch: Callable[[str], str], get: Callable[[str, bool], tuple[str, str, str]], now: datetime, limit: int = 50, dry_run: bool = True, ask=None, post=None, chat_id: str | None = None, catalog=feeds.CATALOG, settings: Settings | None = None) -> Run:
+def run(spark: SparkSession, fetch: Callable[[str], str], get: Callable[[str, bool], tuple[str, str, str]], now: datetime, limit: int = 50, dry_run: bool = True, ask=None, post=None, chat_id: str | None = None, catalog=feeds.CATALOG, settings: Settings | None = None, journal: str | None = None) -> Run:
     """A `now` without a zone is UTC. Pages of blocked domains are not requested. Entries whose links can't be read are no articles
-    but errors."""
+    but errors. With a `journal` (a folder of the shared storage), a run that was stopped while it sent goes on."""
     known = settings or Settings()
     now = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
     counts: dict[str, int] = {}
@@ -64,7 +64,7 @@ def run(spark: SparkSession, fetch: Callable[[str], str], get: Callable[[str, bo
     today = counted(published_today(enrich(ruled, pages.where("error is null").drop("error")), now), "today")
     ranked = counted(rank_articles(today, F.lit(now.isoformat()).cast("timestamp"), clamp_limit(limit, known.max_articles_per_run)), "selected")
     told = stored(deliver.summarize(ranked, None if dry_run else ask), "told")
-    results = deliver.previews(told) if dry_run else deliver.deliver(told, post, chat_id, known.telegram_parse_mode)
+    results = deliver.previews(told) if dry_run else deliver.deliver(told, post, chat_id, known.telegram_parse_mode, journal=journal)
     said = lambda df, stage, *message: df.select(F.lit(stage).alias("stage"), F.concat(*message).alias("message"))
     failed = ruled.join(pages.where("error is not null").select("url", "error"), "url")
     errors = said(entries.where("error is not null"), "ingest", F.col("error"))
@@ -96,6 +96,7 @@ def main(argv: list[str] | None = None, given: dict | None = None, settings: Set
     command = parser.add_subparsers(dest="command").add_parser("run", help="run everything")
     command.add_argument("--dry-run", action="store_true", help="send nothing")
     command.add_argument("--limit", type=int, default=None, help="articles to send at most")
+    command.add_argument("--journal", default=None, help="a folder that a stopped run is continued from")
     command.add_argument("--verbose", action="store_true", help="log more")
     args = parser.parse_args(argv)
     if args.command is None:
@@ -109,7 +110,7 @@ def main(argv: list[str] | None = None, given: dict | None = None, settings: Set
         return 2
     t = transports(settings, args.dry_run) | (given or {})
     spark = SparkSession.builder.appName("gazette").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    done = run(spark, t["fetch"], t["get"], t.get("now") or datetime.now().astimezone(), settings.limit(args.limit), args.dry_run, t["ask"], t["post"], settings.telegram_chat_id, settings.sources_file, settings)
+    done = run(spark, t["fetch"], t["get"], t.get("now") or datetime.now().astimezone(), settings.limit(args.limit), args.dry_run, t["ask"], t["post"], settings.telegram_chat_id, settings.sources_file, settings, args.journal)
     counts = deliver.rollup(done.results).first()
     failures = [r.failure for r in deliver.first_failures(done.results).collect()]
     if failures:

@@ -445,6 +445,43 @@ def test_deliver(spark):
     assert [r.failure for r in deliver.first_failures(bad, 2).collect()] == ["a: Telegram send failed.", "b: Telegram send failed."]
 
 
+@pytest.mark.parametrize("stops", ["before an intent", "while sending", "before a result"])
+def test_a_stopped_sink_neither_repeats_nor_loses(spark, tmp_path, monkeypatch, stops):
+    rows = [(f"a{i}", f"https://e.com/{i}", f"T{i}", None, "One. Two. Three.", None, i) for i in range(1, 7)]
+    df = spark.createDataFrame(rows, "id string, url string, title string, og_title string, summary string, image_url string, rank int")
+    journal, sent, refused = f"file://{tmp_path}/journal", [], []
+
+    class Stopped(BaseException):
+        pass
+
+    def post(method, payload):
+        title = payload["text"].split(">")[1][:2]
+        if title == "T4" and stops == "while sending" and not sent.count("stop"):
+            sent.append("stop")
+            raise Stopped
+        if title == "T2" and not refused:
+            refused.append(title)
+            return 400, {"ok": False, "description": "refused"}
+        sent.append(title)
+        return 200, {"ok": True, "result": {"message_id": len(sent)}}
+
+    once = lambda method: lambda self, article, *rest: (_ for _ in ()).throw(Stopped()) if article == "a4" else method(self, article, *rest)
+    with monkeypatch.context() as patch:
+        patch.setattr(deliver, "send_with_retry", lambda post, method, payload, sleep: post(method, payload)[1])
+        if stops != "while sending":
+            kind = "intend" if stops == "before an intent" else "close"
+            patch.setattr(deliver.Journal, kind, once(getattr(deliver.Journal, kind)))
+        with pytest.raises(Stopped):
+            deliver.deliver(df, post, "c", journal=journal)
+    got = {r.article_id: (r.status, r.error) for r in deliver.deliver(df, post, "c", journal=journal).collect()}
+    doubt = ("error", deliver.IN_DOUBT) if stops != "before an intent" else ("sent", None)
+    assert got == {f"a{i}": ("sent", None) if i != 4 else doubt for i in range(1, 7)}
+    messages = [x for x in sent if x != "stop"]
+    assert sorted(messages) == ["T1", "T2", "T3", *(["T4"] if stops != "while sending" else []), "T5", "T6"]
+    again = len(sent)
+    assert {r.article_id: (r.status, r.error) for r in deliver.deliver(df, post, "c", journal=journal).collect()} == got and len(sent) == again
+
+
 def test_run_end_to_end(spark, tmp_path):
     catalog = tmp_path / "c.yaml"
     catalog.write_text("sources:\n  - {name: One, url: 'https://one.example', rss: 'https://one.example/rss'}\n  - {name: Two, url: 'https://two.example', rss: 'https://two.example/rss'}\n")
