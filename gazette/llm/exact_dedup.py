@@ -16,6 +16,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 #: How many state stores a stream has; without it, one for each shuffle partition, each with files of some MB at any size.
 STORES = "spark.sql.streaming.internal.stateStore.partitions"
+#: What the stores of an executor share for their blocks and write buffers, outside its heap; else each takes what it likes.
+BOUNDED = {"spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128"}
 
 
 def normalised(text: Column) -> Column:
@@ -90,9 +92,10 @@ def digest_state(spark: SparkSession, home: str, schema, bytes_per_trigger: int
     earliest = F.struct("delivery", "row", "locator")
     state = stream.groupBy("digest").agg(F.min(best_first()).alias("best"), F.min(earliest).alias("earliest"), F.count(F.lit(1)).alias("group_size"))
     stores = max(spark.sparkContext.defaultParallelism, -(-spark.read.schema(schema).parquet(digests_path).count() // rows_per_store))
-    before = {k: spark.conf.get(k, None) for k in (PROVIDER, STORES)}
-    spark.conf.set(PROVIDER, ROCKSDB)
-    spark.conf.set(STORES, str(stores))
+    own = {PROVIDER: ROCKSDB, STORES: str(stores), **{k: v for k, v in BOUNDED.items() if spark.conf.get(k, None) is None}}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update")
