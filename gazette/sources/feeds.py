@@ -97,10 +97,37 @@ def entries_of(xml: str) -> list[dict]:
     return out
 
 
+class FeedTasks:
+    """The feeds of a catalog (src_pos, name, url of each), fetched in tasks."""
+
+    def __init__(self, fetch: Callable[[str], str], rows: list, concurrency: int):
+        self.fetch, self.rows, self.concurrency = fetch, rows, concurrency
+
+    def dealt(self) -> list[list]:
+        n = min(self.concurrency, len(self.rows))
+        return [self.rows[i::n] for i in range(n)]
+
+    def read(self, rows: list):
+        for row in rows:
+            yield from self._entries(*row)
+
+    def _entries(self, src_pos, name, rss):
+        names = ("title", "link", "summary", "description", "published", "updated")
+        try:
+            entries = entries_of(self.fetch(rss))
+        except Exception as e:  # noqa: BLE001 - one failing source must not stop the others
+            yield (src_pos, None, None, f"Source fetch failed ({name}): {e}")
+            return
+        for i, e in enumerate(entries):
+            links = [(x["href"], x["type"]) for x in e["links"]]
+            yield (src_pos, i, (*(e.get(n) for n in names), [(x["url"],) for x in e["media_content"]], [(x["url"],) for x in e["media_thumbnail"]], links, (e["image"]["href"],) if "image" in e else None), None)
+
+
 class FeedSource(DataSource):
     """spark.read.format("feeds"). Options: `catalog` rows as JSON and `concurrency`, the number of partitions that the sources
     are dealt over; the fetcher is given to read_feeds(). A source that fails gives one row with an error and no entry."""
 
+    COLUMNS = f"src_pos long, entry_pos long, entry {ENTRY}, error string"
     fetch: Callable[[str], str]
 
     @classmethod
@@ -108,7 +135,7 @@ class FeedSource(DataSource):
         return "feeds"
 
     def schema(self) -> str:
-        return f"src_pos long, entry_pos long, entry {ENTRY}, error string"
+        return self.COLUMNS
 
     def reader(self, schema):
         return _FeedReader(type(self).fetch, json.loads(self.options["catalog"]), int(self.options["concurrency"]))
@@ -116,26 +143,13 @@ class FeedSource(DataSource):
 
 class _FeedReader(DataSourceReader):
     def __init__(self, fetch: Callable[[str], str], rows: list, concurrency: int):
-        self.fetch, self.rows, self.concurrency = fetch, rows, concurrency
+        self.tasks = FeedTasks(fetch, rows, concurrency)
 
     def partitions(self):
-        n = min(self.concurrency, len(self.rows))
-        return [InputPartition(self.rows[i::n]) for i in range(n)]
+        return [InputPartition(rows) for rows in self.tasks.dealt()]
 
     def read(self, partition):
-        for row in partition.value:
-            yield from self._entries(*row)
-
-    def _entries(self, src_pos, name, rss):
-        names = ("title", "link", "summary", "description", "published", "updated")
-        try:
-            entries = entries_of(self.fetch(rss))
-        except Exception as e:  # noqa: BLE001 - one failing source must not stop the others
-            yield (src_pos, None, None, f"Source fetch failed ({name}): {e}")
-            return
-        for i, e in enumerate(entries):
-            links = [(x["href"], x["type"]) for x in e["links"]]
-            yield (src_pos, i, (*(e.get(n) for n in names), [(x["url"],) for x in e["media_content"]], [(x["url"],) for x in e["media_thumbnail"]], links, (e["image"]["href"],) if "image" in e else None), None)
+        yield from self.tasks.read(partition.value)
 
 
 def read_feeds(sources: DataFrame, fetch: Callable[[str], str], concurrency: int = 8) -> DataFrame:

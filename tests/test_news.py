@@ -25,7 +25,7 @@ from gazette.plans import deliver, queries
 from gazette.plans.run import main, run
 from gazette.plans.settings import Settings
 from gazette.sources import feeds
-from gazette.streaming import ingest
+from gazette.streaming import ingest, latest, polls
 
 NOW = datetime(2026, 3, 2, 12, tzinfo=timezone.utc)
 ARTICLE = "id string, source_name string, title string, description string, published_at timestamp, duplicate_count int, pos long, url string, og_title string, og_description string, image_url string"
@@ -275,6 +275,51 @@ def test_stream_of_entries(spark, tmp_path):
     assert sorted(r.url for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["https://e.com/a", "https://e.com/b", "https://e.com/c"]
 
 
+def test_feeds_as_a_stream_give_new_entries_only(spark, tmp_path):
+    catalog = tmp_path / "c.yaml"
+    catalog.write_text("sources:\n  - {name: One, url: 'https://one.example', rss: 'https://one.example/rss'}\n  - {name: Two, url: 'https://two.example', rss: 'https://two.example/rss'}\n")
+    shown = tmp_path / "shown"
+
+    def fetch(url):
+        if "two" in url:
+            raise OSError("down")
+        return "<rss><channel>" + "".join(f"<item><title>{t}</title><link>https://e.com/{t}</link></item>" for t in shown.read_text().split()) + "</channel></rss>"
+
+    sources = feeds.load_catalog(spark, catalog)
+    for poll, (now, fresh) in enumerate((("a b", "ab"), ("c a b", "c"), ("c a b", ""), ("d c", "d"))):
+        shown.write_text(now)
+        stream = polls.new_entries(polls.polled_feeds(spark, sources, fetch))
+        query = stream.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
+        query.foreachBatch(lambda df, i, out=f"{tmp_path}/out{poll}": df.write.mode("append").parquet(out)).start().awaitTermination()
+        got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out{poll}").collect()
+        assert sorted(r.entry.title for r in got if r.entry) == list(fresh)
+        assert [r.error for r in got if r.error] == ["Source fetch failed (Two): down"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_the_latest_of_a_stream_in_any_order(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["x", "y", "z", None]), None if rng.random() < 0.3 else NOW.replace(tzinfo=None) - timedelta(hours=rng.randint(0, 4)), i, f"text {i}") for i in range(60)]
+    schema = "url string, published_at timestamp, pos long, title string"
+    rng.shuffle(rows)
+    for k in range(4):
+        spark.createDataFrame(rows[15 * k : 15 * k + 15], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    before = spark.conf.get(latest.PROVIDER)
+    try:
+        stream = latest.keep_latest(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), ["url"], "published_at", "pos", None if seed == 1 else 3_600_000)
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={i}")).start()
+        ended = time.time() + 120
+        while time.time() < ended and sum(p["numInputRows"] for p in query.recentProgress) < len(rows):
+            time.sleep(0.5)
+        query.stop()
+    finally:
+        spark.conf.set(latest.PROVIDER, before)
+    told = spark.read.parquet(f"{tmp_path}/out").drop("batch")
+    last = {r.url: tuple(r) for r in told.orderBy("duplicate_count").collect()}
+    want = dedupe.keep_latest(spark.createDataFrame(rows, schema), ["url"], "published_at", "pos").select(*told.columns)
+    assert last == {r.url: tuple(r) for r in want.collect()} and told.count() > len(last)
+
+
 def test_text(spark):
     assert value(spark, text.enforce_sentences(F.lit("Sentence one. Sentence two. Sentence three. Sentence four."))) == "Sentence one. Sentence two. Sentence three."
     for n in range(3):
