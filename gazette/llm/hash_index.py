@@ -193,7 +193,54 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (size.n if size else -1))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 768, sample_rows: int = 8192, shard_mb: int = 32) -> DataFrame:
+def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([c.flatten().to_numpy() for c in parts]).astype(np.float64).reshape(rows, -1)
+
+
+def enough(rows: DataFrame, asks: DataFrame, codes, k: int, recall: float, sample_queries: int) -> int:
+    """So many of the nearest codes of all rows hold `recall` of the k nearest neighbours, as measured at this table's size.
+
+    A bounded sample of queries (the least hashes of ids) is searched by brute force in all rows; per query, tasks give their best k
+    with the distances of their codes, and how many codes are at each distance. Both add up over the tasks.
+    """
+    spark = rows.sparkSession
+    key = F.xxhash64("id", F.lit("recall"))
+    drawn = asks.orderBy(key, "id").limit(sample_queries).toPandas()
+    ids, x = drawn.id.to_numpy(np.int64), np.stack(drawn.v.to_numpy()).astype(float)
+    shared = spark.sparkContext.broadcast((ids, x, codes.value.of(x, query=True)))
+
+    def each(batches):
+        own, v, code = shared.value
+        counts = np.zeros((len(own), 64 * WORDS + 1), np.int64)
+        best = [(np.empty(0), np.empty(0, np.int64)) for _ in own]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            here, there = batch.column("id").to_numpy(), _matrix(batch.column("v"), batch.num_rows)
+            marks = codes.value.of(there)
+            score = there @ v.T
+            for q, of in enumerate(own.tolist()):
+                others = here != of
+                d = np.bitwise_count(marks[others] ^ code[q]).sum(axis=1, dtype=np.int64)
+                counts[q] += np.bincount(d, minlength=counts.shape[1])
+                s, d = np.concatenate((best[q][0], score[others, q])), np.concatenate((best[q][1], d))
+                top = np.argsort(-s, kind="stable")[:k]
+                best[q] = (s[top], d[top])
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts.tolist()), pa.array([s.tolist() for s, _ in best]), pa.array([d.tolist() for _, d in best])], names=["query", "counts", "score", "distance"])
+
+    told = rows.select("id", "v").mapInArrow(each, "query long, counts array<long>, score array<double>, distance array<long>")
+    at = told.select("query", F.posexplode("counts").alias("distance", "n")).groupBy("query", "distance").agg(F.sum("n").alias("n"))
+    near = told.select("query", F.explode(F.arrays_zip("score", "distance")).alias("x")).select("query", "x.score", "x.distance")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "distance"))).where(F.col("rank") <= k)
+    # A sample's counts and neighbours: bounded by the sample.
+    below = {int(q): np.concatenate(([0], np.cumsum(g.sort_values("distance").n.to_numpy()))) for q, g in at.toPandas().groupby("query")}
+    needed = sorted(int(below[r.query][r.distance]) + 1 for r in near.collect())
+    return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else 1
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 768, recall: float = 0.98, sample_rows: int = 8192, sample_queries: int = 64, shard_mb: int = 32) -> DataFrame:
     """For each row that is_query holds for: query_id, rank, vec_id, score of the k nearest found among all other rows.
 
     Nearness is the inner product in double precision, summed in the order of the components; ties go to the smaller id. Rows
@@ -203,7 +250,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     The rotations are fitted on a bounded sample (the sample_rows least hashes of ids). Every row is indexed: rows are dealt
     by hash into shards of at most about shard_mb as doubles, queries into blocks of that size, and each shard and block meet
     in one task. There a query takes the nearest codes, so many that they are the `keep` nearest of all rows, and some more
-    for chance; those alone are compared as floats. So the number of floats compared for a query doesn't grow with the rows.
+    for chance; those alone are compared as floats. `keep` is raised to what `recall` needs, as measured on all rows of the table
+    by sample_queries of its queries (see enough), so that it holds at any size. A `keep` of all rows is the exact way.
     """
     spark = vectors.sparkSession
     rows = stored(usable(vectors, id_col, vector_col), "ann-rows")
@@ -217,6 +265,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     key = F.xxhash64("id", F.lit("sample"))
     drawn = rows.where(within(key, 1.5 * sample_rows / n)).orderBy(key, "id").limit(sample_rows).toPandas()
     codes = spark.sparkContext.broadcast(learn(np.stack(drawn.v.to_numpy()).astype(float), longest))
+    keep = max(keep, enough(rows, asks, codes, k, recall, sample_queries)) if keep < n else n
     tasks, most = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, (shard_mb << 20) // (8 * size))
     shards, blocks = max(-(-n // most), min(tasks, -(-n // 4096))), -(-n_asks // most)
     parts = max(tasks, shards * blocks)
@@ -228,7 +277,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     def meet(here: pa.Table, asked: pa.Table) -> pa.Table:
         if not here.num_rows or not asked.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "vec_id", "score"])
-        matrix = lambda t: np.concatenate([c.flatten().to_numpy() for c in t.column("v").chunks]).astype(np.float64).reshape(t.num_rows, -1)
+        matrix = lambda t: _matrix(t.column("v"), t.num_rows)
         mine = keep * here.num_rows / n
         found = search(codes.value, here.column("id").to_numpy(), matrix(here), asked.column("id").to_numpy(), matrix(asked), k, int(mine + 3 * mine**0.5) + 8)
         return pa.table([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])

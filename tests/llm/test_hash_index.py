@@ -57,6 +57,25 @@ def test_few_are_compared_and_most_are_found(spark):
     assert len(few) == 4 and H.nearest(table.limit(0), lambda k: k == 0).count() == 0
 
 
+def test_as_many_codes_are_kept_as_the_recall_needs(spark):
+    rng = np.random.default_rng(9)
+    for n, least in ((400, 20), (24000, 400)):
+        x = rng.normal(size=(n, 48))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+        rows = H.usable(table, "vec_id", "embedding").cache()
+        codes = spark.sparkContext.broadcast(H.learn(x[:4000], 1.0))
+        keep = H.enough(rows, rows.where("id % 100 = 0"), codes, 20, 0.98, 32)
+        assert least < keep <= n
+        got = {}
+        for r in H.nearest(table, lambda key: key % 200 == 0, k=20).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        near = x[::200] @ x.T
+        near[np.arange(len(near)), np.arange(0, n, 200)] = -np.inf
+        want = np.argsort(-near, axis=1)[:, :20]
+        assert sum(len(got[200 * i] & set(w.tolist())) for i, w in enumerate(want)) >= 0.95 * want.size
+
+
 def test_repeated_ids(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), *[(1, [2.0, 1.0])] * 3, (2, [0.5, 0.5]), (20, [1.0, 1.0])]
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in H.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda k: k % 20 == 0, k=4).orderBy("query_id", "rank").collect()]
