@@ -5,14 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
-def _list(text: str) -> tuple[str, ...]:
-    return tuple(text.split())
-
-
-def _phrases(text: str) -> tuple[str, ...]:
-    return tuple(x.strip() for x in text.split(";"))
-
-
 # Fixed values from here on.
 SOURCE_WEIGHTS = {
     "openai blog": 1.0,
@@ -28,27 +20,44 @@ SOURCE_WEIGHTS = {
     "zdnet (ai)": 0.8,
 }
 DEFAULT_WEIGHT = 0.7
-STOPWORDS = _list("a an and are as at be by for from in into is it its of on or that the their to story stories news update updates with")
-PRODUCT = _list(
-    "launch launches launched release releases released rollout rollouts ship ships shipped debut debuts debuted introduces introduced "
-    "unveils unveiled feature features api apis model models agent agents platform copilot copilots sdk tool tools"
-)
-TECH = _list(
-    "breakthrough breakthroughs benchmark benchmarks inference training multimodal reasoning architecture architectures chip chips "
-    "accelerator accelerators evaluation efficiency latency throughput sota"
-)
-STARTUP = _list("startup startups funding fundraise fundraising seed preseed series valuation investor investors venture vc raise raises raised")
-ENTERPRISE = _list(
-    "enterprise enterprises adoption adopt adopts adopted deploy deploys deployed deployment production customer customers workflow "
-    "workflows integration integrates integrated operations productivity"
-)
-DEAL = _list("deal deals partnership partnerships partner partners contract contracts acquire acquires acquired acquisition merger mergers agreement agreements")
-LOW = _list("event events conference conferences summit webinar meetup podcast newsletter interview opinion roundup recap guide tutorial course")
-HIGH_PHRASES = _phrases(
-    "new model; new feature; model release; product launch; series a; series b; series c; funding round; enterprise adoption; "
-    "enterprise deployment; production deployment; strategic partnership; signed a deal"
-)
-LOW_PHRASES = _phrases("weekly roundup; daily roundup; event recap; conference recap; podcast episode; panel discussion; how to; step by step")
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "its", "of", "on", "or", "that",
+    "the", "their", "to", "story", "stories", "news", "update", "updates", "with",
+)
+PRODUCT = (
+    "launch", "launches", "launched", "release", "releases", "released", "rollout", "rollouts", "ship", "ships", "shipped", "debut",
+    "debuts", "debuted", "introduces", "introduced", "unveils", "unveiled", "feature", "features", "api", "apis", "model", "models",
+    "agent", "agents", "platform", "copilot", "copilots", "sdk", "tool", "tools",
+)
+TECH = (
+    "breakthrough", "breakthroughs", "benchmark", "benchmarks", "inference", "training", "multimodal", "reasoning", "architecture",
+    "architectures", "chip", "chips", "accelerator", "accelerators", "evaluation", "efficiency", "latency", "throughput", "sota",
+)
+STARTUP = (
+    "startup", "startups", "funding", "fundraise", "fundraising", "seed", "preseed", "series", "valuation", "investor", "investors",
+    "venture", "vc", "raise", "raises", "raised",
+)
+ENTERPRISE = (
+    "enterprise", "enterprises", "adoption", "adopt", "adopts", "adopted", "deploy", "deploys", "deployed", "deployment",
+    "production", "customer", "customers", "workflow", "workflows", "integration", "integrates", "integrated", "operations",
+    "productivity",
+)
+DEAL = (
+    "deal", "deals", "partnership", "partnerships", "partner", "partners", "contract", "contracts", "acquire", "acquires",
+    "acquired", "acquisition", "merger", "mergers", "agreement", "agreements",
+)
+LOW = (
+    "event", "events", "conference", "conferences", "summit", "webinar", "meetup", "podcast", "newsletter", "interview", "opinion",
+    "roundup", "recap", "guide", "tutorial", "course",
+)
+HIGH_PHRASES = (
+    "new model", "new feature", "model release", "product launch", "series a", "series b", "series c", "funding round",
+    "enterprise adoption", "enterprise deployment", "production deployment", "strategic partnership", "signed a deal",
+)
+LOW_PHRASES = (
+    "weekly roundup", "daily roundup", "event recap", "conference recap", "podcast episode", "panel discussion", "how to",
+    "step by step",
+)
 
 
 @dataclass(frozen=True)

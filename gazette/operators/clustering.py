@@ -147,7 +147,7 @@ def set_candidates(df: DataFrame, least: float, least_shared: int = 1, cell: int
     # A little is taken off so that rounding can only let one token more in.
     needed = F.greatest(F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)), F.lit(least_shared))
     heads = stored(terms.join(held, "t").withColumn("at", order).where(F.col("at") <= F.col("n") - needed + 1).select("rk", "n", "t", "at"), "title-heads")
-    hot = stored(heads.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).cast("int").alias("blocks")).where("blocks > 1"), "hot-tokens")
+    hot = heads.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).cast("int").alias("blocks")).where("blocks > 1")
     dealt = heads.join(hot, "t", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rk"), F.col("blocks")).cast("int"))
     side = lambda p, x, y: dealt.select("t", F.col("own").alias(x), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(y), *[F.col(c).alias(f"{p}_{c}") for c in ("rk", "n", "at")])
     met = side("l", "x", "y").join(side("r", "y", "x"), ["t", "x", "y"]).where("l_rk > r_rk")
@@ -233,18 +233,18 @@ def leaders(rows: DataFrame, edges: DataFrame, whole: int = 4096, bucket: int =
     are one.
     """
     e = stored(edges.select("l", "r", "any_date"), "story-edges")
-    named = stored(e.select(F.col("l").alias("title")).unionByName(e.select(F.col("r").alias("title"))).distinct(), "story-titles")
+    named = e.select(F.col("l").alias("title")).unionByName(e.select(F.col("r").alias("title"))).distinct()
     every = rows.join(named, "title").groupBy("title", "published_at").agg(F.min("rk").alias("rk"))
     root = components(e.select(F.col("l").alias("a"), F.col("r").alias("b"))).withColumnRenamed("node", "title")
     every = stored(every.join(root, "title", "left").withColumn("root", F.coalesce("root", "title")), "story-kinds")
-    linked = stored(e.join(root.withColumnRenamed("title", "l"), "l", "left").withColumn("root", F.coalesce("root", "l")), "story-linked")
+    linked = e.join(root.withColumnRenamed("title", "l"), "l", "left").withColumn("root", F.coalesce("root", "l"))
     counted = every.groupBy("root").agg(F.count(F.lit(1)).alias("n")).unionByName(linked.groupBy("root").agg(F.count(F.lit(1)).alias("n")))
     sizes = stored(counted.groupBy("root").agg(F.sum("n").alias("n")), "story-sizes")
     large = sizes.where(F.col("n") > whole).select("root")
-    total, most = sizes.where(F.col("n") <= whole).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], sizes.agg(F.max("n")).first()[0]
+    total, most = sizes.agg(F.sum(F.when(F.col("n") <= whole, F.col("n"))), F.max("n")).first()
     none = (most or 0) <= whole
     part = lambda df, how: df if none and how == "left_anti" else df.join(large, "root", how)
-    deal = F.pmod(F.xxhash64("root"), F.lit(max(1, -(-total // bucket)))).alias("bucket")
+    deal = F.pmod(F.xxhash64("root"), F.lit(max(1, -(-(total or 0) // bucket)))).alias("bucket")
     left = part(every, "left_anti").select(deal, "title", "rk", F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"))
     right = part(linked, "left_anti").select(deal, "l", "r", "any_date")
     told = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(scan, "title long, at long, leader long")
@@ -262,7 +262,7 @@ def story_clusters(df: DataFrame) -> DataFrame:
     slim = stored(with_tokens(base.select("rk", "title", "published_at")).select("rk", "norm", "tokens", "published_at"), "story-words")
     kinds = stored(titles(slim), "story-distinct")
     rows = slim.join(kinds.select("norm", F.col("rk").alias("title")), "norm").select("rk", "title", "published_at")
-    joined = stored(leaders(rows, same_story_pairs(kinds)).withColumnsRenamed({"title": "of", "published_at": "at"}), "story-joined")
+    joined = leaders(rows, same_story_pairs(kinds)).withColumnsRenamed({"title": "of", "published_at": "at"})
     same = (F.col("title") == F.col("of")) & F.col("published_at").eqNullSafe(F.col("at"))
     led = stored(rows.join(joined, same, "left").select("rk", F.coalesce("leader", "rk").alias("leader_rk")), "story-led")
     sizes = led.groupBy("leader_rk").agg(F.count(F.lit(1)).alias("cluster_size"))

@@ -80,10 +80,13 @@ def choose_image(og_image: Column, rss_image: Column, fallback: Column) -> Colum
 def enrich(articles: DataFrame, pages: DataFrame) -> DataFrame:
     """articles (url, rss_image_url, image_fallback, blocked) with what their pages (url, html, content_type, final_url) say.
 
-    Blocked articles and those without a page keep the feed's image only. Pages are joined by normalised url.
+    Blocked articles and those without a page keep the feed's image only. Pages are joined by normalised url; of several pages
+    of one, that with the least url and final_url as they came counts.
     """
     a = articles.withColumn("url", normalize_url(F.col("url"))).withColumn("_blocked", is_blocked(F.col("url"), F.col("blocked")))
-    p = pages.select(normalize_url(F.col("url")).alias("_url"), "html", "content_type", "final_url").dropDuplicates(["_url"])
+    p = pages.select(normalize_url(F.col("url")).alias("_url"), "url", "html", "content_type", "final_url")
+    first = F.min_by(F.struct("html", "content_type", "final_url"), F.struct("url", "final_url", "html")).alias("page")
+    p = p.groupBy("_url").agg(first).select("_url", "page.*")
     p = p.withColumn("_og", F.when(F.contains("content_type", F.lit("text/html")), og_fields("html"))).drop("html")
     out = a.join(p, (F.col("url") == F.col("_url")) & ~F.col("_blocked"), "left")
     return out.withColumns(

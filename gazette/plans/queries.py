@@ -442,7 +442,8 @@ def _ranked_pages(spark, sf_dir) -> DataFrame:
 
 
 #: Rows whose page_id is divisible by 50 ask all titles: each distinct title, by the rk of its first row.
-_PAIRS_SQL = f"""{A.PAGES_SQL}, ordered AS (SELECT row_number() OVER (ORDER BY published_at DESC NULLS LAST, page_id) AS rk, page_id, published_at, title, array_to_string({_TOKENS.format('title')}, ' ') AS norm FROM t1),
+def _pairs_sql(articles: str) -> str:
+    return f"""{articles}, ordered AS (SELECT row_number() OVER (ORDER BY published_at DESC NULLS LAST, page_id) AS rk, page_id, published_at, title, array_to_string({_TOKENS.format('title')}, ' ') AS norm FROM t1),
 tokened AS (SELECT *, {_tokens_sql('title')} AS tokens FROM ordered),
 kinds AS (SELECT * FROM tokened QUALIFY rk = min(rk) OVER (PARTITION BY norm)),
 asked AS (SELECT * FROM tokened WHERE page_id % 50 = 0),
@@ -450,6 +451,11 @@ pairs AS (SELECT a.l, b.r, count(*) AS overlap FROM (SELECT rk AS l, norm, unnes
 sides AS (SELECT p.*, len(a.tokens) AS ln, len(b.tokens) AS rn, a.published_at AS la, a.norm AS lnorm, b.norm AS rnorm FROM pairs p JOIN asked a ON a.rk = p.l JOIN kinds b ON b.rk = p.r)"""
 
 
+_PAIRS_SQL = _pairs_sql(A.PAGES_SQL)
+#: The headlines of the documents as articles.
+_HEADS_SQL = f"{A.HEADLINES_SQL}, t1 AS (SELECT doc_id AS page_id, title, published_at FROM t3)"
+
+
 @query(f"WITH {_PAIRS_SQL} SELECT l, r, overlap FROM pairs")
 def candidate_pairs(spark, sf_dir):
     """Rows of every fiftieth page with the titles that share two tokens or more; title_members has a title's rows."""
@@ -484,25 +490,54 @@ def time_aligned_pairs(spark, sf_dir):
     return clustering.aligned_rows(clustering.candidate_pairs(asked, kinds), asked, rows, kinds)
 
 
+def _headline_rows(spark, sf_dir) -> DataFrame:
+    heads = A.headlines(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.col("doc_id").alias("pos"), "title", "published_at")
+    return clustering.stored(clustering.with_tokens(clustering.scan_order(heads)), "headline-rows")
+
+
 _CHARACTERS_SQL = "string_split(' 0123456789abcdefghijklmnopqrstuvwxyz', '')"
 
 
-@query(f"""WITH {_PAIRS_SQL} SELECT l, r, 2 * list_sum(list_transform({_CHARACTERS_SQL}, lambda c: least(length(lnorm) - length(replace(lnorm, c, '')), length(rnorm) - length(replace(rnorm, c, '')))))::DOUBLE / (length(lnorm) + length(rnorm)) AS quick FROM sides""")
+_QUICK_SQL = f"2 * list_sum(list_transform({_CHARACTERS_SQL}, lambda c: least(length(lnorm) - length(replace(lnorm, c, '')), length(rnorm) - length(replace(rnorm, c, '')))))::DOUBLE / (length(lnorm) + length(rnorm))"
+
+
+@query(f"WITH {_PAIRS_SQL} SELECT l, r, {_QUICK_SQL} AS quick FROM sides")
 def title_quick_ratio(spark, sf_dir):
     """What the matching ratio of the pairs is at most."""
     return clustering.with_quick_ratio(_sides(spark, sf_dir)).select("l", "r", "quick")
 
 
-@query(f"""WITH {A.PAGES_SQL}, ordered AS (SELECT row_number() OVER (ORDER BY published_at DESC NULLS LAST, page_id) AS rk, title, array_to_string({_TOKENS.format('title')}, ' ') AS norm FROM t1),
+_similar_sql = lambda articles: f"""WITH {articles}, ordered AS (SELECT row_number() OVER (ORDER BY published_at DESC NULLS LAST, page_id) AS rk, title, array_to_string({_TOKENS.format('title')}, ' ') AS norm FROM t1),
 kinds AS (SELECT rk, {_tokens_sql('title')} AS tokens FROM ordered QUALIFY rk = min(rk) OVER (PARTITION BY norm)),
 words AS (SELECT rk, len(tokens) AS n, unnest(tokens) AS t FROM kinds),
 met AS (SELECT a.rk AS l, b.rk AS r, any_value(a.n) AS ln, any_value(b.n) AS rn, count(*) AS overlap FROM words a JOIN words b ON a.t = b.t AND a.rk > b.rk GROUP BY ALL)
-SELECT l, r, overlap FROM met WHERE overlap >= 2 AND overlap >= 0.415 * (ln + rn - overlap)""")
+SELECT l, r, overlap FROM met WHERE overlap >= 2 AND overlap >= 0.415 * (ln + rn - overlap)"""
+
+
+@query(_similar_sql(A.PAGES_SQL))
 def similar_titles(spark, sf_dir):
     """All pairs of distinct titles whose tokens have a Jaccard index of 0.415 or more, below which no two tell one story."""
     return clustering.similar_sets(_titles(spark, sf_dir), 0.415, 2)
 
 
+@query(_similar_sql(_HEADS_SQL))
+def similar_headlines(spark, sf_dir):
+    """The same of all documents' headlines, which share most of their frequent words."""
+    return clustering.similar_sets(clustering.stored(clustering.titles(_headline_rows(spark, sf_dir)), "headline-titles"), 0.415, 2)
+
+
+@query(f"""WITH {_pairs_sql(_HEADS_SQL)}, met AS (SELECT s.l, s.r, s.la IS NULL OR o.published_at IS NULL OR abs(epoch_us(s.la) - epoch_us(o.published_at)) <= 432000000000 AS near FROM sides s JOIN ordered o ON o.norm = s.rnorm),
+dated AS (SELECT l, r, count(*) FILTER (WHERE near) AS aligned, count(*) FILTER (WHERE NOT near) AS apart FROM met GROUP BY l, r)
+SELECT l, r, overlap, overlap / (ln + rn - overlap)::DOUBLE AS jaccard, overlap / least(ln, rn)::DOUBLE AS overlap_ratio, {_QUICK_SQL} AS quick, aligned, apart FROM sides JOIN dated USING (l, r)""")
+def headline_pairs(spark, sf_dir):
+    """Every fiftieth document's headline with all that share two words or more: what the story rules look at, but the matcher."""
+    rows = _headline_rows(spark, sf_dir)
+    asked, kinds = rows.where("page_id % 50 = 0"), clustering.stored(clustering.titles(rows), "headline-titles")
+    pairs = clustering.stored(clustering.candidate_pairs(asked, kinds), "headline-pairs")
+    sides = clustering.with_quick_ratio(clustering.with_sides(pairs, asked, kinds))
+    return sides.join(clustering.aligned_rows(pairs, asked, rows, kinds), ["l", "r"]).select("l", "r", "overlap", "jaccard", "overlap_ratio", "quick", "aligned", "apart")
+
+
 @query()
 def title_similarity(spark, sf_dir):
     return clustering.title_similarity(_sides(spark, sf_dir)).select("l", "r", "sim")

@@ -690,7 +690,7 @@ def test_storage_is_removed(spark, tmp_path):
 def test_every_query_runs(spark):
     import __spark_entry__
 
-    folder = "/root/testdata/sf0.001"
+    folder = "/root/testdata/sf0.01"  # a table of 50 pages, as of the smallest size, has no two titles that share two words
     assert __spark_entry__.entry(spark).count() == 50
     known, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(known)
