@@ -85,7 +85,7 @@ class Heaps:
 
 
 class Anchors:
-    """A block of anchors: of each its row, label and vector, and per positive its place among the anchors and its score."""
+    """A block of anchors, by label: of each its row, label and vector."""
 
     def __init__(self, rid: np.ndarray, label: np.ndarray, x: np.ndarray):
         order = np.argsort(label, kind="stable")

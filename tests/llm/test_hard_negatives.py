@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,15 @@ def test_strassen_is_exact_and_wraps_around(shape):
         assert (H.strassen(a, b, leaf) == a @ b).all()
 
 
+def test_tiles_of_a_sliced_batch():
+    rng = np.random.default_rng(1)
+    rows = [rng.integers(-9, 9, rng.integers(0, 6)).tolist() for _ in range(5000)]
+    columns = [pa.array(range(5000)), pa.array(range(5000)), pa.array(rng.integers(0, 4, 5000)), pa.array(rows, pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["rid", "id", "label", "v"]).slice(7)
+    found = {r: v for rid, _, _, x in H._tiles(batch, 4, 700) for r, v in zip(rid.tolist(), x.tolist(), strict=True)}
+    assert found == {r: (rows[r] + [0] * 4)[:4] for r in range(7, 5000)}
+
+
 def test_heaps_merge_in_any_order():
     rng = np.random.default_rng(2)
     key, score, ids = rng.integers(0, 7, 3000), rng.integers(-40, 40, 3000), rng.permutation(3000)
