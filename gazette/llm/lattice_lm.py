@@ -108,7 +108,14 @@ def scored_words(words: DataFrame, pieces, end: float, total: int, distinct: int
     return words.mapInArrow(each, "word binary, n long, logp double")
 
 
-def lattice_scores(docs: DataFrame, model: bytes, train: Column, id_col: str = "doc_id", text_col: str = "text", block_mb: int = 8) -> DataFrame:
+def frequent(words: DataFrame, at_most: int, longest: int = 64) -> DataFrame:
+    """The words of the most blocks, where that is more than one: `at_most` words of `longest` bytes at most, so they may be
+    broadcast whatever the size of the corpus."""
+    some = words.where((F.col("blocks") > 1) & (F.octet_length("word") <= longest)).orderBy(F.desc("blocks"), "word").limit(at_most)
+    return some.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def lattice_scores(docs: DataFrame, model: bytes, train: Column, id_col: str = "doc_id", text_col: str = "text", block_mb: int = 8, hot_words: int = 1 << 16) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. train: a boolean Column.
 
     Tokens are the text's words, A-Z in lower case, then one end; runs of white space count as one, as in SentencePiece.
@@ -120,7 +127,8 @@ def lattice_scores(docs: DataFrame, model: bytes, train: Column, id_col: str = "
     no rows. Other columns are not looked at.
 
     The texts are dealt by hash into blocks of about block_mb MB. A block's distinct words are looked up in the corpus'
-    words by a join, and come back to the block's texts by a cogroup: no task and not the driver holds all words.
+    words by a join, and come back to the block's texts by a cogroup: no task and not the driver holds all words. The hot_words
+    words of the most blocks, which would have a row for each block in one key of that join, are broadcast instead.
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -129,30 +137,35 @@ def lattice_scores(docs: DataFrame, model: bytes, train: Column, id_col: str = "
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
     parts = min(n_blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 16))
     held = stored(block_words(rows.select("block", "text", "train").repartition(parts, "block")), "lm-block-words")
-    words = stored(held.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    words = stored(held.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks")), "lm-words")
     n, v = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     pieces, end = learn(words.where("n > 0"), model)
-    known = scored_words(words, spark.sparkContext.broadcast(pieces), end, n, v)
-    looked_up = held.select("block", "word").join(known, "word").select("block", "word", "n", "logp")
+    scores = lambda some: scored_words(some.select("word", "n"), spark.sparkContext.broadcast(pieces), end, n, v)
+    hot = stored(scores(frequent(words, hot_words)), "lm-hot-words")
+    stats = hot.toPandas()  # bounded, see frequent
+    shared = spark.sparkContext.broadcast(({bytes(w): i for i, w in enumerate(stats.word)}, stats.n.to_numpy(np.int64), stats.logp.to_numpy(float)))
+    others = lambda df: df.join(F.broadcast(hot.select("word")), "word", "left_anti")
+    looked_up = others(held).select("block", "word").join(scores(others(words)), "word").select("block", "word", "n", "logp")
     floor = math.log10(n + 0.5 * (v + 1))
 
     schema = rows.select("doc_id").schema.add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
 
     def score(texts: pa.Table, stats: pa.Table) -> pa.Table:
-        at = {w: i for i, w in enumerate(stats.column("word").to_pylist())}
-        c, logp = stats.column("n").to_numpy(), stats.column("logp").to_numpy()
+        hot_at, hot_c, hot_logp = shared.value
+        at = hot_at | {w: i for i, w in enumerate(stats.column("word").to_pylist(), len(hot_at))}
+        c, logp = np.concatenate((hot_c, stats.column("n").to_numpy())), np.concatenate((hot_logp, stats.column("logp").to_numpy()))
         base, get = np.log10(c + 0.5) - floor, at.__getitem__
-        n_tokens, n_known, scores = [], [], []
+        n_tokens, n_known, sums = [], [], []
         for x in texts.column("text"):
             tokens = (x.as_py() or b"").lower().split()
             tokens.append(END)
             ids = np.fromiter(map(get, tokens), np.int64, len(tokens))
             n_tokens.append(len(ids))
             n_known.append(int((c[ids] > 0).sum()))
-            scores.append((base[ids].sum(), logp[ids].sum()))
+            sums.append((base[ids].sum(), logp[ids].sum()))
         many = len(n_tokens)
         return pa.table(
-            [texts.column("doc_id"), pa.array([not x for x in texts.column("train").to_pylist()], pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n] * many, pa.int64()), pa.array([a for a, _ in scores], pa.float64()), pa.array([b for _, b in scores], pa.float64())],
+            [texts.column("doc_id"), pa.array([not x for x in texts.column("train").to_pylist()], pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n] * many, pa.int64()), pa.array([a for a, _ in sums], pa.float64()), pa.array([b for _, b in sums], pa.float64())],
             names=schema.names,
         )
 

@@ -349,6 +349,20 @@ def test_lattice_lm(spark):
     assert all(math.isfinite(r.score) and r.train_tokens == 0 for r in none)
 
 
+def test_frequent_words_are_broadcast_and_scores_stay(spark):
+    rng = np.random.default_rng(12)
+    words = np.array(["the", "Of", "and", "x" * 70, "naïve", *(f"w{i}" for i in range(4000))])
+    texts = [" ".join(words[np.minimum(rng.zipf(1.2, 6000) - 1, len(words) - 1)]) for _ in range(90)]
+    table = docs(spark, [*ODD, *texts])
+    got = []
+    for hot_words in (0, 3, 1 << 16):
+        scored = lattice_lm.lattice_scores(table, MODEL, F.col("doc_id") % 5 != 1, block_mb=1, hot_words=hot_words)
+        got.append(sorted((tuple(r) for r in scored.collect()), key=lambda r: (r[0] is None, r[0])))
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(ODD) + 90
+    held = spark.createDataFrame([(b"a", 3, 2), (b"b", 1, 3), (b"c", 9, 1), (b"d" * 65, 9, 3), (b" ", 5, 2)], "word binary, n long, blocks long")
+    assert {bytes(r.word) for r in lattice_lm.frequent(held, 2).collect()} == {b"b", b" "}
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     parts = {"en": "the and ing tion of th er", "de": "der und ung schl ich ein keit"}
