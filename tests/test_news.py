@@ -205,6 +205,23 @@ def test_candidates_lose_no_pair(spark):
         assert met.count() == met.distinct().count() >= len(want)
 
 
+def plan_above_python(df):
+    """The operators of df's plan that get what its last Python step gives."""
+    return df._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+
+
+def test_similar_pairs_are_counted_where_they_meet(spark):
+    """Neither pairs nor their sets are shuffled behind the meeting, and what meets without being similar is not given."""
+    df = spark.createDataFrame([(i, [f"w{x}" for x in {0, 1, 2 + i % 5, 10 + i % 7, 20 + i % 11, 40 + i}]) for i in range(150)], "rk long, tokens array<string>")
+    sets = {r.rk: set(r.tokens) for r in df.collect()}
+    want = {(a, b, len(x & y)) for a, x in sets.items() for b, y in sets.items() if a > b and len(x & y) >= max(2, 0.415 * len(x | y))}
+    for cell in (4096, 9):
+        met = clustering.set_candidates(df, 0.415, 2, cell)
+        got = [tuple(r) for r in met.collect()]
+        assert len(got) == len(want) > 100 and set(got) == want
+        assert "Exchange" not in plan_above_python(met) and "Join" not in plan_above_python(met)
+
+
 def test_the_quick_ratio_is_a_bound(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abc 0z") for _ in range(rng.randint(0, 30)))
