@@ -7,6 +7,7 @@ import random
 import re
 import threading
 import time
+from collections import Counter
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 from difflib import SequenceMatcher
@@ -222,6 +223,34 @@ def test_similar_pairs_are_counted_where_they_meet(spark):
         assert "Exchange" not in plan_above_python(met) and "Join" not in plan_above_python(met)
 
 
+def test_asked_rows_in_blocks_against_all_pairs(spark):
+    """Any blocks of the asked rows and chunks of a title's dates give the same rows, and no pair is shuffled."""
+    rng = random.Random(12)
+    at = lambda: None if rng.random() < 0.2 else datetime(2024, 1, 1) + timedelta(hours=rng.randint(0, 400))
+    rows = [(i, i, " ".join(rng.choices("ab cd ef gh0 ij kl mn op".split(), k=rng.randint(0, 5))) or None, at()) for i in range(200)] + [(200 + i, 200 + i, "ab cd", at()) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, pos long, title string, published_at timestamp_ntz")
+    ranked = clustering.stored(clustering.with_tokens(clustering.scan_order(df)), "test")
+    asked, kinds = ranked.where("id % 5 = 0"), clustering.stored(clustering.titles(ranked), "test")
+    every, firsts = ranked.collect(), {}
+    for r in sorted(every, key=lambda r: r.rk):
+        firsts.setdefault(r.norm, r)
+    want, near = set(), lambda a, b: a is None or b is None or abs(a - b) <= timedelta(hours=clustering.MAX_HOURS)
+    for a in every:
+        for b in firsts.values():
+            shared = len(set(a.tokens or ()) & set(b.tokens or ()))
+            if a.id % 5 == 0 and a.norm != b.norm and shared >= 2:
+                dates = [near(a.published_at, r.published_at) for r in every if r.norm == b.norm]
+                both = sum((Counter(a.norm) & Counter(b.norm)).values())
+                want.add((a.rk, b.rk, shared, len(set(a.tokens)), len(set(b.tokens)), both, len(a.norm), len(b.norm), sum(dates), len(dates) - sum(dates), a.norm, b.norm))
+    for block, chunk in ((8192, 4096), (7, 3)):
+        got = clustering.candidate_pairs(asked, kinds, rows=ranked, characters=True, named=True, block=block, chunk=chunk)
+        names = ["l", "r", "overlap", "l_n", "r_n", "both", "l_length", "r_length", "aligned", "apart", "l_norm", "r_norm"]
+        told = [tuple(r) for r in got.select(*names).collect()]
+        assert len(told) == len(want) > 500 and set(told) == want
+    plain = clustering.candidate_pairs(asked, kinds, block=7)
+    assert {(r.l, r.r, r.overlap) for r in plain.collect()} == {w[:3] for w in want} and "Exchange" not in plan_above_python(plain)
+
+
 def test_the_quick_ratio_is_a_bound(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abc 0z") for _ in range(rng.randint(0, 30)))
