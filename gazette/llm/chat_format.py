@@ -19,12 +19,17 @@ DIGESTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 strin
 
 @dataclass(frozen=True)
 class Template:
-    """render: any function of a list of turns; nothing is known of it. read gives the turns of a rendered piece, unescape the
-    text that a rendered text stands for; only what reads a rendering back needs them."""
+    """render: any function of a list of turns; nothing is known of it but what reach says. read gives the turns of a rendered
+    piece, unescape the text that a rendered text stands for; only what reads a rendering back needs them.
+
+    reach: a template that names it promises that what a turn adds depends on the first turn and the `reach` turns before it
+    only, and that no turn changes what is rendered. Of any other all turns are rendered, however many there are.
+    """
 
     render: Callable[[list[Turn]], str]
     unescape: Callable[[str], str]
     read: Callable[[str], list[Turn]]
+    reach: int | None = None
 
 
 # Fixed values of the ChatML format.
@@ -52,7 +57,7 @@ def _read_chatml(piece: str) -> list[Turn]:
     return found
 
 
-CHATML = Template(_chatml, _unescape, _read_chatml)
+CHATML = Template(_chatml, _unescape, _read_chatml, reach=0)
 
 
 def common_prefix(a: str, b: str) -> int:
@@ -69,33 +74,27 @@ def common_prefix(a: str, b: str) -> int:
 class Renderer:
     """The pieces that a conversation's turns add to its rendering, one after the other.
 
-    The turns so far are rendered again with each turn. Where they have grown beyond `window` turns or `chars` code points, the
-    rendering goes on from the conversation's first turn and its last ones (`overlap` or more, from one with the second turn's
-    role on). That is done only if these last turns' pieces come out as they were and nothing has been rewritten; else all
-    turns stay, whatever that costs.
+    The turns so far are rendered again with each turn, and what they have in common with the rendering before is kept. Of a template
+    that names its reach, turns beyond it are let go when there are `window` turns or `chars` code points; by its promise, the
+    pieces are the same for any window. All turns of any other template stay, whatever that costs.
     """
 
-    def __init__(self, template: Template, loss_roles: frozenset[str], window: int = 512, overlap: int = 4, chars: int = 4_000_000):
-        self.template, self.loss_roles, self.window, self.overlap, self.chars = template, loss_roles, window, overlap, chars
+    def __init__(self, template: Template, loss_roles: frozenset[str], window: int = 512, chars: int = 4_000_000):
+        self.template, self.loss_roles, self.window, self.chars = template, loss_roles, window, chars
         self.turns: list[Turn] = []
-        self.pieces: list[str] = []
         self.before = ""  # the rendering of self.turns
         self.skipped = 0  # code points of the whole rendering less those of self.before
-        self.second: str | None = None
-        self.whole = False  # no turn may be left out any more
 
     def add(self, role: str, text: str) -> tuple:
         """piece, start, stop, loss_start, loss_stop, rewrites, exact."""
         render = self.template.render
-        if len(self.turns) == 1 and self.second is None:
-            self.second = role
-        if not self.whole and len(self.turns) > 2 * self.overlap + 2 and (len(self.turns) >= self.window or len(self.before) > self.chars):
-            self._go_on()
+        reach = self.template.reach
+        if reach is not None and len(self.turns) > reach + 1 and (len(self.turns) >= self.window or len(self.before) > self.chars):
+            self._let_go(reach)
         self.turns.append((role, text))
         out = render(self.turns)
         kept = common_prefix(self.before, out)
         rewrites = kept < len(self.before)
-        self.whole |= rewrites
         piece, start = out[kept:], self.skipped + kept
         loss, exact = (None, None), True
         if role in self.loss_roles:
@@ -107,26 +106,13 @@ class Renderer:
             exact = len(a) == len(b) and head + tail <= len(out) and self.template.unescape(said) == text
             loss = (self.skipped + head, self.skipped + max(head, len(out) - tail))
         self.before = out
-        self.pieces.append(piece)
         return piece, start, self.skipped + len(out), *loss, rewrites, exact
 
-    def _go_on(self) -> None:
-        at = len(self.turns) - self.overlap
-        at = next((i for i in range(at, max(1, at - self.overlap - 1), -1) if self.turns[i][0] == self.second), at)
-        turns, out, pieces = [self.turns[0]], self.template.render(self.turns[:1]), []
-        for turn in self.turns[at:]:
-            turns.append(turn)
-            longer = self.template.render(turns)
-            if not longer.startswith(out):
-                self.whole = True
-                return
-            pieces.append(longer[len(out) :])
-            out = longer
-        if pieces != self.pieces[at:]:
-            self.whole = True
-            return
+    def _let_go(self, reach: int) -> None:
+        self.turns = [self.turns[0], *self.turns[len(self.turns) - reach :]]
+        out = self.template.render(self.turns)
         self.skipped += len(self.before) - len(out)
-        self.turns, self.pieces, self.before = turns, [self.pieces[0], *pieces], out
+        self.before = out
 
 
 def format_turns(conversations: DataFrame, template: Template = CHATML, loss_roles: tuple[str, ...] = ("assistant",), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", window: int = 512, order: tuple[Column, ...] = ()) -> DataFrame:
@@ -138,8 +124,8 @@ def format_turns(conversations: DataFrame, template: Template = CHATML, loss_rol
     Rows of a conversation go by turn (null last), then `order`, role and text. A null role or text is empty. Rows without a
     conv_id are one conversation. Repeated rows are turns of their own. An empty table gives no rows; other columns are not looked at.
 
-    A conversation's rows come together and in order in one partition, and are rendered as they come: a task holds at most
-    `window` turns of one conversation, however long it is (see Renderer).
+    A conversation's rows come together and in order in one partition, and are rendered as they come: of a template that names
+    its reach a task holds some `window` turns of one conversation, however long it is; of any other, all of them (see Renderer).
     """
     rows = conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[c.alias(f"order{i}") for i, c in enumerate(order)])
     keys = ["conv_id", F.col("turn").asc_nulls_last(), *[f"order{i}" for i in range(len(order))], "role", "text"]

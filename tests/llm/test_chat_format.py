@@ -99,6 +99,16 @@ def test_a_template_that_looks_far_back_keeps_all_turns(spark):
     assert "".join(r.piece for r in pieces) == "".join(f"{i}t" for i in range(60)) and not any(r.rewrites for r in pieces)
 
 
+def test_what_is_found_does_not_depend_on_the_window(spark):
+    """A template that cuts its first turns when there are forty of them: the rewrite is seen, whatever the window."""
+    cuts = lambda turns: "".join(f"[{t}]" if i > 20 or len(turns) < 40 else "[cut]" for i, (_, t) in enumerate(turns))
+    template = C.Template(cuts, lambda x: x, lambda piece: [("?", piece)])
+    rows = [(1, i, "user", f"t{i}") for i in range(60)]
+    told = [[tuple(r) for r in C.format_turns(table(spark, rows), template, window=w).orderBy("turn").collect()] for w in (12, 512)]
+    assert told[0] == told[1]
+    assert [r[1] for r in told[0] if r[8]] == [39]
+
+
 def test_no_conversations(spark):
     assert C.read_back(C.format_turns(table(spark, []))).collect() == []
 
