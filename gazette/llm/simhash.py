@@ -35,14 +35,6 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
-def majority(h: np.ndarray) -> int:
-    """The SimHash of a set of 64-bit hashes."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long) of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))

@@ -62,6 +62,16 @@ def test_near_copies_are_all_found(spark, block):
     assert near_copies.groups(table.limit(0)).count() == 0
 
 
+def test_first_candidates_share_a_shingle(spark):
+    """Nothing is computed for candidates that the prefix filter has anyway: no SimHash is made, and all candidates share a shingle."""
+    texts = edited_texts()
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = near_copies.prints(table, "doc_id", "text", 5, near_copies.common_shingles(table, "text", 5)).withColumn("id", F.col("doc_id"))
+    assert "fp" not in nodes.columns
+    pairs = near_copies.star_pairs(near_copies.sharing(nodes)).collect()
+    assert len(pairs) > 20 and all(plain_shingles(texts[r.a]) & plain_shingles(texts[r.b]) for r in pairs)
+
+
 def test_near_copy_stage_keeps_one_of_each_group(spark):
     texts = edited_texts()
     root = plain_groups(texts)
