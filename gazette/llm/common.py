@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gazette.functions.staging import free_names
 from gazette.storage import fresh, remove, stored
 
-__all__ = ["WORD", "free_names", "fresh", "parted", "remainder", "remove", "stored", "table", "within"]
+__all__ = ["WORD", "free_names", "fresh", "parted", "remainder", "remove", "stored", "table", "unsent", "within"]
 
 #: A word: a run of anything but the six ASCII white space characters. bytes.split() cuts UTF-8 in the same places.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """df, for a join that must not broadcast it: Spark sizes a table by its packed files and as it is before an explode, so that one
+    taken for small may not fit a driver."""
+    return df.hint("merge")
+
+
 def parted(df: DataFrame, key: Column, keys: DataFrame, bits: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
     """df's rows whose key may be in `keys` (one column), and those whose key is not: these need no join, so are not shuffled.
 

@@ -11,10 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import fresh, remove, stored
+from gazette.llm.common import fresh, remove, stored, unsent
 
 
-#: How many tasks the rows of one fingerprint are dealt over.
+#: How many tasks the rows of one fingerprint, and the fingerprints of one component, are dealt over.
 SALTS = 16
 
 
@@ -77,19 +77,19 @@ def links(nodes: DataFrame, segments: int = 16, dense: int = 64) -> DataFrame:
     spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     placed = spread.select("fp", F.explode(near).alias("cell"))
     counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(placed.join(counts, "cell").withColumn("own", own), "simhash-cells")
+    shared = stored(unsent(placed).join(counts, "cell").withColumn("own", own), "simhash-cells")
     sparse = shared.where(F.col("n") <= dense)
     a, b = sparse.alias("a"), sparse.alias("b")
     differ = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
     # Vectors that are equal share all their cells: their own is enough.
     once = (F.col("a.own") != F.col("b.own")) | (F.col("a.own") == F.col("a.cell"))
-    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") > F.col("b.fp")) & (differ <= 2) & once)
+    pairs = unsent(a).join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") > F.col("b.fp")) & (differ <= 2) & once)
     pairs = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     crowd = shared.where(F.col("n") > dense).select("fp").distinct()
     codes = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), i)) for i in range(64)])
     coded = crowd.select("fp", F.explode(codes).alias("code"))
     least = coded.groupBy("code").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("code", "b")
-    stars = coded.join(least, "code").where("fp > b").select(F.col("fp").alias("a"), "b")
+    stars = unsent(coded).join(least, "code").where("fp > b").select(F.col("fp").alias("a"), "b")
     return pairs.unionByName(stars).distinct()
 
 
@@ -136,11 +136,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = stored(links(nodes.select("fp"), segments, dense), "simhash-links")
     roots = components(edges).withColumnRenamed("node", "fp")
     roots = stored(roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()), "simhash-roots")
-    smallest = roots.join(nodes, "fp").groupBy("root").agg(F.min("least_id").alias("of_all"))
-    linked = roots.join(smallest, "root").select("fp", "of_all")
+    smallest = unsent(roots).join(nodes, "fp").groupBy("root").agg(F.min("least_id").alias("of_all"))
+    salt, every = lambda key: F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    linked = unsent(roots.withColumn("salt", salt("fp"))).join(smallest.select("root", "of_all", every), ["root", "salt"]).select("fp", "of_all")
     # Only fingerprints that have a link or a copy are looked up, those of many rows in SALTS tasks.
-    named = nodes.join(linked, "fp", "left").where("n > 1 or of_all is not null")
-    named = named.select("fp", F.coalesce("of_all", "least_id").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    named = unsent(nodes).join(linked, "fp", "left").where("n > 1 or of_all is not null")
+    named = named.select("fp", F.coalesce("of_all", "least_id").alias("component"), every)
+    salted = prints.withColumn("salt", salt("doc_id"))
     component = F.coalesce("component", "doc_id").alias("component_id")
-    return salted.join(named, ["fp", "salt"], "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component)
+    return unsent(salted).join(named, ["fp", "salt"], "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component)

@@ -217,6 +217,22 @@ def test_links_in_crowds(spark, dense):
         assert label.get(c, c) == min(signed[k] for k in range(len(codes)) if root[k] == root[i])
 
 
+def test_simhash_broadcasts_no_table(spark, monkeypatch):
+    """Cells are many for each fingerprint and codes for each of a crowd; Spark would size them as the fingerprints are."""
+    plans, kept = [], simhash.stored
+
+    def watched(df, name):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(simhash, "stored", watched)
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)]
+    out = simhash.near_duplicates(docs(spark, [*texts, *texts, *(f"{t} tail" for t in texts)]), dense=2)
+    watched(out, "out")
+    assert len(plans) == 6 and any("Generate" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
+
+
 def brute(pieces, word):
     """Log scores of all segmentations of a word."""
     byte_ids = set(pieces.byte_id.tolist())
