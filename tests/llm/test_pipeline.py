@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from gazette.llm import common, lattice, near_copies, sentencepiece
+from gazette.llm import common, lattice, near_copies, sentencepiece, simhash
 from gazette.llm.common import stored
 from gazette.llm.queries import vocabulary
 
@@ -90,6 +90,22 @@ def test_near_copy_stage_tells_rows_apart(spark):
     assert len([r for r in got if r[0] == 3]) == 1 and len([r for r in got if r[0] is None and r[1].startswith("d")]) == 1 and len(got) == 6
 
 
+def test_near_copy_stage_links_by_simhash(spark):
+    """Texts that say one line again and again differ in few bits, though most of their shingles are their own."""
+    line = " ".join(f"l{i}" for i in range(9))
+    said = lambda x: f"{line} " * 150 + " ".join(f"{x}{i}" for i in range(30))
+    texts = {4: said("a"), 2: said("b"), None: said("c"), 7: said("d") + " tail", 8: " ".join(f"o{i}" for i in range(60)), 9: f"{line} else"}
+    codes = {i: simhash.fingerprint(t.encode()) for i, t in texts.items()}
+    assert all((codes[i] ^ codes[2]).bit_count() <= 2 for i in (4, None, 7)) and min((codes[8] ^ codes[2]).bit_count(), (codes[9] ^ codes[2]).bit_count()) > 2
+    assert len(set(plain_groups([*texts.values()]))) == 6
+    # Near by Jaccard only to one of those that SimHashes link.
+    texts[1] = f"{line} {line} " + " ".join(f"a{i}" for i in range(30))
+    assert near(plain_shingles(texts[1]), plain_shingles(texts[4]))
+    assert min((simhash.fingerprint(texts[1].encode()) ^ c).bit_count() for c in codes.values()) > 2
+    left = pipeline.without_near_copies(spark, spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3), "")
+    assert Counter(r.doc_id for r in left.collect()) == Counter([1, 8, 9])
+
+
 def corpus():
     """Rows (doc_id, text, source): clean and toxic texts, exact copies, near copies, null and empty texts, null and repeated ids."""
     rng = random.Random(12)
