@@ -14,6 +14,7 @@ from difflib import SequenceMatcher
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gazette import storage
 from gazette.functions import lexicon, render, scoring, staging, text, urls
-from gazette.operators import clustering, components, datefilter, dedupe, enrich, ranking
+from gazette.operators import clustering, components, datefilter, dedupe, enrich, overlaps, ranking
 from gazette.plans import deliver, queries
 from gazette.plans.run import main, run
 from gazette.plans.settings import Settings
@@ -223,6 +224,21 @@ def test_similar_pairs_are_counted_where_they_meet(spark):
         assert "Exchange" not in plan_above_python(met) and "Join" not in plan_above_python(met)
 
 
+def test_sets_too_large_for_each_other_are_not_counted(monkeypatch):
+    """Sets whose shared token is so near their end that no two of that size are similar by it make no pairs to count; smaller ones meet them."""
+    late = [[*range(100 + 20 * i, 109 + 20 * i), 9000, *range(10_000 + 9 * i, 10_005 + 9 * i)] for i in range(300)]
+    short = [[9000, 10_000 + 9 * i, 10_001 + 9 * i, 10_002 + 9 * i, 10_003 + 9 * i, 10_004 + 9 * i] for i in range(3)]
+    sets, seen, cells = [*late, *short], [], overlaps.Postings.cells
+    monkeypatch.setattr(overlaps.Postings, "cells", lambda *args: (out := cells(*args), seen.append(len(out)))[0])
+    same = lambda x: pa.array([x] * len(sets), pa.int64())
+    rows = pa.record_batch({"first": same(9000), "x": same(0), "y": same(0), "rk": pa.array(range(len(sets))), "block": same(0), "own": pa.array(sets, pa.list_(pa.int64()))})
+    for least in (0.415, 0.35):
+        got = [r for batch in overlaps.meet(iter([rows]), ["l", "r", "overlap"], least, 2) for r in zip(*batch.to_pydict().values(), strict=True)]
+        want = [(a, b, len(x & y)) for a, x in enumerate(map(set, sets)) for b, y in enumerate(map(set, sets)) if a > b and min(x & y) == 9000 and len(x & y) >= max(2, least * len(x | y))]
+        assert sorted(got) == sorted(want) and len(want) == (0 if least > 0.4 else 3)
+    assert 0 < sum(seen) < 10 * len(sets)
+
+
 def test_asked_rows_in_blocks_against_all_pairs(spark):
     """Any blocks of the asked rows and chunks of a title's dates give the same rows, and no pair is shuffled."""
     rng = random.Random(12)
